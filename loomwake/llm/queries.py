@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwake.functions.keys import ident
-from loomwake.llm import neardup, normalize
+from loomwake.llm import langid, neardup, normalize
 from loomwake.session import table
 
 
@@ -32,6 +32,35 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return rows.where("record_key is not null").distinct()
 
 
+def _labels(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "language_labels").select(ident("message_id").alias("message_id"), "lang")
+
+
+def _languages(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "messages").select(ident("message_id").alias("message_id"), "message_text").where("message_id is not null")
+    training = langid.train(m.join(_labels(spark, d), "message_id"), "message_id", "message_text", "lang")
+    return langid.with_language(m, "message_text", training, ["message_id"])
+
+
+def p3_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every message's stretches of one language, with the message's own language."""
+    t = _languages(spark, d).dropDuplicates(["message_id"])
+    s = t.select("message_id", F.col("lang").alias("text_lang"), F.posexplode_outer("segments").alias("segment", "s"))
+    return s.select("message_id", "text_lang", "segment", F.col("s.begin").alias("begin"), F.col("s.end").alias("end"), F.coalesce("s.lang", F.lit("und")).alias("lang"), F.round("s.confidence", 3).alias("confidence"))
+
+
+#: Texts with fewer words have no language of their own.
+P3_WORDS = 6
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Languages in which a text has a sentence and which its label does not name."""
+    own = F.array_distinct(F.transform(F.filter("segments", lambda s: s["sure"]), lambda s: s["lang"]))
+    found = _languages(spark, d).where(F.col("words") >= P3_WORDS).select("message_id", F.explode(own).alias("lang")).distinct()
+    named = _labels(spark, d).select("message_id", langid.label_language(F.col("lang")).alias("lang")).where("lang is not null")
+    return found.join(named, ["message_id", "lang"], "left_anti")
+
+
 #: What the near-duplicate query compares: messages sent on, of so many words, by distinct words.
 P6_WORDS, P6_SIMILARITY = 20, 0.7
 
@@ -51,5 +80,5 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_duplicates(_forwarded(spark, d), "message_id", "words", 1, P6_SIMILARITY)
 
 
-QUERIES = {"p1_found": p1_found, "p1_texts": p1_texts, "p6_found": p6_found, "p6_groups": p6_groups}
+QUERIES = {"p1_found": p1_found, "p1_texts": p1_texts, "p3_found": p3_found, "p3_segments": p3_segments, "p6_found": p6_found, "p6_groups": p6_groups}
 ORACLES: dict[str, str] = {}
