@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwake.functions.keys import ident
-from loomwake.llm import langid, neardup, normalize
+from loomwake.llm import langid, neardup, normalize, pii
 from loomwake.session import table
 
 
@@ -61,6 +61,21 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return found.join(named, ["message_id", "lang"], "left_anti")
 
 
+def _redacted(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "messages").select(ident("message_id").alias("message_id"), "message_text")
+    return pii.redact(m, "message_text", ["message_id"])
+
+
+def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every message text with typed, linked placeholders for personal information."""
+    return _redacted(spark, d).select("message_id", "redacted", F.array_join("kinds", ",").alias("kinds")).distinct()
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Messages and the kinds of personal information in them."""
+    return _redacted(spark, d).where("message_id is not null").select("message_id", F.explode("kinds").alias("kind")).distinct()
+
+
 #: What the near-duplicate query compares: messages sent on, of so many words, by distinct words.
 P6_WORDS, P6_SIMILARITY = 20, 0.7
 
@@ -80,5 +95,5 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_duplicates(_forwarded(spark, d), "message_id", "words", 1, P6_SIMILARITY)
 
 
-QUERIES = {"p1_found": p1_found, "p1_texts": p1_texts, "p3_found": p3_found, "p3_segments": p3_segments, "p6_found": p6_found, "p6_groups": p6_groups}
+QUERIES = {"p1_found": p1_found, "p1_texts": p1_texts, "p3_found": p3_found, "p3_segments": p3_segments, "p4_found": p4_found, "p4_redacted": p4_redacted, "p6_found": p6_found, "p6_groups": p6_groups}
 ORACLES: dict[str, str] = {}
