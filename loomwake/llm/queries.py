@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwake.functions.keys import ident
-from loomwake.llm import langid, neardup, normalize, pii
+from loomwake.llm import langid, leakage, neardup, normalize, pii
 from loomwake.session import table
 
 
@@ -38,7 +38,7 @@ def _labels(spark: SparkSession, d: str) -> DataFrame:
 
 def _languages(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "messages").select(ident("message_id").alias("message_id"), "message_text").where("message_id is not null")
-    training = langid.train(m.join(_labels(spark, d), "message_id"), "message_id", "message_text", "lang")
+    training = langid.train(m, _labels(spark, d), "message_id", "message_text", "lang")
     return langid.with_language(m, "message_text", training, ["message_id"])
 
 
@@ -95,5 +95,21 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_duplicates(_forwarded(spark, d), "message_id", "words", 1, P6_SIMILARITY)
 
 
-QUERIES = {"p1_found": p1_found, "p1_texts": p1_texts, "p3_found": p3_found, "p3_segments": p3_segments, "p4_found": p4_found, "p4_redacted": p4_redacted, "p6_found": p6_found, "p6_groups": p6_groups}
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that quote evaluation items, with the longest run of words and the word edits."""
+    docs, items = table(spark, d, "documents"), table(spark, d, "eval_items")
+    return leakage.find_leaks(docs, "doc_id", "text", items, "item_id", "text")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and the evaluation items that leak into them."""
+    return p9_leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    """Evaluation items by the number of documents they leak into."""
+    return p9_found(spark, d).groupBy("item_id").agg(F.count("*").alias("n_documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_texts": p1_texts, "p3_found": p3_found, "p3_segments": p3_segments, "p4_found": p4_found, "p4_redacted": p4_redacted, "p6_found": p6_found, "p6_groups": p6_groups, "p9_found": p9_found, "p9_items": p9_items, "p9_leaks": p9_leaks}
 ORACLES: dict[str, str] = {}
