@@ -251,18 +251,29 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(33))
 
 
-def train(df: DataFrame, id_col: str, text_col: str, label_col: str, texts: int = SAMPLE_TEXTS) -> tuple[tuple[str, str], ...]:
+def train(texts_df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, texts: int = SAMPLE_TEXTS) -> tuple[tuple[str, str], ...]:
     """Training text per language from at most ``texts`` labelled rows of each language.
 
-    The rows with the least hashes of their id are taken; the limit is applied before the
-    shuffle. What comes to the driver is bounded by ``texts`` and ``SAMPLE_LETTERS``.
+    The labelled ids with the least hashes are taken. Counts per language set a hash bound that
+    lets about twice as many through, so no task gets more than that; the ids, bounded in number,
+    then fetch their texts in one scan. What comes to the driver is bounded by ``texts`` and
+    ``SAMPLE_LETTERS``; an id with several labels or texts counts with each.
     """
-    from pyspark.sql import Window
-
-    known = df.select(F.col(id_col).alias("i"), F.substring(F.col(text_col), 1, 2000).alias("t"), label_language(F.col(label_col)).alias("l")).where("l is not null and length(t) > 20")
-    w = Window.partitionBy("l").orderBy(F.xxhash64("i"), "t")
-    rows = known.withColumn("r", F.row_number().over(w)).where(F.col("r") <= texts).select("l", "t").collect()
-    return clean(sorted((r.l, r.t) for r in rows))
+    spark = texts_df.sparkSession
+    span = 1 << 31
+    known = labels.select(F.col(id_col).alias("i"), label_language(F.col(label_col)).alias("l")).where("i is not null and l is not null")
+    known = known.withColumn("h", F.pmod(F.xxhash64("i"), F.lit(span)))
+    counts = known.groupBy("l").count().collect()
+    if not counts:
+        return ()
+    bound = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r.l, min(span, span * (2 * texts + 100) // r["count"]))]), F.col("l"))
+    rows = known.where(F.col("h") < bound).distinct().collect()
+    chosen: list[tuple[str, str]] = []
+    for lang in sorted({r.l for r in rows}):
+        chosen += [(r.i, r.l) for r in sorted((r for r in rows if r.l == lang), key=lambda r: (r.h, r.i))[:texts]]
+    ids = spark.createDataFrame(chosen, "i string, l string")
+    got = texts_df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("length(t) > 20").join(F.broadcast(ids), "i").select("l", F.substring("t", 1, 2000).alias("t")).distinct().collect()
+    return clean(sorted((r.l, r.t) for r in got))
 
 
 def _label_batch(a: pa.Array, training: tuple[tuple[str, str], ...]) -> list[pa.Array]:
