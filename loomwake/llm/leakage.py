@@ -10,7 +10,6 @@ then extended on the words themselves.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwake.llm import codepoints as C
+from loomwake.llm.words import MULTIPLIER, Words
+from loomwake.llm.words import mix as _mix
 
 #: Words a fingerprint spans, and the window of which the least hash is kept: spans of 6 words are found.
 K, W = 3, 4
@@ -29,70 +30,6 @@ LEAST_COVER = 0.2
 #: Items that travel to the corpus at once; more are taken in blocks of this size.
 ITEMS_AT_ONCE = 20_000
 
-_B = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_B, -1, 1 << 64)
-
-
-@lru_cache(1)
-def _fold() -> tuple[np.ndarray, np.ndarray]:
-    t = C.tables()
-    low = np.arange(C.TOP, dtype=np.uint32)
-    for c in np.flatnonzero(t.word):
-        x = chr(c).lower()
-        if len(x) == 1:
-            low[c] = ord(x)
-    return low, t.word
-
-
-@lru_cache(8)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    with np.errstate(over="ignore"):
-        return np.cumprod(np.full(n, _B, np.uint64)), np.cumprod(np.full(n, _INV, np.uint64))
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-        return x ^ (x >> np.uint64(33))
-
-
-class Words:
-    """Words of many texts end to end: hash, text, and the place of each text's words.
-
-    A word is a run of letters, marks and digits of the text's one form, in lower case, so
-    punctuation, spacing and line breaks play no part. ``blank`` numbers the stretches between
-    white space, which count as one word each where words are counted.
-    """
-
-    def __init__(self, texts: pa.Array):
-        a, _ = C.canonical_arrow(texts)
-        cp, off = C.code_points(a)
-        low, word = _fold()
-        n = len(off) - 1
-        c = np.minimum(cp, C.TOP - 1)
-        inside = word[c]
-        head = inside.copy()
-        head[1:] &= ~inside[:-1]
-        first = off[:-1][off[:-1] < len(cp)]
-        head[first] |= inside[first]
-        tail = inside.copy()
-        tail[:-1] &= ~inside[1:]
-        last = off[1:][off[1:] > 0] - 1
-        tail[last] |= inside[last]
-        begin, end = np.flatnonzero(head), np.flatnonzero(tail) + 1
-        up, down = _powers(1 << max(20, int(len(cp)).bit_length()))
-        with np.errstate(over="ignore"):
-            total = np.zeros(len(cp) + 1, np.uint64)
-            np.cumsum(_mix(low[c].astype(np.uint64) + np.uint64(1)) * up[: len(cp)] * inside, out=total[1:])
-            self.hash = _mix((total[end] - total[begin]) * down[begin])
-        row = np.repeat(np.arange(n), np.diff(off))
-        self.row = row[begin]
-        self.start = np.searchsorted(begin, off)
-        space = (cp == 32) | ((cp >= 9) & (cp <= 13)) | (cp == 0x85) | (cp == 0x2028) | (cp == 0x2029)
-        self.blank = np.cumsum(space)[begin] if len(cp) else np.zeros(0, np.int64)
-
-
 def grams(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of ``k`` consecutive words; the array is ``k - 1`` shorter."""
     if len(h) < k:
@@ -100,7 +37,7 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         g = h[: len(h) - k + 1].copy()
         for j in range(1, k):
-            g = _mix(g * np.uint64(_B) + h[j : len(h) - k + 1 + j])
+            g = _mix(g * np.uint64(MULTIPLIER) + h[j : len(h) - k + 1 + j])
     return g
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwake.functions.keys import ident
-from loomwake.llm import langid, leakage, neardup, normalize, pii
+from loomwake.llm import langid, leakage, neardup, normalize, pii, readability
 from loomwake.session import table
 
 
@@ -111,5 +111,39 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
     return p9_found(spark, d).groupBy("item_id").agg(F.count("*").alias("n_documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_texts": p1_texts, "p3_found": p3_found, "p3_segments": p3_segments, "p4_found": p4_found, "p4_redacted": p4_redacted, "p6_found": p6_found, "p6_groups": p6_groups, "p9_found": p9_found, "p9_items": p9_items, "p9_leaks": p9_leaks}
+#: Documents with fewer words, parted by white space, are too short for a level.
+P10_WORDS = 60
+
+
+def _levels(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source", "doc_kind")
+    told = langid.label_language(F.col("lang"))
+    training = langid.train(docs, docs.select("doc_id", "lang"), "doc_id", "text", "lang")
+    silent = docs.where(told.isNull())
+    heard = langid.with_language(silent, "text", training, ["doc_id", "text", "source", "doc_kind"]).where("lang = 'en'").select("doc_id", "text", "source", "doc_kind")
+    english = docs.where(told == "en").select("doc_id", "text", "source", "doc_kind").unionByName(heard)
+    rarity = readability.word_counts(docs, "text")
+    model = readability.fit(docs.where(told == "en"), "doc_id", "text", table(spark, d, "reading_labels"), "band", rarity)
+    english = english.withColumn("n_words", F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")))
+    if model is None:
+        return english.select("doc_id", "source", "doc_kind", "n_words", F.lit(None).cast("int").alias("band"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("double").alias("confidence"))
+    return readability.with_features(english, ["doc_id", "source", "doc_kind", "n_words"], "text", rarity, model).drop("words")
+
+
+def p10_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Every English document with its reading band, its place on the scale and the confidence."""
+    return _levels(spark, d).withColumns({"score": F.round("score", 4), "confidence": F.round("confidence", 4)})
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """The most demanding English documents of some length."""
+    return _levels(spark, d).where((F.col("n_words") >= P10_WORDS) & (F.col("band") == 4)).select("doc_id").distinct()
+
+
+def p10_profile(spark: SparkSession, d: str) -> DataFrame:
+    """English documents and their words by kind and band."""
+    return _levels(spark, d).where(F.col("n_words") >= P10_WORDS).groupBy("doc_kind", "band").agg(F.count("*").alias("n_documents"), F.sum("n_words").alias("n_words"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_texts": p1_texts, "p3_found": p3_found, "p3_segments": p3_segments, "p4_found": p4_found, "p4_redacted": p4_redacted, "p6_found": p6_found, "p6_groups": p6_groups, "p10_found": p10_found, "p10_levels": p10_levels, "p10_profile": p10_profile, "p9_found": p9_found, "p9_items": p9_items, "p9_leaks": p9_leaks}
 ORACLES: dict[str, str] = {}
