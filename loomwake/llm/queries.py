@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwake.functions.keys import ident
-from loomwake.llm import langid, leakage, neardup, normalize, pii, readability
+from loomwake.llm import langid, leakage, neardup, normalize, packing, pii, readability
 from loomwake.session import table
 
 
@@ -111,6 +111,24 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
     return p9_found(spark, d).groupBy("item_id").agg(F.count("*").alias("n_documents"))
 
 
+def p8_packing(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's container, for every capacity; in tokens of a public tokenizer."""
+    docs = table(spark, d, "documents")
+    limits = packing.read_limits(table(spark, d, "packing_limits"), "limit_name", "capacity_tokens")
+    return packing.pack(packing.with_tokens(docs, ["doc_id", "source"], "text"), "doc_id", "source", "n_tokens", limits)
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every container with what it holds and the space left over."""
+    p = p8_packing(spark, d).groupBy("limit_name", "capacity_tokens", "container_id").agg(F.count("*").alias("n_pieces"), F.sum("n_tokens").alias("used_tokens"))
+    return p.withColumn("free_tokens", F.col("capacity_tokens") - F.col("used_tokens"))
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of each source in each window, over all shards."""
+    return p8_packing(spark, d).groupBy("limit_name", "window", "source").agg(F.sum("n_tokens").alias("n_tokens"))
+
+
 #: Documents with fewer words, parted by white space, are too short for a level.
 P10_WORDS = 60
 
@@ -145,5 +163,5 @@ def p10_profile(spark: SparkSession, d: str) -> DataFrame:
     return _levels(spark, d).where(F.col("n_words") >= P10_WORDS).groupBy("doc_kind", "band").agg(F.count("*").alias("n_documents"), F.sum("n_words").alias("n_words"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_texts": p1_texts, "p3_found": p3_found, "p3_segments": p3_segments, "p4_found": p4_found, "p4_redacted": p4_redacted, "p6_found": p6_found, "p6_groups": p6_groups, "p10_found": p10_found, "p10_levels": p10_levels, "p10_profile": p10_profile, "p9_found": p9_found, "p9_items": p9_items, "p9_leaks": p9_leaks}
+QUERIES = {"p1_found": p1_found, "p1_texts": p1_texts, "p3_found": p3_found, "p3_segments": p3_segments, "p4_found": p4_found, "p4_redacted": p4_redacted, "p6_found": p6_found, "p6_groups": p6_groups, "p10_found": p10_found, "p10_levels": p10_levels, "p10_profile": p10_profile, "p8_packing": p8_packing, "p8_containers": p8_containers, "p8_mixture": p8_mixture, "p9_found": p9_found, "p9_items": p9_items, "p9_leaks": p9_leaks}
 ORACLES: dict[str, str] = {}
