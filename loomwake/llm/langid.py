@@ -31,8 +31,9 @@ LABELS = {
     "ru": "ru rus russian",
 }
 
-#: Bounds of the training sample: labelled texts a language, letters a language.
-SAMPLE_TEXTS, SAMPLE_LETTERS = 1500, 40_000
+#: Bounds of the training sample: labelled texts a language, characters of a text that may be in it,
+#: letters a language that its automaton is built over.
+SAMPLE_TEXTS, SAMPLE_CHARS, SAMPLE_LETTERS = 1500, 10_000, 40_000
 #: Sentences with fewer words take the language of the stretch they stand in.
 LEAST_WORDS = 3
 #: Least relative difference to the next language for a sentence to be sure of its own.
@@ -100,7 +101,8 @@ class Sentences:
         if len(cp):
             wl[np.flatnonzero(begin[: len(cp)])] = is_letter[begin[: len(cp)]]
         # letters, and one blank before each word but the first of a sentence
-        keep = is_letter | (~is_letter & np.append(is_letter[1:], False))
+        keep = is_letter.copy()
+        keep[:-1] |= ~is_letter[:-1] & is_letter[1:] & (seg[1:] == seg[:-1])
         keep &= ~(begin[: len(cp)] & ~is_letter)
         letters, s = low[c[keep]], seg[keep]
         letters = np.where(is_letter[keep], letters, 32)
@@ -257,7 +259,7 @@ def train(texts_df: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
     The labelled ids with the least hashes are taken. Counts per language set a hash bound that
     lets about twice as many through, so no task gets more than that; the ids, bounded in number,
     then fetch their texts in one scan. What comes to the driver is bounded by ``texts`` and
-    ``SAMPLE_LETTERS``; an id with several labels or texts counts with each.
+    ``SAMPLE_CHARS``; an id with several labels or texts counts with each.
     """
     spark = texts_df.sparkSession
     span = 1 << 31
@@ -272,7 +274,7 @@ def train(texts_df: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
     for lang in sorted({r.l for r in rows}):
         chosen += [(r.i, r.l) for r in sorted((r for r in rows if r.l == lang), key=lambda r: (r.h, r.i))[:texts]]
     ids = spark.createDataFrame(chosen, "i string, l string")
-    got = texts_df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("length(t) > 20").join(F.broadcast(ids), "i").select("l", F.substring("t", 1, 2000).alias("t")).distinct().collect()
+    got = texts_df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where(F.length("t").between(21, SAMPLE_CHARS)).join(F.broadcast(ids), "i").select("l", "t").distinct().collect()
     return clean(sorted((r.l, r.t) for r in got))
 
 
@@ -318,7 +320,7 @@ def with_language(df: DataFrame, text_col: str, training: tuple[tuple[str, str],
         for b in batches:
             text = b.column("__text")
             sizes = np.concatenate(([0], np.cumsum(np.asarray(pa.compute.binary_length(text).fill_null(0)).astype(np.int64))))
-            for lo, hi in C.slices(sizes, 4 << 20):
+            for lo, hi in C.slices(sizes):
                 p = b.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*[p.column(c) for c in keep], *_label_batch(p.column("__text"), training)], [*keep, "segments", "lang", "confidence", "words"])
 

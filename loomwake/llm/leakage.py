@@ -223,7 +223,7 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
             for b in batches:
                 ids, texts = b.column("i"), b.column("t")
                 sizes = np.concatenate(([0], np.cumsum(np.asarray(pa.compute.binary_length(texts).fill_null(0)).astype(np.int64))))
-                for lo, hi in C.slices(sizes, 4 << 20):
+                for lo, hi in C.slices(sizes):
                     got = leaks(Words(texts.slice(lo, hi - lo)), known, run_words, share)
                     yield pa.RecordBatch.from_arrays(
                         [ids.take(pa.array([lo + g[0] for g in got], pa.int64())), pa.array([known.ids[g[1]] for g in got], pa.from_numpy_dtype(np.int64) if kind_i in ("bigint", "int") else pa.string()).cast(pa.int32() if kind_i == "int" else pa.int64() if kind_i == "bigint" else pa.string()), pa.array([g[2] for g in got], pa.int32()), pa.array([g[3] for g in got], pa.int32())],

@@ -131,12 +131,14 @@ def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
 
 #: Documents with fewer words, parted by white space, are too short for a level.
 P10_WORDS = 60
+#: Labelled documents a language from which the language of unlabelled ones is learnt.
+P10_TEXTS = 120
 
 
 def _levels(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source", "doc_kind")
     told = langid.label_language(F.col("lang"))
-    training = langid.train(docs, docs.select("doc_id", "lang"), "doc_id", "text", "lang")
+    training = langid.train(docs, docs.select("doc_id", "lang"), "doc_id", "text", "lang", P10_TEXTS)
     silent = docs.where(told.isNull())
     heard = langid.with_language(silent, "text", training, ["doc_id", "text", "source", "doc_kind"]).where("lang = 'en'").select("doc_id", "text", "source", "doc_kind")
     english = docs.where(told == "en").select("doc_id", "text", "source", "doc_kind").unionByName(heard)

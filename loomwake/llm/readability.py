@@ -100,7 +100,7 @@ def buckets(h: np.ndarray) -> np.ndarray:
 
 
 def features(texts: pa.Array, rarity: np.ndarray | None, path: str = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
-    """Features of each text, in the order of ``NAMES``, and its words between white space.
+    """Features of each text, in the order of ``NAMES``, and its words between white space (those with a letter or digit).
 
     Words with digits and capitalised words inside a sentence (names) don't count as vocabulary,
     unless the text is mostly in capitals. Means are taken over a text's own words, so length
@@ -258,7 +258,7 @@ def word_counts(docs: DataFrame, text: str) -> np.ndarray:
         for b in batches:
             t = b.column("t")
             sizes = np.concatenate(([0], np.cumsum(np.asarray(pa.compute.binary_length(t).fill_null(0)).astype(np.int64))))
-            for lo, hi in C.slices(sizes, 4 << 20):
+            for lo, hi in C.slices(sizes):
                 table += np.bincount(buckets(Words(t.slice(lo, hi - lo)).hash), minlength=BUCKETS)
         met = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(table[met])], ["b", "n"])
@@ -285,7 +285,7 @@ def with_features(docs: DataFrame, keep: list[str], text: str, rarity: np.ndarra
         for b in batches:
             t = b.column("__t")
             sizes = np.concatenate(([0], np.cumsum(np.asarray(pa.compute.binary_length(t).fill_null(0)).astype(np.int64))))
-            for lo, hi in C.slices(sizes, 4 << 20):
+            for lo, hi in C.slices(sizes):
                 x, words = features(t.slice(lo, hi - lo), rarity, path)
                 own = [b.column(k).slice(lo, hi - lo) for k in keep]
                 if model is None:
