@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwake.plans import pipeline
+from loomwake.plans import messages, pipeline
 
-_MODULES = [pipeline]
+_MODULES = [pipeline, messages]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracles() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return pipeline.p5_known(spark, d)
+    return messages.evidence(spark, d)
