@@ -147,11 +147,14 @@ _FOUR = re.compile(r"[A-Za-z]\d{4}[A-Za-z]\b")
 _PHONE = re.compile(r"(?:(?:\+|00)\d{1,3}|\(\d{2,5}\)|\d)(?:[ .\-]{0,2}\(?\d+\)?)+")
 _GROUPED = re.compile(r"1?[ .-]?\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}")
 _PHONE_CUE = re.compile(r"(?i)call|phone|\btel\b|mobile|whatsapp|number|reach|\bring\b|\btext\b|\bsms\b|llám|llam|appel|\bruf|telefon|ligue|звон|номер|फ़ोन|फोन|नंबर")
+#: What says that a number after it is to be called, though an identity number was spoken of before.
+_CALL_CUE = re.compile(r"(?i)call|phone|whatsapp|\breach|llám|appelle|\bruf|ligue|звон|फ़ोन|(?:his|her|my|their) number\b|number:")
 
 _UNIT = r"\b(?:house|flat|apt|apartment|plot|door|unit|suite)\b[ ]?(?:no\b\.?|number|\#)?[ ]?\d+[a-z]?(?:/\d+)?"
 #: What stands before an English street word: a number, or a unit and its number, then up to three words.
 _STREET_HEAD = re.compile(rf"(?i)(?:{_UNIT},?[ ]+)?(?<![\w/.:₹€$£-])(?<![₹€$£] )\d+[a-z]?(?:/\d+)?,?[ ]((?:{_W}[ ]){{1,3}})$|{_UNIT},[ ]*((?:{_W}[ ]){{1,3}})$")
 _STREET_TAIL = re.compile(rf"(?:[ ]road|[ ]Road)?(?:,[ \n]*(?:near[ ])?{_L}{{3,}}(?:[ ]stadium)?)?(?:[ ]\d{{5,6}}\b)?")
+_AFTER_PLACE = re.compile(r"(?-i:[ ]?[.!?\n\x00]|[ ][A-Z]|[ ](?:by|this|near|ring)\b|$)")
 _FRENCH_HEAD = re.compile(r"(?i)(?<![\w/.:₹€$£-])\d+(?:[ ](?:bis|ter|quater))?[ ]?,?[ ]$")
 _FRENCH_TAIL = re.compile(rf"(?i)[ ](?:(?:de|du|des|la|le|les)[ ])*{_W}(?:,[ ]*(?:\d{{5}}[ ])?{_CAP})?")
 _LATIN_TAIL = re.compile(rf"(?i)[ ](?:(?:de|del|da|do|dos|das|la|el)[ ])*((?:{_W}[ ]){{0,2}}{_W}),?[ ]?(?:n\.?[ºo°]?[ ]?|núm\.?[ ]?|nº[ ]?)?\d+[a-z]?\b(?:,[ ]*(?:piso|andar|puerta|apto\.?)[ ]?\d+)?(?:,[ ]*\d{{4,6}})?(?:,?[ ]{_CAP})?")
@@ -192,7 +195,7 @@ _CUES = {
     "hindi": "मार्ग गली रोड सड़क पथ",
     "lead": "under the name|in the name of|my name is|auf den namen|ich heiße|a nombre de|me llamo|au nom de|je m'appelle|em nome de|meu nome é|на имя|меня зовут|मेरा नाम|के नाम से|hand it to|give it to|ask for|speak to",
     "sign": "regards,|sincerely,|cheers,|saludos,|atentamente,|cordialement,|grüße,|gruß,|atenciosamente,|abraços,|с уважением,|सादर,",
-    "come": "will come with|will come to|will come tomorrow|is coming with|viendra demain|viendra avec|vendrá mañana|vendrá con|kommt morgen|kommt mit|virá amanhã|vem amanhã|придёт завтра|придёт с|приедет завтра|कल चाबी",
+    "come": "will come with|will come to|will come tomorrow|is coming with|viendra demain|viendra avec|vendrá mañana|vendrá con|kommt morgen|kommt mit|virá amanhã|vem amanhã|придёт завтра|придёт с|приедет завтра|कल चाबी लेकर",
     "title": "dr mr mrs ms prof herr frau mme mlle श्री श्रीमती डॉ",
 }
 
@@ -274,7 +277,8 @@ def _spans(joined: str) -> list[tuple[int, int, str]]:
             if not _word(joined, a, b) or not (h := _STREET_HEAD.search(joined, max(0, a - 70), a)):
                 continue
             name = h[1] or h[2]
-            named = joined[a].isupper() and name[0].isupper() or joined[b : b + 1] == "," and len(name.split()) == 1
+            alone = len(name.split()) == 1 and (joined[b : b + 1] == "," or "," in h[0] and _AFTER_PLACE.match(joined, b))
+            named = joined[a].isupper() and name[0].isupper() or alone
             if _plain(name) or kind == "place" and not named and not re.match(_UNIT, h[0], re.I):
                 continue
             take(h.start(), _STREET_TAIL.match(joined, b).end(), "address")
@@ -300,7 +304,8 @@ def _spans(joined: str) -> list[tuple[int, int, str]]:
         digits = sum(c.isdigit() for c in joined[a:b])
         if not 7 <= digits <= 15 or joined[a - 1 : a].isalnum() or joined[b : b + 1].isalnum() or joined[a - 1 : a] in ("/", "#", "@") or joined[a - 1 : a] == ":" and joined[a - 2 : a - 1].isdigit():
             continue
-        if _ID_CUE.search(before) and joined[a] not in "+(":
+        cue = _ID_CUE.search(before)
+        if cue and joined[a] not in "+(" and not _CALL_CUE.search(before, cue.start()):
             take(a, b, "id_number")
         elif (digits >= 8 and (joined[a] in "+(0" or _PHONE_CUE.search(before))) or _GROUPED.fullmatch(joined, a, b):
             take(a, b, "phone")
