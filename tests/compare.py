@@ -13,7 +13,7 @@ def views(d: str):
 
     c = duckdb.connect()
     for f in glob.glob(f"{d}/*.parquet"):
-        c.execute(f"create view {os.path.basename(f)[:-8]} as select * from '{f}{'/*' if os.path.isdir(f) else ''}'")
+        c.execute(f"create view {os.path.basename(f)[:-8]} as select * from '{f}{'/*.parquet' if os.path.isdir(f) else ''}'")
     return c
 
 
