@@ -37,7 +37,9 @@ SAMPLE_TEXTS, SAMPLE_CHARS, SAMPLE_LETTERS = 1500, 10_000, 40_000
 #: Sentences with fewer words take the language of the stretch they stand in.
 LEAST_WORDS = 3
 #: Least relative difference to the next language for a sentence to be sure of its own.
-LEAST_MARGIN = 0.12
+LEAST_MARGIN = 0.2
+#: Words from which a sentence counts as run on, the words of a piece of it, and the margin a piece needs.
+RUN_ON, PIECE, PIECE_MARGIN = 20, 8, 0.5
 #: Share of capitalised words from which a sentence is a list of names, and the margins that a
 #: sentence of names and one wholly in capitals need to be sure.
 NAMES, NAMES_MARGIN, CAPITALS_MARGIN = 0.8, 0.5, 0.4
@@ -95,11 +97,18 @@ class Sentences:
         head[1:] &= blank[:-1]
         head[off[:-1][off[:-1] < len(cp)]] = word[off[:-1][off[:-1] < len(cp)]]
         self.text_words = np.bincount(row[head], minlength=n)
-        total = int(seg[-1]) + 1 if len(seg) else 0
         wl = is_letter.copy()
         wl[1:] &= ~is_letter[:-1]
         if len(cp):
             wl[np.flatnonzero(begin[: len(cp)])] = is_letter[begin[: len(cp)]]
+        # run-on sentences are judged in pieces, as they may change language midway
+        counts, upto = np.bincount(seg[wl]), np.cumsum(wl)
+        counts = np.pad(counts, (0, int(seg[-1]) + 1 - len(counts) if len(seg) else 0))
+        nth = upto - np.concatenate(([0], np.cumsum(counts)))[seg] - 1
+        run_on = counts[seg] > RUN_ON
+        begin[: len(cp)] |= wl & run_on & (nth > 0) & (nth % PIECE == 0) & (counts[seg] - nth >= PIECE // 2)
+        seg = np.cumsum(begin[: len(cp)]) - 1
+        total = int(seg[-1]) + 1 if len(seg) else 0
         # letters, and one blank before each word but the first of a sentence
         keep = is_letter.copy()
         keep[:-1] |= ~is_letter[:-1] & is_letter[1:] & (seg[1:] == seg[:-1])
@@ -120,6 +129,7 @@ class Sentences:
         capitals = np.bincount(seg[upper], minlength=total)[have]
         self.namely = titles > NAMES * self.words
         self.capitals = capitals * 2 > self.size
+        self.piece = run_on[first[have]] if len(first) else np.zeros(0, bool)
         self.row = row[first[have]] if len(first) else np.zeros(0, np.int64)
         self.begin, self.end = (first[have] - off[self.row], stop[have] - off[self.row]) if len(first) else (self.row, self.row)
 
@@ -207,7 +217,7 @@ def judge(s: Sentences, training: tuple[tuple[str, str], ...]) -> tuple[np.ndarr
 
 def settle(s: Sentences, best: np.ndarray, margin: np.ndarray, n_langs: int) -> tuple[np.ndarray, np.ndarray]:
     """Short or unsure sentences take the language most letters of their text have; which are sure."""
-    sure = (s.words >= LEAST_WORDS) & (margin >= np.where(s.capitals, CAPITALS_MARGIN, np.where(s.namely, NAMES_MARGIN, LEAST_MARGIN)))
+    sure = (s.words >= LEAST_WORDS) & (margin >= np.where(s.piece, PIECE_MARGIN, np.where(s.capitals, CAPITALS_MARGIN, np.where(s.namely, NAMES_MARGIN, LEAST_MARGIN))))
     weight = np.bincount(s.row * n_langs + best, s.size * np.where(sure, 1.0, 0.01 * (margin + 0.01)), s.n_texts * n_langs).reshape(s.n_texts, n_langs)
     main = weight.argmax(axis=1)
     return np.where(sure, best, main[s.row]), sure
