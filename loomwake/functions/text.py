@@ -161,6 +161,20 @@ def facts_text(c: Column | str) -> Column:
     return F.concat_ws("\n", F.nullif(j["summary"], F.lit("")), F.nullif(j["visible_text"], F.lit("")), F.nullif(j["transcript"], F.lit("")), F.nullif(F.array_join(bounded_signals(j["signals"]), "\n"), F.lit("")))
 
 
+def facts_wrapper(prefix: str, **fields: Column) -> Column:
+    """Media facts as one text: a prefix and a JSON object with its keys in order; null fields are left out."""
+    return F.concat(F.lit(prefix), F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)])))
+
+
+def facts_normalized(c: Column | str, chars: int = 4_000) -> Column:
+    """A struct of bounded facts from a strict JSON object: texts cut and cleaned, confidence within 0 and 1; null if it is none."""
+    doc = strict_json(c)
+    j = F.from_json(doc, FACTS + ", language string, confidence double")
+    text = lambda x: F.substring(F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"[\x00-\x1F\x7F]+", " ")), 1, chars)
+    made = F.struct(*[text(j[k]).alias(k) for k in ("summary", "visible_text", "transcript", "language")], F.coalesce(bounded_signals(j["signals"]), F.array().cast("array<string>")).alias("signals"), clamp(F.coalesce(j["confidence"], F.lit(0.0))).alias("confidence"))
+    return F.when(doc.rlike(r"(?s)^\{.*\}$"), made)
+
+
 def strict_json(c: Column | str, chars: int = 128_000) -> Column:
     """A JSON document, tolerating one code fence; null for prose, repeated keys, non-finite or oversized ones."""
     t = F.regexp_replace(F.regexp_replace(col(c), "^\\ufeff", ""), r"^\s+|\s+$", "")

@@ -86,3 +86,16 @@ def history_features(evidence: DataFrame, events: DataFrame) -> DataFrame:
     a = e.groupBy("message_id").agg(F.sum("w").alias("t"), F.sum("p").alias("p"), F.sum("n").alias("n"), F.max("score").alias("top"))
     repetition = F.greatest(F.when(F.col("top") >= 0.9, 0.72).otherwise(0.0), clamp(0.25 * F.col("top") + 0.8 * F.col("n") / F.col("t")))
     return a.select("message_id", clamp(0.5 + 0.5 * F.col("p") / F.col("t") - 0.6 * F.col("n") / F.col("t")).alias("engagement"), repetition.alias("repetition"), ((F.col("n") > F.col("p")) & (F.col("n") > 0)).alias("rejected"))
+
+
+#: Least scores of evidence that is named: of any, and of one that the user answered, dismissed, muted or reported.
+NAMED, NAMED_STRONG = 0.36, 0.32
+
+
+def named_evidence(evidence: DataFrame, events: DataFrame, most: int = 2) -> DataFrame:
+    """The ids named as reasons of each message, best first: ``message_id`` and ``evidence_ids``."""
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    strong = flag("message_replied") | flag("notification_dismissed") | flag("muted_after_message") | flag("message_reported")
+    e = evidence.join(events.withColumnRenamed("message_id", "evidence_id"), "evidence_id", "left").where(F.col("score") >= F.when(strong, NAMED_STRONG).otherwise(NAMED))
+    ranked = F.array_sort(F.collect_list(F.struct("rank", "evidence_id")))
+    return e.groupBy("message_id").agg(F.transform(F.slice(ranked, 1, most), lambda x: x["evidence_id"]).alias("evidence_ids"))

@@ -359,6 +359,15 @@ def history_features(spark: SparkSession, d: str) -> DataFrame:
     return f.select("message_id", F.round("engagement", 5).alias("engagement"), F.round("repetition", 5).alias("repetition"), "rejected")
 
 
+@query(f"""with {_EV}, {_EVENTS}, x as (select ev.message_id, ev.evidence_id, rank from ev left join e on e.message_id = ev.evidence_id
+  where score >= case when coalesce(message_replied, false) or coalesce(notification_dismissed, false) or coalesce(muted_after_message, false) or coalesce(message_reported, false) then 0.32 else 0.36 end),
+y as (select *, row_number() over (partition by message_id order by rank) as r from x)
+select message_id, string_agg(evidence_id, ';' order by r) as evidence_message_ids from y where r <= 2 group by 1""")
+def named_evidence(spark: SparkSession, d: str) -> DataFrame:
+    n = retrieval.named_evidence(_evidence(spark, d), _events(spark, d))
+    return n.select("message_id", quality.serialize_ids("evidence_ids").alias("evidence_message_ids"))
+
+
 @query(f"""with v as (select {_id("user_id")} as user_id, date, max(notifications_sent) as sent from daily_notification_summary where date is not null group by 1, 2),
 w as (select *, avg(sent) over (partition by user_id order by date rows between 7 preceding and 1 preceding) as mean from v)
 select user_id, strftime(date, '%Y-%m-%d') as day, sent, sent >= greatest(10, 1.5 * coalesce(mean, sent)) as high from w""")

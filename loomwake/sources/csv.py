@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomwake.functions.text import boolean, clean, count_number
+from loomwake.operators import quality
 
 #: Most bytes of one CSV file.
 MOST_BYTES = 128 << 20
@@ -31,7 +32,8 @@ TABLES = {
     "output": "message_id id, action text, message_type text, reason text, confidence float, evidence_message_ids text",
 }
 TABLES["message_history"] = TABLES["messages"]
-OPTIONAL = {"message_history", "images", "voice_notes"}
+TABLES["sample_messages"] = TABLES["messages"] + ", action text, message_type text, reason text, confidence float, evidence_message_ids text"
+OPTIONAL = {"message_history", "sample_messages", "images", "voice_notes"}
 
 
 def columns(name: str) -> list[tuple[str, str]]:
@@ -132,3 +134,16 @@ def write_report(report: dict, path: str) -> None:
         f.flush()
         os.fsync(f.fileno())
     os.replace(temporary, path)
+
+
+def validate_output_file(spark: SparkSession, path: str, messages: DataFrame, history: DataFrame) -> DataFrame:
+    """Read an output file back: ``message_id`` and ``rule`` for all it breaks; its header must be exact."""
+    names = [c for c, _ in columns("output")]
+    with open(path, encoding="utf-8", newline="") as f:
+        if next(csv.reader(f), []) != names:
+            raise ValueError("header or its order")
+    out = read_table(spark, path, "output")
+    seen = messages.unionByName(history, allowMissingColumns=True)
+    both = quality.evidence_violations(out, seen).select("message_id", F.concat(F.lit("evidence_"), "rule").alias("rule"))
+    sides = quality.key_difference(out, messages, "message_id").select("message_id", F.when(F.col("side") == "left_only", "unknown_message").otherwise("not_routed").alias("rule"))
+    return quality.output_violations(out).unionByName(both).unionByName(sides).distinct()

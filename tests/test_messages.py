@@ -192,3 +192,23 @@ def test_streams(spark, tmp_path):
 
 def test_flagship(spark):
     assert registry.flagship(spark, "/root/testdata/sf0.001").columns == ["message_id", "evidence_id", "lexical", "score", "rank"]
+
+
+def test_facts(spark):
+    raw = '{"summary":" a\\tb ","signals":["x","x",""],"confidence":7}'
+    f = one(spark, raw, X.facts_normalized)
+    assert (f.summary, f.signals, f.confidence, f.transcript) == ("a b", ["x"], 1.0, "")
+    assert one(spark, "[1]", X.facts_normalized) is None and one(spark, "prose", X.facts_normalized) is None
+    assert one(spark, "s", lambda c: X.facts_wrapper("facts: ", summary=c, language=F.lit("en"))) == 'facts: {"language":"en","summary":"s"}'
+
+
+def test_output_file_is_read_back(spark, tmp_path):
+    p = str(tmp_path / "output.csv")
+    m = spark.createDataFrame([("m1", "u1", dt.datetime(2026, 7, 2)), ("m2", "u1", dt.datetime(2026, 7, 2))], "message_id string, user_id string, created_at timestamp")
+    h = spark.createDataFrame([("h1", "u1", dt.datetime(2026, 7, 1)), ("h2", "u2", dt.datetime(2026, 7, 1)), ("h3", "u1", dt.datetime(2026, 7, 3))], m.schema)
+    open(p, "w").write("message_id,action,message_type,reason,confidence,evidence_message_ids\nm1,notify,event,why,0.5,h1;h2\nm3,mute,spam,why,0.5,none\n")
+    got = {(r.message_id, r.rule) for r in C.validate_output_file(spark, p, m, h).collect()}
+    assert got == {("m1", "evidence_other_user"), ("m3", "unknown_message"), ("m2", "not_routed")}
+    open(p, "w").write("action,message_id\n")
+    with pytest.raises(ValueError):
+        C.validate_output_file(spark, p, m, h)
