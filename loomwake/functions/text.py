@@ -67,18 +67,19 @@ def tokens(c: Column | str) -> Column:
 
 
 def _matches(c: Column, pattern: str) -> Column:
-    """Without letter case; letters and word ends by Unicode where the text needs it, which is far slower."""
-    return F.when(c.rlike(r"^\p{ASCII}*$"), c.rlike(f"(?i){pattern}")).otherwise(c.rlike(f"(?iuU){pattern}"))
+    """The patterns are in small letters, as is normalised text; letters and word ends are taken by
+    Unicode only where the text needs it, which is far slower."""
+    return F.when(c.rlike(r"^\p{ASCII}*$"), c.rlike(pattern)).otherwise(c.rlike(f"(?U){pattern}"))
 
 
 def cue_count(c: Column | str, group: str) -> Column:
-    """How many patterns of a cue group the text matches."""
+    """How many patterns of a cue group the text matches. The text must be normalised, or in small letters."""
     first, *rest = (F.coalesce(_matches(col(c), p), F.lit(False)).cast("int") for p in CUES[group])
     return sum(rest, first)
 
 
 def has_cue(c: Column | str, group: str) -> Column:
-    """Whether any pattern of a cue group matches."""
+    """Whether any pattern of a cue group matches. The text must be normalised, or in small letters."""
     return _matches(col(c), "(?:" + "|".join(f"(?:{p})" for p in CUES[group]) + ")")
 
 

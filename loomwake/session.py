@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -26,6 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
         folder = sc.getCheckpointDir()
     if not folder:
         folder = tempfile.mkdtemp(prefix="loomwake-shared-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
     return folder
