@@ -58,10 +58,9 @@ def host_skeleton(c: Column | str) -> Column:
 
 
 def with_canonical(df: DataFrame, column: str, text: str = "canonical_text", kinds: str = "variant_kinds") -> DataFrame:
-    """``df`` with the one form of ``column`` and its kinds of variants; these two names must be new."""
-    if {text, kinds} & set(df.columns):
-        raise ValueError(f"columns {text} and {kinds} must not exist yet")
-    return df.withColumn("__one", canonical(column)).withColumns({text: F.col("__one")["text"], kinds: F.col("__one")["kinds"]}).drop("__one")
+    """``df`` with the one form of ``column`` and its kinds of variants; columns of these names are replaced."""
+    one = canonical(column)  # evaluated once for both
+    return df.withColumns({text: one["text"], kinds: one["kinds"]})
 
 
 def kind_names(c: Column | str) -> Column:

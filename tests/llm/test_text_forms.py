@@ -59,8 +59,8 @@ def test_columns(spark):
     out = {r.id: (r.canonical_text, r.variant_kinds) for r in normalize.with_canonical(df, "t").collect()}
     assert out[1] == ("a", C.COMPATIBILITY) and out[2] == (None, 0) and out[3] == ("", 0) and len(out[4][0]) == 600_000
     assert normalize.with_canonical(df.limit(0), "t").count() == 0
-    with pytest.raises(ValueError):
-        normalize.with_canonical(df, "t", "text")
+    clash = normalize.with_canonical(df, "t", "text")
+    assert clash.columns == ["id", "t", "text", "variant_kinds"] and {r.text for r in clash.where("id = 1").collect()} == {"a"}
 
 
 def test_hosts(spark):
