@@ -336,10 +336,10 @@ def _evidence(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.similar_prior(q, h, 3)
 
 
-@query(f"with {_EV} select message_id, evidence_id, round(lexical, 5)::double as lexical, round(score, 5)::double as score, rank::int as rank from ev")
+@query(f"with {_EV} select message_id, evidence_id, round(lexical, 5)::double as lexical, score::double as score, rank::int as rank from ev")
 def evidence(spark: SparkSession, d: str) -> DataFrame:
     """The best three earlier messages of the same user for every incoming message."""
-    return _evidence(spark, d).select("message_id", "evidence_id", F.round("lexical", 5).alias("lexical"), F.round("score", 5).alias("score"), "rank")
+    return _evidence(spark, d).select("message_id", "evidence_id", F.round("lexical", 5).alias("lexical"), "score", "rank")
 
 
 _EVENTS = f"e as (select {_id('message_id')} as message_id, bool_or(message_opened) as message_opened, bool_or(message_replied) as message_replied, bool_or(notification_dismissed) as notification_dismissed, bool_or(muted_after_message) as muted_after_message, bool_or(message_reported) as message_reported from message_events group by 1)"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -10,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: list[str] = []
+_SHIPPED: dict[str, bool] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +36,19 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, unless they find it by ``PYTHONPATH`` or the working folder."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    sc = spark.sparkContext
+    there = [os.path.abspath(p) for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()] if p]
+    if root in there or _SHIPPED.get(sc.applicationId):
+        return
+    folder = tempfile.mkdtemp(prefix="loomwake-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    sc.addPyFile(shutil.make_archive(os.path.join(folder, "loomwake"), "zip", root, "loomwake"))
+    _SHIPPED[sc.applicationId] = True
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
