@@ -148,11 +148,14 @@ def pack(sizes: DataFrame, doc_id: str, source: str, tokens: str, limits: dict[s
     totals per shard and source.
 
     A null source is a source of its own; null ids and null sizes are left out; empty documents
-    take no space; repeated ids are packed as often as they come; no documents, no containers.
+    take no space; repeated ids are packed as often as they come; no documents or no limits, no containers.
     """
     kinds = {f.name: f.dataType.simpleString() for f in sizes.schema.fields}
-    if not limits or min(limits.values()) < 1:
+    if any(v < 1 for v in limits.values()):
         raise ValueError("limits must be positive")
+    schema = f"limit_name string, capacity_tokens int, container_id string, window int, `{doc_id}` {kinds[doc_id]}, `{source}` string, piece int, start_token long, n_tokens long"
+    if not limits:
+        return sizes.sparkSession.createDataFrame([], schema)
     rows = cut(sizes.where(F.col(doc_id).isNotNull() & F.col(tokens).isNotNull()).select(F.col(doc_id).alias("i"), F.coalesce(F.col(source), F.lit("")).alias("s"), F.col(tokens).cast("long").alias("n")))
     total = rows.agg(F.sum("n")).first()[0] or 0
     shards = max(1, math.ceil(total / tokens_per_shard))
@@ -195,7 +198,6 @@ def pack(sizes: DataFrame, doc_id: str, source: str, tokens: str, limits: dict[s
             }
         )
 
-    schema = f"limit_name string, capacity_tokens int, container_id string, window int, `{doc_id}` {kinds[doc_id]}, `{source}` string, piece int, start_token long, n_tokens long"
     return both.groupBy("shard", "limit_name").applyInArrow(run, schema)
 
 

@@ -59,8 +59,9 @@ def test_packing_edges(spark):
     odd = spark.createDataFrame([(1, None, 0), (2, "a", None), (None, "a", 5), (3, "a", 512), (4, "a", 513), (4, "a", 513)], "doc_id long, source string, n long")
     got = sorted((r.doc_id, r.n_tokens) for r in packing.pack(odd, "doc_id", "source", "n", {"s": 512}).collect())
     assert got == [(1, 0), (3, 512), (4, 1), (4, 1), (4, 512), (4, 512)]
+    assert packing.pack(odd, "doc_id", "source", "n", {}).count() == 0
     with pytest.raises(ValueError):
-        packing.pack(odd, "doc_id", "source", "n", {})
+        packing.pack(odd, "doc_id", "source", "n", {"s": 0})
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "hello world <|endoftext|>")], "doc_id long, text string")
     assert [r.n_tokens for r in packing.with_tokens(docs, ["doc_id"], "text").orderBy("doc_id").collect()][:2] == [0, 0]
 
