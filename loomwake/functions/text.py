@@ -11,8 +11,6 @@ from pyspark.sql import types as T
 
 from loomwake.functions.patterns import BARE_HOST_ENDINGS, CUES, STOP_WORDS
 
-#: Characters that are read for cues and for retrieval.
-CUE_CHARS, RETRIEVAL_CHARS = 100_000, 50_000
 CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
 
 
@@ -49,12 +47,12 @@ def _compatible(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
-def normalize(c: Column | str, chars: int = CUE_CHARS) -> Column:
-    """Compatibility form, folded case, no format characters, single blanks.
+def normalize(c: Column | str) -> Column:
+    """Compatibility form, folded case, no format characters, single blanks; of the whole text, however long.
 
     ASCII text stays in the JVM; only other text is sent to Python.
     """
-    t = F.substring(F.coalesce(col(c), F.lit("")), 1, chars)
+    t = F.coalesce(col(c), F.lit(""))
     ascii_only = F.trim(F.regexp_replace(F.lower(t), r"(?U)\s+", " "))
     plain = t.rlike(r"^\p{ASCII}*$")
     return F.when(plain, ascii_only).otherwise(_compatible(F.when(~plain, t)))

@@ -35,6 +35,15 @@ def test_texts(spark):
     assert sum(map(len, CUES.values())) == 113
 
 
+@pytest.mark.parametrize("filler", ["plain ", "schön "])
+def test_long_texts_are_read_to_their_end(spark, filler):
+    text = filler * 40_000 + "call me now, it is urgent"
+    assert one(spark, text, X.normalize) == text
+    assert one(spark, text, lambda c: X.cue_count(X.normalize(c), "urgency")) == 2
+    got = load.flagged(spark.createDataFrame([(text,)], "x string"), "x", ["greeting", "urgency"]).first()
+    assert got.cues == ["urgency"]
+
+
 def test_links(spark):
     assert one(spark, "see https://User@WWW.Shop.example:80/x?y, or bit.ly/abc. mail a@b.com", X.hosts) == ["shop.example", "bit.ly"]
     assert one(spark, "mail.shop.example", lambda c: X.host_within(c, F.lit("shop.example"))) is True
