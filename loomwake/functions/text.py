@@ -179,8 +179,10 @@ def strict_json(c: Column | str, chars: int = 128_000) -> Column:
     t = F.regexp_replace(F.regexp_replace(col(c), "^\\ufeff", ""), r"^\s+|\s+$", "")
     body = F.regexp_replace(F.regexp_extract(t, r"(?si)^```(?:json)?[ \t]*\n(.*)\n```$", 1), r"^\s+|\s+$", "")
     doc = F.when(F.startswith(t, F.lit("```")), body).otherwise(t)
-    whole = doc.rlike(r'(?s)^(\{.*\}|\[.*\]|".*"|-?\d.*|true|false|null)$') & ~F.regexp_replace(doc, r'"(?:[^"\\]|\\.)*"', '""').rlike(r"NaN|Infinity")
-    return F.when(whole & (F.length(t) <= chars) & F.try_parse_json(doc).isNotNull(), doc)
+    whole = doc.rlike(r'(?s)^(\{.*\}|\[.*\]|".*"|-?\d+(\.\d+)?([eE][+-]?\d+)?|true|false|null)$') & ~F.regexp_replace(doc, r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"', '""').rlike(r"NaN|Infinity")
+    # the parser ignores what follows a value, but nothing can follow one both in a list and in an object
+    alone = F.try_parse_json(F.concat(F.lit("["), doc, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"":'), doc, F.lit("}"))).isNotNull()
+    return F.when(whole & (F.length(t) <= chars) & alone, doc)
 
 
 def secrets(c: Column | str) -> Column:

@@ -101,6 +101,19 @@ def magic_bytes(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(h,) for h in _HEADS], "head string").select("head", media.sniff("head")["format"].alias("format"))
 
 
+#: Leading bytes of a file by its name's ending; the tables hold no content.
+_STARTS = {"jpg": "FFD8FF", "jpeg": "FFD8FF", "png": "89504E470D0A1A0A", "webp": "524946460000000057454250", "wav": "524946460000000057415645", "avif": "0000001C6674797061766966", "m4a": "0000001C667479704D344120", "mp3": "494433"}
+
+
+@query("select media_type, media_id, file_path, case when n in ('jpg', 'jpeg') then 'jpeg' when n in ('png', 'webp', 'wav', 'mp3') then n when n in ('avif', 'm4a') and octet_length(encode(file_path)) >= 4 then n else '' end as format from (select *, regexp_extract(lower(file_path), '\\.([a-z0-9]+)$', 1) as n from media_files)")
+def media_formats(spark: SparkSession, d: str) -> DataFrame:
+    """The format of every media file by its leading bytes, here made from the name's ending and the path."""
+    ending = F.regexp_extract(F.lower("file_path"), r"\.([a-z0-9]+)$", 1)
+    start = F.coalesce(F.create_map(*[F.lit(x) for kv in _STARTS.items() for x in kv])[ending], F.lit(""))
+    head = F.substring(F.concat(start, F.hex(F.encode("file_path", "UTF-8"))), 1, 128)
+    return table(spark, d, "media_files").select("media_type", "media_id", "file_path", F.coalesce(media.sniff(head)["format"], F.lit("")).alias("format"))
+
+
 # ---------------------------------------------------------------- sinks and audits
 
 
@@ -270,6 +283,24 @@ def json_documents(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(_DOCS)), "i int, t string").select("i", X.strict_json("t").isNotNull().alias("valid"))
 
 
+@query(f"""with {_M} select message_id, concat_ws(chr(10), nullif(message_text, ''), nullif(media_id, ''), nullif(conversation_type, '')) as text from m""")
+def message_facts(spark: SparkSession, d: str) -> DataFrame:
+    """The readable text of media facts that hold each message's own columns."""
+    kind = F.coalesce("conversation_type", F.lit(""))
+    facts = X.facts_wrapper("facts: ", summary=F.col("message_text"), visible_text=F.col("media_id"), signals=F.array(kind, kind, F.lit("")))
+    return messages(spark, d).select("message_id", X.facts_text(facts).alias("text"))
+
+
+@query(f"""with {_M} select message_id, unnest(['text', 'object', 'fenced', 'cut', 'repeated']) as form, unnest([coalesce(json_valid(message_text), false), true, true, false, false]) as valid from m""")
+def message_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Which forms of each message are strict JSON: its text, an object of it, that in a code fence, without its end and with a repeated key."""
+    one = F.to_json(F.struct(F.coalesce("message_text", F.lit("")).alias("text")))
+    end = F.length(one) - 1
+    forms = {"text": F.col("message_text"), "object": one, "fenced": F.concat(F.lit("```json\n"), one, F.lit("\n```")), "cut": F.left(one, end), "repeated": F.concat(F.left(one, end), F.lit(',"text":0}'))}
+    x = messages(spark, d).select("message_id", F.explode(F.array(*[F.struct(F.lit(k).alias("form"), v.alias("t")) for k, v in forms.items()])).alias("x"))
+    return x.select("message_id", "x.form", X.strict_json("x.t", 2**31 - 1).isNotNull().alias("valid"))
+
+
 # ---------------------------------------------------------------- context
 
 

@@ -221,3 +221,20 @@ def test_output_file_is_read_back(spark, tmp_path):
     open(p, "w").write("action,message_id\n")
     with pytest.raises(ValueError):
         C.validate_output_file(spark, p, m, h)
+
+
+@pytest.mark.parametrize("name,table,rows", [("media_formats", "media_files", 1), ("message_facts", "messages", 1), ("message_documents", "messages", 5)])
+def test_sniffing_facts_and_json_run_over_whole_tables(spark, con, name, table, rows):
+    n = con.execute(f"select {'count(*)' if table == 'media_files' else 'count(distinct nullif(lower(trim(message_id)), $$$$))'} from {table}").fetchone()[0]
+    assert registry.queries()[name](spark, "/root/testdata/sf0.001").count() == n * rows > 0
+
+
+def test_long_json(spark):
+    text = json.dumps({"a": "x" * 60_000, "b": '\\"' * 10_000})
+    assert one(spark, text, X.strict_json) == text
+    assert one(spark, text[:-1], X.strict_json) is None and one(spark, text[:-1] + ', "c": NaN}', X.strict_json) is None
+
+
+def test_json_with_more_behind_it(spark):
+    assert [one(spark, t, X.strict_json) for t in ("10 boxes came", '{"a":1} and {"b":2}', "[1],[2]", '"a","b"', '"a":"b"', "{}]}", "1 2")] == [None] * 7
+    assert [one(spark, t, X.strict_json) for t in ("-1.5e3", '"a"', " [1, {}] ", "null")] == ["-1.5e3", '"a"', "[1, {}]", "null"]
