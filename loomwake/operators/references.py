@@ -14,8 +14,10 @@ from loomwake.session import parallelism
 
 #: Distinct (key, period) rows that one key range holds on average.
 ROWS_PER_RANGE = 200_000
-#: A period name that no time belongs to: its rows survive unless the parent exists and stays.
+#: A period name that no time belongs to: its rows survive unless the parent was there ``ALWAYS`` and stays.
 UNKNOWN = "unknown"
+#: When parents without a receipt time may be said to have come: before every period, the unknown one too.
+ALWAYS = "0001-01-01 00:00:00"
 
 _OUT = "domain string, relation string, key string, period string, parent_received timestamp_ntz, parent_deleted timestamp_ntz, parent_exists boolean"
 
@@ -47,7 +49,7 @@ def _survivors(t: pa.Table) -> pa.Table:
         if not len(mine):
             continue
         period = name.split("\x00")[1]
-        since = np.iinfo(np.int64).min if period == UNKNOWN else np.datetime64(f"{period}-01", "us").astype(np.int64)
+        since = np.datetime64(ALWAYS.replace(" ", "T") if period == UNKNOWN else f"{period}-01", "us").astype(np.int64)
         left = Bitmap.of(code[mine]).andnot(Bitmap.of(np.flatnonzero(stays & (first <= since))))
         alive = np.zeros(n, bool)
         alive[left.decode()] = True
@@ -72,7 +74,8 @@ def unresolved(refs: DataFrame, parents: DataFrame, ranges: int | None = None) -
     References are reduced to distinct (key, period) before the shuffle, so a key with a third
     of all rows costs one row per period and input split. Key ranges are hash ranges with about
     ``ROWS_PER_RANGE`` rows each, whatever the tables' size; nothing is broadcast. A reference
-    with null ``key`` is not a reference and is ignored; a null ``received`` counts as never.
+    with null ``key`` is not a reference and is ignored; a null ``received`` counts as never,
+    ``ALWAYS`` as before every period.
     Without parents every reference survives, without references the result is empty.
     """
     r = refs.where("domain is not null and key is not null").select("domain", "relation", "key", F.coalesce("period", F.lit(UNKNOWN)).alias("period"), F.lit(None).cast("timestamp_ntz").alias("received"), F.lit(None).cast("timestamp_ntz").alias("deleted"), F.lit(False).alias("is_parent"))

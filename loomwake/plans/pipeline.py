@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomwake.functions.keys import ident, minute_text, month_text
 from loomwake.operators.asof import known_at
-from loomwake.operators.references import unresolved
+from loomwake.operators.references import ALWAYS, unresolved
 from loomwake.operators.rolling import rolling_totals
 from loomwake.session import table
 
@@ -84,7 +84,7 @@ def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     refs = of_business.unionByName(of_media).unionByName(of_events).unionByName(of_output)
     refs = refs.withColumn("period", F.when(F.col("relation") == "message_events.message_id", month_text("received_at")).otherwise(month_text("created_at")))
     never = F.lit(None).cast("timestamp_ntz")
-    b = table(spark, d, "business_accounts").select(F.lit("business").alias("domain"), ident("business_id").alias("key"), never.alias("received"), never.alias("deleted"))
+    b = table(spark, d, "business_accounts").select(F.lit("business").alias("domain"), ident("business_id").alias("key"), F.lit(ALWAYS).cast("timestamp_ntz").alias("received"), never.alias("deleted"))
     f = table(spark, d, "media_files").select(F.lit("media").alias("domain"), F.concat_ws(":", F.coalesce(ident("media_type"), F.lit("")), ident("media_id")).alias("key"), F.col("received_at").alias("received"), F.col("deleted_at").alias("deleted"))
     p = m.select(F.lit("message").alias("domain"), F.col("message_id").alias("key"), F.col("received_at").alias("received"), never.alias("deleted"))
     return refs, p.unionByName(f).unionByName(b)

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from loomwake.operators.asof import known_at
 from loomwake.operators.bitmaps import Bitmap
+from loomwake.operators import references
 from loomwake.operators.references import unresolved
 from loomwake.operators.rolling import rolling_totals
+from loomwake.plans import pipeline
 
 DAY = dt.date(2026, 1, 1)
 DAYS = "user string, d date, n int, got timestamp_ntz, nth_day string, __e string"
@@ -82,3 +84,15 @@ def test_unresolved(spark):
     assert got == {("m", "gone", "2026-02", False), ("m", "late", "2026-01", True), ("m", "cut", "2026-02", True), ("m", "ok", "unknown", True), ("n", "ok", "2026-02", False)}
     assert unresolved(refs.limit(0), parents).count() == 0
     assert unresolved(refs, parents.limit(0), 2).count() == 7
+
+
+def test_parents_that_were_always_there_settle_every_period(spark):
+    refs = spark.createDataFrame([("b", "f", "ok", "2026-02"), ("b", "f", "ok", None), ("b", "f", "gone", "2026-02"), ("b", "f", "gone", None)], REFS)
+    parents = spark.createDataFrame([("b", "ok")], "domain string, key string").select("*", F.lit(references.ALWAYS).cast("timestamp_ntz").alias("received"), F.lit(None).cast("timestamp_ntz").alias("deleted"))
+    assert {(r.key, r.period) for r in unresolved(refs, parents, 2).collect()} == {("gone", "2026-02"), ("gone", "unknown")}
+
+
+def test_only_missing_businesses_survive_the_bitmaps(spark):
+    refs, parents = pipeline._references(spark, "/root/testdata/sf0.001")
+    left = unresolved(refs.where("relation = 'messages.business_id'"), parents, 2).collect()
+    assert left and not [r.key for r in left if r.parent_exists]
