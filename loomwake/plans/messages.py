@@ -161,6 +161,22 @@ def dangling_references(spark: SparkSession, d: str) -> DataFrame:
     return quality.union_all([quality.dangling(clean(a, k), clean(b, pk), f"{a}.{k}", k, pk) for a, k, b, pk in _CHECKS])
 
 
+#: Image and voice files by type and id; groups and users have no table, so each of their tables stands in for it.
+_MEDIA_CHECKS = ("image", "voice")
+_MORE_CHECKS = [("messages", "group_id", "group_members", "group_id"), ("messages", "user_id", "group_members", "user_id"), ("messages", "user_id", "daily_notification_summary", "user_id"), ("group_members", "user_id", "messages", "user_id"), ("user_business_history", "user_id", "messages", "user_id")]
+
+
+@query(" union all ".join([f"select 'messages.media_id:{t}' as check_name, 'media_files' as parent, count(*) as n_rows, count(distinct {_id('c.media_id')}) as n_keys from messages c where {_id('c.media_type')} = '{t}' and {_id('c.media_id')} is not null and not exists (select 1 from media_files p where {_id('p.media_type')} = '{t}' and {_id('p.media_id')} = {_id('c.media_id')})" for t in _MEDIA_CHECKS]
+    + [f"select '{a}.{k}', '{b}', count(*), count(distinct {_id('c.' + k)}) from {a} c where {_id('c.' + k)} is not null and not exists (select 1 from {b} p where {_id('p.' + pk)} = {_id('c.' + k)})" for a, k, b, pk in _MORE_CHECKS]))
+def dangling_media_and_users(spark: SparkSession, d: str) -> DataFrame:
+    """References to media files, groups and users that another table lacks."""
+    clean = lambda t, k: table(spark, d, t).select(ident(k).alias(k))
+    of_type = lambda t, kind: table(spark, d, t).where(ident("media_type") == kind).select(ident("media_id").alias("media_id"))
+    found = [quality.dangling(of_type("messages", t), of_type("media_files", t), f"messages.media_id:{t}", "media_id").withColumn("parent", F.lit("media_files")) for t in _MEDIA_CHECKS]
+    found += [quality.dangling(clean(a, k), clean(b, pk), f"{a}.{k}", k, pk).withColumn("parent", F.lit(b)) for a, k, b, pk in _MORE_CHECKS]
+    return quality.union_all(found)
+
+
 _KEYS = {"messages": ["message_id"], "message_events": ["user_id", "message_id"], "media_files": ["media_type", "media_id"], "group_members": ["group_id", "user_id"], "daily_notification_summary": ["user_id", "date"], "router_output": ["message_id"]}
 
 

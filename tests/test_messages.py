@@ -238,3 +238,12 @@ def test_long_json(spark):
 def test_json_with_more_behind_it(spark):
     assert [one(spark, t, X.strict_json) for t in ("10 boxes came", '{"a":1} and {"b":2}', "[1],[2]", '"a","b"', '"a":"b"', "{}]}", "1 2")] == [None] * 7
     assert [one(spark, t, X.strict_json) for t in ("-1.5e3", '"a"', " [1, {}] ", "null")] == ["-1.5e3", '"a"', "[1, {}]", "null"]
+
+
+def test_media_groups_and_users_are_checked(spark, con):
+    got = {(r.check_name, r.parent): r.n_rows for r in registry.queries()["dangling_media_and_users"](spark, "/root/testdata/sf0.001").collect()}
+    files = {(t.strip().lower(), i.strip().lower()) for t, i in con.execute("select media_type, media_id from media_files where media_id is not null").fetchall()}
+    named = [(t.strip().lower(), i.strip().lower()) for t, i in con.execute("select media_type, media_id from messages where media_id is not null").fetchall()]
+    for kind in ("image", "voice"):
+        assert got[f"messages.media_id:{kind}", "media_files"] == sum(t == kind and (t, i) not in files for t, i in named)
+    assert {k for k, _ in got} >= {"messages.group_id", "messages.user_id", "group_members.user_id", "user_business_history.user_id"} and len(got) == 7
