@@ -90,7 +90,7 @@ def _band_rows(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iter
         sets = b.column("__set")
         off = np.asarray(sets.offsets).astype(np.int64)
         values = np.asarray(sets.values).astype(np.int64).view(np.uint64)
-        weight = np.asarray(b.column("__weight").values) if "__weight" in b.schema.names else None
+        weight = np.asarray(b.column("__weight").values).astype(float) if "__weight" in b.schema.names else None
         ids = np.asarray(b.column("__c"))
         lo = 0
         while lo < len(ids):
@@ -98,8 +98,9 @@ def _band_rows(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iter
             part = off[lo : hi + 1]
             who = prob_minhash(values[part[0] : part[-1]], None if weight is None else weight[part[0] : part[-1]], part - part[0], bands * rows)
             keys, bits = band_keys(who, bands, rows), _bits(who)
+            n = np.diff(part).astype(np.int32) if weight is None else np.add.reduceat(weight[part[0] : part[-1]], part[:-1] - part[0])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.T.reshape(-1).view(np.int64)), pa.array(np.tile(ids[lo:hi], bands)), pa.array(np.tile(np.diff(part).astype(np.int32), bands)), pa.array(np.tile(bits[:, 0], bands).view(np.int64)), pa.array(np.tile(bits[:, 1], bands).view(np.int64))],
+                [pa.array(keys.T.reshape(-1).view(np.int64)), pa.array(np.tile(ids[lo:hi], bands)), pa.array(np.tile(n, bands)), pa.array(np.tile(bits[:, 0], bands).view(np.int64)), pa.array(np.tile(bits[:, 1], bands).view(np.int64))],
                 ["__band", "__c", "__n", "__b0", "__b1"],
             )
             lo = hi
@@ -122,11 +123,20 @@ def shingles(ws: Column, k: int) -> Column:
     return F.when(n < k, whole).otherwise(F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.xxhash64(F.array_join(F.slice(ws, i, k), " "))))
 
 
-def classes(df: DataFrame, id_col: str, words_col: str, k: int = 5) -> DataFrame:
+def classes(df: DataFrame, id_col: str, words_col: str, k: int = 5, repeats: bool = False) -> DataFrame:
     """One row per id: ``__id``, the class ``__c`` of records with the same shingles, and ``__set``.
 
-    Ids that repeat with equal words are one record. Records without words have no class.
+    Ids that repeat with equal words are one record. Records without words have no class. With
+    ``repeats`` a shingle weighs as often as it occurs (``__weight``, beside ``__set``), and a
+    class has the same shingles as often.
     """
+    if repeats:
+        at = F.filter(F.sequence(F.lit(0), F.size("__all") - 1), lambda i: (i == 0) | (F.get("__all", i) != F.get("__all", i - 1)))
+        d = df.select(F.col(id_col).alias("__id"), F.array_sort(shingles(F.col(words_col), k)).alias("__all")).where("__id is not null and size(__all) > 0")
+        d = d.withColumn("__at", at).withColumn("__n", F.size("__all"))
+        weight = F.transform("__at", lambda i, j: (F.coalesce(F.get("__at", j + 1), F.col("__n")) - i).cast("double"))
+        d = d.select("__id", F.transform("__at", lambda i: F.get("__all", i)).alias("__set"), weight.alias("__weight"))
+        return d.withColumn("__c", F.xxhash64("__set", "__weight")).dropDuplicates(["__id", "__c"])
     d = df.select(F.col(id_col).alias("__id"), F.array_sort(F.array_distinct(shingles(F.col(words_col), k))).alias("__set"))
     d = d.where("__id is not null and size(__set) > 0").withColumn("__c", F.xxhash64("__set"))
     return d.dropDuplicates(["__id", "__c"])
@@ -139,19 +149,40 @@ def class_links(members: DataFrame, threshold: float, bands: int = BANDS, rows:
     (a sort-merge join whose hot keys adaptive execution splits; nothing is capped); the size
     ratio and the agreement of 128 one-bit registers drop most chance candidates inside the
     join, before any shuffle, and what remains is verified on the full sets.
+
+    With a column ``__weight`` (weights of the shingles of ``__set``) the similarity is the
+    weighted one, the sum of the lesser weights by that of the greater. Probability Jaccard
+    similarity, by which signatures agree, is never less, so no more pairs are missed.
     """
+    weighted = "__weight" in members.columns
     reps = members.groupBy("__c").agg(F.first("__set").alias("__set"))
-    sig = reps.mapInArrow(lambda it: _band_rows(it, bands, rows), "__band long, __c long, __n int, __b0 long, __b1 long")
+    if weighted:
+        reps = members.groupBy("__c").agg(F.first(F.struct("__set", "__weight")).alias("x")).select("__c", "x.__set", "x.__weight")
+    sig = reps.mapInArrow(lambda it: _band_rows(it, bands, rows), f"__band long, __c long, __n {'double' if weighted else 'int'}, __b0 long, __b1 long")
     a, b = sig.alias("a"), sig.alias("b")
     agree = F.bit_count(F.col("a.__b0").bitwiseXOR(F.col("b.__b0"))) + F.bit_count(F.col("a.__b1").bitwiseXOR(F.col("b.__b1")))
     near = (F.col("a.__c") < F.col("b.__c")) & (F.least("a.__n", "b.__n") >= F.lit(threshold) * F.greatest("a.__n", "b.__n") - 1e-9) & (agree <= F.lit(BITS - AGREE))
     pairs = a.hint("merge").join(b, (F.col("a.__band") == F.col("b.__band")) & near).select(F.col("a.__c").alias("__a"), F.col("b.__c").alias("__b")).distinct()
+    if weighted:
+        return _weighted_links(pairs, reps, threshold)
     both = pairs.join(reps.select(F.col("__c").alias("__a"), F.col("__set").alias("__sa")), "__a").join(reps.select(F.col("__c").alias("__b"), F.col("__set").alias("__sb")), "__b")
     common = F.size(F.array_intersect("__sa", "__sb"))
     similarity = common / (F.size("__sa") + F.size("__sb") - common)
     return both.select("__a", "__b", similarity.alias("similarity")).where(F.col("similarity") >= F.lit(threshold - 1e-12))
 
 
+def _weighted_links(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """Links of the pairs by weighted similarity, from one row per pair and common shingle."""
+    total = F.aggregate("__weight", F.lit(0.0), lambda x, w: x + w)
+    side = lambda c, x: reps.select(F.col("__c").alias(c), F.arrays_zip("__set", "__weight").alias(x), total.alias(f"{x}_total"))
+    both = pairs.join(side("__a", "__x"), "__a").join(side("__b", "__y"), "__b")
+    either = both.select("__a", "__b", (F.col("__x_total") + F.col("__y_total")).alias("__total"), F.explode(F.concat("__x", "__y")).alias("e"))
+    each = either.groupBy("__a", "__b", "__total", "e.__set").agg(F.when(F.count("*") > 1, F.min("e.__weight")).otherwise(0.0).alias("w"))
+    common = each.groupBy("__a", "__b", "__total").agg(F.sum("w").alias("w"))
+    similarity = F.col("w") / (F.col("__total") - F.col("w"))
+    return common.select("__a", "__b", similarity.alias("similarity")).where(F.col("similarity") >= F.lit(threshold - 1e-12))
+
+
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """Connected components: ``__c`` and ``__root``, the least class it is linked to.
 
@@ -176,7 +207,7 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     return roots.unionByName(edges.select(F.col("v").alias("__c")).distinct().join(roots.select("__c"), "__c", "left_anti").withColumn("__root", F.col("__c")))
 
 
-def near_duplicates(df: DataFrame, id_col: str, words_col: str, k: int = 5, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str, words_col: str, k: int = 5, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, repeats: bool = False) -> DataFrame:
     """One row per id: ``id_col``, ``class_id``, ``group_id`` and ``n_links``.
 
     ``class_id`` names the records with equal shingles; ``group_id`` the connected classes whose
@@ -184,10 +215,11 @@ def near_duplicates(df: DataFrame, id_col: str, words_col: str, k: int = 5, thre
     classes this class is linked to. ``words_col`` is an array of words, see ``words``.
 
     Null ids and records without words are left out; an empty table gives an empty result;
-    repeated rows count once. An id that comes with different words has a row for each.
+    repeated rows count once. An id that comes with different words has a row for each. With
+    ``repeats`` a shingle weighs as often as it occurs, see ``class_links``.
     """
     spark = df.sparkSession
-    members = cut(classes(df, id_col, words_col, k))
+    members = cut(classes(df, id_col, words_col, k, repeats))
     links = cut(class_links(members, threshold, bands, rows))
     degree = links.select(F.explode(F.array("__a", "__b")).alias("__c")).groupBy("__c").agg(F.count("*").alias("__links"))
     root = components(spark, links)
@@ -195,14 +227,14 @@ def near_duplicates(df: DataFrame, id_col: str, words_col: str, k: int = 5, thre
     return out.select(F.col("__id").alias(id_col), F.col("__c").alias("class_id"), F.coalesce("__root", "__c").alias("group_id"), F.coalesce("__links", F.lit(0)).alias("n_links"))
 
 
-def near_pairs(df: DataFrame, id_col: str, words_col: str, k: int = 5, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_pairs(df: DataFrame, id_col: str, words_col: str, k: int = 5, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, repeats: bool = False) -> DataFrame:
     """All pairs of ids, smaller first, whose similarity reaches ``threshold``.
 
     Links are found between classes and then given to their members; copies of one text pair
-    among themselves. Rows as many as the pairs, by definition; see ``near_duplicates`` for a
+    among themselves; ``repeats`` as in ``near_duplicates``. Rows as many as the pairs, by definition; see ``near_duplicates`` for a
     result with a row per id.
     """
-    members = cut(classes(df, id_col, words_col, k))
+    members = cut(classes(df, id_col, words_col, k, repeats))
     links = class_links(members, threshold, bands, rows).select("__a", "__b")
     m = members.select("__id", "__c")
     left, right = m.select(F.col("__id").alias("x"), F.col("__c").alias("__a")), m.select(F.col("__id").alias("y"), F.col("__c").alias("__b"))

@@ -1,6 +1,7 @@
 """Signatures against exact similarity, links and groups against brute force."""
 
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -82,3 +83,18 @@ def test_words_and_shingles(spark):
     assert [r.w for r in df.select(N.words("t").alias("w")).collect()] == [["hello", "world", "power"], []]
     n = df.select(N.words("t").alias("w")).select(F.size(N.shingles(F.col("w"), 2)).alias("n"), F.size(N.shingles(F.col("w"), 5)).alias("m")).collect()
     assert [(r.n, r.m) for r in n] == [(2, 1), (0, 0)]
+
+
+def test_repeated_shingles_weigh_as_often_as_they_occur(spark):
+    rng = random.Random(5)
+    docs = [(i, [w for w in ws for _ in range(int(w[1:]) % 6 + rng.choice([1, 1, 2]))]) for i, ws in corpus(4, 240)]
+    docs += [("one", ["q", "r"]), ("often", ["q"] * 9 + ["r"]), ("often_too", ["r"] + ["q"] * 9), ("heavy_a", ["z"] * 20 + ["a", "b"]), ("heavy_b", ["z"] * 20 + ["c", "d"])]
+    count = {i: Counter(ws) for i, ws in docs}
+    like = lambda x, y: (x & y).total() / (x | y).total()
+    want = {(a, b) for n, a in enumerate(count) for b in list(count)[n + 1 :] if like(count[a], count[b]) >= 0.7}
+    plain = {(a, b) for n, a in enumerate(count) for b in list(count)[n + 1 :] if len({*count[a]} & {*count[b]}) / len({*count[a]} | {*count[b]}) >= 0.7}
+    df = spark.createDataFrame(docs, "id string, words array<string>")
+    got = {(r.id_a, r.id_b) for r in N.near_pairs(df, "id", "words", 1, 0.7, repeats=True).collect()}
+    assert got == {tuple(sorted(p)) for p in want} and len(want) > 20 and want - plain and plain - want and ("often", "often_too") in got
+    rows = {r.id: r for r in N.near_duplicates(df, "id", "words", 1, 0.7, repeats=True).collect()}
+    assert rows["often"].class_id == rows["often_too"].class_id != rows["one"].class_id and rows["one"].n_links == 0
