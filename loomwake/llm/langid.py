@@ -1,13 +1,16 @@
 """Language of each text and of each stretch of a text, by cross-parsing.
 
 For every language a suffix automaton is built over text labelled with it. A sentence is cut
-greedily into the longest phrases that occur in that text; the language that needs the fewest
-phrases per letter wins, and how much fewer tells the confidence. All sentences of a batch walk
-through an automaton in step, one letter at a time, as array operations.
+greedily into the longest phrases that occur in that text; the language whose phrases, each worth
+the logarithm of its training text's length, cost least per letter wins, and by how much tells the
+confidence. A sentence that changes its language is parted between words where the costs of its
+words, plus a price for each change, are least. All sentences of a batch walk through an automaton
+in step, one letter at a time, as array operations.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,15 +37,17 @@ LABELS = {
 #: Bounds of the training sample: labelled texts a language, characters of a text that may be in it,
 #: letters a language that its automaton is built over.
 SAMPLE_TEXTS, SAMPLE_CHARS, SAMPLE_LETTERS = 1500, 10_000, 40_000
+#: Longer sentences are not trained on, as they may be run-on and change their language.
+TRAIN_WORDS = 25
 #: Sentences with fewer words take the language of the stretch they stand in.
 LEAST_WORDS = 3
 #: Least relative difference to the next language for a sentence to be sure of its own.
 LEAST_MARGIN = 0.2
-#: Words from which a sentence counts as run on, the words of a piece of it, and the margin a piece needs.
-RUN_ON, PIECE, PIECE_MARGIN = 20, 8, 0.5
-#: Share of capitalised words from which a sentence is a list of names, and the margins that a
-#: sentence of names and one wholly in capitals need to be sure.
-NAMES, NAMES_MARGIN, CAPITALS_MARGIN = 0.8, 0.5, 0.4
+#: Price of a change of language inside a sentence, in phrases, and the margin a stretch of a parted sentence needs.
+CHANGE, PART_MARGIN = 7.0, 0.35
+#: Share of capitalised words from which a sentence, or a stretch of a parted one, is a list of
+#: names, and the margins that a sentence of names and one wholly in capitals need to be sure.
+NAMES, NAMES_PARTED, NAMES_MARGIN, CAPITALS_MARGIN = 0.8, 0.5, 0.5, 0.4
 _STOP = np.array([ord(c) for c in ".!?।…"], np.uint32)
 
 
@@ -73,11 +78,19 @@ def _fold() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Sentences:
-    """Sentences of a batch of texts: folded letters, where each begins, and its text and place."""
+    """Sentences of a batch of texts: folded letters, words, where each begins, and its text and place."""
 
     def __init__(self, texts: pa.Array):
-        a, _ = C.canonical_arrow(texts)
-        cp, off = C.code_points(a)
+        self._read(*C.code_points(C.canonical_arrow(texts)[0]))
+
+    @classmethod
+    def of(cls, cp: np.ndarray, off: np.ndarray) -> Sentences:
+        """From code points of texts in their one form, with the offsets of the texts."""
+        s = cls.__new__(cls)
+        s._read(cp, off)
+        return s
+
+    def _read(self, cp: np.ndarray, off: np.ndarray) -> None:
         low, letter, space, capital = _fold()
         n = len(off) - 1
         self.n_texts, self.lengths = n, np.diff(off)
@@ -92,58 +105,85 @@ class Sentences:
         begin[1:][ends] = True
         begin[off[:-1]] = True
         seg = np.cumsum(begin[: len(cp)]) - 1
-        word = ~blank
-        head = word.copy()
+        total = int(seg[-1]) + 1 if len(seg) else 0
+        # words between white space, if they have a letter or digit
+        head = ~blank
         head[1:] &= blank[:-1]
-        head[off[:-1][off[:-1] < len(cp)]] = word[off[:-1][off[:-1] < len(cp)]]
-        self.text_words = np.bincount(row[head], minlength=n)
+        heads = off[:-1][off[:-1] < len(cp)]
+        head[heads] = ~blank[heads]
+        at = np.flatnonzero(head)
+        said = np.logical_or.reduceat(C.tables().word[c], at) if len(at) else head[:0]
+        self.text_words = np.bincount(row[at[said]], minlength=n)
         wl = is_letter.copy()
         wl[1:] &= ~is_letter[:-1]
-        if len(cp):
-            wl[np.flatnonzero(begin[: len(cp)])] = is_letter[begin[: len(cp)]]
-        # run-on sentences are judged in pieces, as they may change language midway
-        counts, upto = np.bincount(seg[wl]), np.cumsum(wl)
-        counts = np.pad(counts, (0, int(seg[-1]) + 1 - len(counts) if len(seg) else 0))
-        nth = upto - np.concatenate(([0], np.cumsum(counts)))[seg] - 1
-        run_on = counts[seg] > RUN_ON
-        begin[: len(cp)] |= wl & run_on & (nth > 0) & (nth % PIECE == 0) & (counts[seg] - nth >= PIECE // 2)
-        seg = np.cumsum(begin[: len(cp)]) - 1
-        total = int(seg[-1]) + 1 if len(seg) else 0
+        first = np.flatnonzero(begin[: len(cp)])
+        wl[first] = is_letter[first]
         # letters, and one blank before each word but the first of a sentence
         keep = is_letter.copy()
         keep[:-1] |= ~is_letter[:-1] & is_letter[1:] & (seg[1:] == seg[:-1])
         keep &= ~(begin[: len(cp)] & ~is_letter)
-        letters, s = low[c[keep]], seg[keep]
-        letters = np.where(is_letter[keep], letters, 32)
-        words = np.bincount(seg[wl], minlength=total)
+        s = seg[keep]
+        self.letters = np.where(is_letter[keep], low[c[keep]], 32).astype(np.uint32)
         size = np.bincount(s, minlength=total)
         have = np.flatnonzero(size > 0)
-        first = np.flatnonzero(begin[: len(cp)])
-        stop = np.append(first[1:], len(cp))
-        self.letters = letters.astype(np.uint32)
         start = np.concatenate(([0], np.cumsum(size)))[:-1]
-        self.start, self.size, self.words = start[have], size[have], words[have]
+        self.start, self.size = start[have], size[have]
+        words = np.bincount(seg[wl], minlength=total)[have]
+        self.first_word = np.concatenate(([0], np.cumsum(words)))[:-1].astype(np.int64)
+        self.words = words
+        # per word: its first letter's place in the text and among the letters, capitals
+        self.word_at = np.flatnonzero(wl)
+        self.word_letter = np.flatnonzero((self.letters == 32) | _marked(len(self.letters), self.start)) if len(self.letters) else np.zeros(0, np.int64)
         upper = capital[c]
-        after = np.append(upper[1:], False)
-        titles = np.bincount(seg[wl & upper & ~after], minlength=total)[have]
-        capitals = np.bincount(seg[upper], minlength=total)[have]
-        self.namely = titles > NAMES * self.words
-        self.capitals = capitals * 2 > self.size
-        self.piece = run_on[first[have]] if len(first) else np.zeros(0, bool)
+        self.word_title = upper[self.word_at] & ~np.append(upper[1:], False)[self.word_at] if len(cp) else np.zeros(0, bool)
+        self.word_capitals = np.add.reduceat(upper, self.word_at, dtype=np.int64) if len(self.word_at) else np.zeros(0, np.int64)
+        stop = np.append(first[1:], len(cp))
         self.row = row[first[have]] if len(first) else np.zeros(0, np.int64)
+        self.word_at = self.word_at - off[np.repeat(self.row, self.words)] if len(self.row) else self.word_at
         self.begin, self.end = (first[have] - off[self.row], stop[have] - off[self.row]) if len(first) else (self.row, self.row)
+        self.parted = np.zeros(len(self.row), bool)
+        self._names()
+
+    def _names(self) -> None:
+        """Which sentences are mostly names, and which in capitals."""
+        if not len(self.words):
+            self.namely = self.capitals = np.zeros(0, bool)
+            return
+        self.namely = np.add.reduceat(self.word_title, self.first_word, dtype=np.int64) > np.where(self.parted, NAMES_PARTED, NAMES) * self.words
+        self.capitals = np.add.reduceat(self.word_capitals, self.first_word) * 2 > self.size
+
+    def part(self, new: np.ndarray) -> None:
+        """Part the sentences before the words marked in ``new``, which marks first words too."""
+        head = np.flatnonzero(new)
+        owner = np.repeat(np.arange(len(self.words)), self.words)[head]
+        several = np.bincount(owner, minlength=len(self.words)) > 1
+        at_start = head == self.first_word[owner]
+        self.begin = np.where(at_start, self.begin[owner], self.word_at[head])
+        last = np.append(owner[1:] != owner[:-1], True)
+        self.end = np.where(last, self.end[owner], np.append(self.begin[1:], 0))
+        begin = self.word_letter[head] + ~at_start  # without the blank before it
+        self.size = np.append(self.word_letter[head][1:], len(self.letters)) - begin
+        self.start, self.row, self.parted = begin, self.row[owner], several[owner]
+        self.words = np.append(head[1:], len(new)) - head
+        self.first_word = head
+        self._names()
 
     def text(self, i: int) -> str:
         return self.letters[self.start[i] : self.start[i] + self.size[i]].astype("<u4").tobytes().decode("utf-32-le")
 
 
+def _marked(n: int, at: np.ndarray) -> np.ndarray:
+    out = np.zeros(n, bool)
+    out[at] = True
+    return out
+
+
 class Automaton:
     """The suffix automaton of one text as a dense table: state and letter to state, 0 for none."""
 
     def __init__(self, text: str):
-        chars, counts = np.unique(np.array([ord(c) for c in text], np.uint32), return_counts=True)
-        chars = chars[np.argsort(-counts, kind="stable")][:96]
-        self.symbol = np.zeros(C.TOP, np.uint8)
+        chars = np.unique(np.minimum(np.array([ord(c) for c in text], np.uint32), C.TOP - 1))
+        self.symbol = np.zeros(C.TOP, np.int32)
         self.symbol[chars] = np.arange(1, len(chars) + 1)
         self.width = len(chars) + 1
         nxt, link, length = [{}], [-1], [0]
@@ -177,23 +217,24 @@ class Automaton:
         self.table[0 :: self.width] = 0
 
     def phrases(self, letters: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Phrases each sentence needs. ``size`` must not increase."""
-        symbols = self.symbol[np.minimum(letters, C.TOP - 1)].astype(np.int32)
-        state, count = np.zeros(len(start), np.int32), np.ones(len(start), np.float32)
+        """At each letter the phrases that end before it, or at it for a letter never met. ``size`` must not increase."""
+        symbols = self.symbol[np.minimum(letters, C.TOP - 1)]
+        state, ended = np.zeros(len(start), np.int32), np.zeros(len(letters), np.uint8)
         table = self.table
         live = len(start)
         for j in range(int(size[0]) if len(size) else 0):
             while live and size[live - 1] <= j:
                 live = int(np.searchsorted(-size, -j, "left"))
-            c = symbols[start[:live] + j]
+            at = start[:live] + j
+            c = symbols[at]
             to = table[state[:live] + c]
-            miss = to == 0
-            if miss.any():
+            miss = np.flatnonzero(to == 0)
+            if len(miss):
                 again = table[c[miss]]
-                count[:live][miss] += 1 + (again == 0)
+                ended[at[miss]] = 1 + (again == 0)
                 to[miss] = again
             state[:live] = to
-        return count
+        return ended
 
 
 @lru_cache(2)
@@ -202,22 +243,67 @@ def automata(training: tuple[tuple[str, str], ...]) -> tuple[tuple[str, Automato
 
 
 def judge(s: Sentences, training: tuple[tuple[str, str], ...]) -> tuple[np.ndarray, np.ndarray]:
-    """For each sentence the index of its language in ``training`` and the confidence, 0 to 1."""
+    """For each sentence the index of its language in ``training`` and the confidence, 0 to 1.
+
+    Sentences that change their language are parted in ``s``.
+    """
     if not len(s.start):
         return np.zeros(0, np.int64), np.zeros(0)
     order = np.argsort(-s.size, kind="stable")
-    cost = np.empty((len(training), len(order)), np.float32)
+    cost = np.empty((len(training), len(s.word_at)), np.float32)
+    most = max(len(text) for _, text in training)
+    weight = np.array([np.log(len(text) + 1) / np.log(most + 1) for _, text in training], np.float32)
     for k, (_, a) in enumerate(automata(training)):
-        cost[k, order] = a.phrases(s.letters, s.start[order], s.size[order])
-    cost /= s.size
+        cost[k] = np.add.reduceat(a.phrases(s.letters, s.start[order], s.size[order]), s.word_letter, dtype=np.int64) * weight[k]
+    s.part(_changes(s, cost))
+    cost = (np.add.reduceat(cost, s.first_word, axis=1) + weight[:, None]) / s.size
     best = cost.argmin(axis=0)
     low = np.partition(cost, 1, axis=0)[:2] if len(training) > 1 else np.stack([cost[0], np.ones_like(cost[0])])
     return best, 1 - low[0] / np.maximum(low[1], 1e-9)
 
 
+def _changes(s: Sentences, cost: np.ndarray) -> np.ndarray:
+    """Words at which the cheapest path of languages through a sentence begins or changes.
+
+    The path costs what its words cost and ``CHANGE`` for each change; all sentences with words
+    enough for two stretches are walked in step, forwards for the costs and backwards for the path.
+    """
+    new = _marked(cost.shape[1], s.first_word)
+    some = np.flatnonzero(s.words >= 2 * LEAST_WORDS)
+    # no path is dearer than the best single language; none is cheaper than the least of each word
+    single = np.add.reduceat(cost, s.first_word, axis=1).min(axis=0)
+    floor = np.add.reduceat(cost.min(axis=0), s.first_word)
+    some = some[(single - floor)[some] > CHANGE]
+    if not len(some) or len(cost) < 2:
+        return new
+    some = some[np.argsort(-s.words[some], kind="stable")]
+    first, n = s.first_word[some], s.words[some]
+    steps = np.arange(int(n[0]))
+    live = np.searchsorted(-n, -steps, "left")
+    here = np.zeros((len(cost), len(some)), np.float32)
+    came = np.zeros((int(live.sum()), len(cost)), np.int8)
+    base = np.concatenate(([0], np.cumsum(live)))
+    own = np.arange(len(cost), dtype=np.int8)[:, None]
+    for j in steps:
+        m = live[j]
+        least = here[:, :m].min(axis=0) + CHANGE
+        switch = here[:, :m] > least
+        came[base[j] : base[j + 1]] = np.where(switch, here[:, :m].argmin(axis=0).astype(np.int8), own).T
+        here[:, :m] = np.minimum(here[:, :m], least) + cost[:, first[:m] + j]
+    lang = here.argmin(axis=0)
+    for j in steps[::-1]:
+        m = live[j]
+        before = came[base[j] + np.arange(m), lang[:m]]
+        if j:
+            new[(first[:m] + j)[before != lang[:m]]] = True
+        lang[:m] = before
+    return new
+
+
 def settle(s: Sentences, best: np.ndarray, margin: np.ndarray, n_langs: int) -> tuple[np.ndarray, np.ndarray]:
     """Short or unsure sentences take the language most letters of their text have; which are sure."""
-    sure = (s.words >= LEAST_WORDS) & (margin >= np.where(s.piece, PIECE_MARGIN, np.where(s.capitals, CAPITALS_MARGIN, np.where(s.namely, NAMES_MARGIN, LEAST_MARGIN))))
+    need = np.where(s.namely, NAMES_MARGIN, np.where(s.capitals, CAPITALS_MARGIN, np.where(s.parted, PART_MARGIN, LEAST_MARGIN)))
+    sure = (s.words >= LEAST_WORDS) & (margin >= need)
     weight = np.bincount(s.row * n_langs + best, s.size * np.where(sure, 1.0, 0.01 * (margin + 0.01)), s.n_texts * n_langs).reshape(s.n_texts, n_langs)
     main = weight.argmax(axis=1)
     return np.where(sure, best, main[s.row]), sure
@@ -228,14 +314,15 @@ def clean(rows: list[tuple[str, str]]) -> tuple[tuple[str, str], ...]:
 
     Trigram counts over all sentences, each under its text's label, outvote wrong labels; each
     sentence is then labelled by them, twice over, and kept where both agree with a clear margin.
-    Sentences differing in nothing but digits and punctuation are used once.
+    Sentences differing in nothing but digits and punctuation are used once. Of a language with
+    more than ``SAMPLE_LETTERS`` the sentences with the least hashes are taken.
     """
     s = Sentences(pa.array([t for _, t in rows], pa.string()))
     langs = sorted({x for x, _ in rows}, key=lambda x: LANGUAGES.index(x) if x in LANGUAGES else 99)
     if not langs or not len(s.start):
         return ()
     mine = np.array([langs.index(x) for x, _ in rows])[s.row]
-    keep = s.words >= 5
+    keep = (s.words >= 5) & (s.words <= TRAIN_WORDS)
     sentence = np.repeat(np.arange(len(s.start)), s.size)
     x = s.letters.astype(np.uint64)
     gram = np.zeros(len(x), np.int64)
@@ -252,9 +339,11 @@ def clean(rows: list[tuple[str, str]]) -> tuple[tuple[str, str], ...]:
     top = np.sort(score, axis=0)
     gap = (top[-1] - top[-2]) / np.maximum(s.size, 1) if len(langs) > 1 else np.ones(len(s.start))
     texts: dict[int, dict[str, None]] = {k: {} for k in range(len(langs))}
-    for i in np.flatnonzero(keep & (gap > 0.15) & (label == mine) & ~s.namely):
+    names = np.add.reduceat(s.word_title, s.first_word, dtype=np.int64) > NAMES_PARTED * s.words
+    for i in np.flatnonzero(keep & (gap > 0.15) & (label == mine) & ~names):
         texts[int(label[i])][s.text(i)] = None
-    return tuple((lang, "\n".join(texts[k])[:SAMPLE_LETTERS]) for k, lang in enumerate(langs) if texts[k])
+    mixed = {k: sorted(texts[k], key=lambda x: hashlib.blake2b(x.encode(), digest_size=8).digest()) for k in texts}
+    return tuple((lang, "\n".join(mixed[k])[:SAMPLE_LETTERS]) for k, lang in enumerate(langs) if texts[k])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -288,9 +377,8 @@ def train(texts_df: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
     return clean(sorted((r.l, r.t) for r in got))
 
 
-def _label_batch(a: pa.Array, training: tuple[tuple[str, str], ...]) -> list[pa.Array]:
+def label(s: Sentences, training: tuple[tuple[str, str], ...]) -> list[pa.Array]:
     """Segments (stretches of one language), language, confidence and words of each text."""
-    s = Sentences(a)
     names = np.array([x for x, _ in training] + ["und"], object)
     best, margin = judge(s, training) if training else (np.zeros(len(s.start), np.int64), np.zeros(len(s.start)))
     k = max(len(training), 1)
@@ -318,7 +406,8 @@ def with_language(df: DataFrame, text_col: str, training: tuple[tuple[str, str],
 
     ``segments`` lists the stretches of one language in order with begin and end in characters
     of the text's one form (see ``normalize``). Texts without letters and nulls have no segments,
-    language ``und`` and confidence 0. Texts of any length are read whole. ``training`` is what
+    language ``und`` and confidence 0; ``words`` are those between white space that have a letter or
+    digit. Texts of any length are read whole. ``training`` is what
     ``train`` returns, of bounded size; workers build their automata from it once.
     """
     fields = df.select(*keep).schema.fields
@@ -332,6 +421,6 @@ def with_language(df: DataFrame, text_col: str, training: tuple[tuple[str, str],
             sizes = np.concatenate(([0], np.cumsum(np.asarray(pa.compute.binary_length(text).fill_null(0)).astype(np.int64))))
             for lo, hi in C.slices(sizes):
                 p = b.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*[p.column(c) for c in keep], *_label_batch(p.column("__text"), training)], [*keep, "segments", "lang", "confidence", "words"])
+                yield pa.RecordBatch.from_arrays([*[p.column(c) for c in keep], *label(Sentences(p.column("__text")), training)], [*keep, "segments", "lang", "confidence", "words"])
 
     return df.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)

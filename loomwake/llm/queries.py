@@ -39,17 +39,17 @@ def _labels(spark: SparkSession, d: str) -> DataFrame:
 def _languages(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "messages").select(ident("message_id").alias("message_id"), "message_text").where("message_id is not null")
     training = langid.train(m, _labels(spark, d), "message_id", "message_text", "lang")
-    return langid.with_language(m, "message_text", training, ["message_id"])
+    return langid.with_language(m.withColumn("text_hash", F.xxhash64("message_text")), "message_text", training, ["message_id", "text_hash"])
 
 
 def p3_segments(spark: SparkSession, d: str) -> DataFrame:
-    """Every message's stretches of one language, with the message's own language."""
-    t = _languages(spark, d).dropDuplicates(["message_id"])
-    s = t.select("message_id", F.col("lang").alias("text_lang"), F.posexplode_outer("segments").alias("segment", "s"))
-    return s.select("message_id", "text_lang", "segment", F.col("s.begin").alias("begin"), F.col("s.end").alias("end"), F.coalesce("s.lang", F.lit("und")).alias("lang"), F.round("s.confidence", 3).alias("confidence"))
+    """Every message text's stretches of one language, with the text's own language; an id that came with several texts has each."""
+    t = _languages(spark, d).dropDuplicates(["message_id", "text_hash"])
+    s = t.select("message_id", "text_hash", F.col("lang").alias("text_lang"), F.posexplode_outer("segments").alias("segment", "s"))
+    return s.select("message_id", "text_hash", "text_lang", "segment", F.col("s.begin").alias("begin"), F.col("s.end").alias("end"), F.coalesce("s.lang", F.lit("und")).alias("lang"), F.round("s.confidence", 3).alias("confidence"))
 
 
-#: Texts with fewer words have no language of their own.
+#: Texts with fewer words (with a letter or digit) have no language of their own.
 P3_WORDS = 6
 
 

@@ -33,7 +33,8 @@ def test_phrases_equal_brute_force():
     tests = ["".join(rng.choice("abcx ") for _ in range(rng.randrange(1, 60))) for _ in range(80)]
     tests.sort(key=len, reverse=True)
     size = np.array([len(t) for t in tests])
-    got = L.Automaton(text).phrases(np.array([ord(c) for t in tests for c in t], np.uint32), np.concatenate(([0], np.cumsum(size)[:-1])), size)
+    start = np.concatenate(([0], np.cumsum(size)[:-1]))
+    got = np.add.reduceat(L.Automaton(text).phrases(np.array([ord(c) for t in tests for c in t], np.uint32), start, size), start, dtype=int) + 1
     for t, g in zip(tests, got):
         assert g >= phrases(text, t) and (g == phrases(text, t) or "x" in t)
 
@@ -42,11 +43,45 @@ def test_sentences_and_mixed_text():
     training = L.clean(ROWS)
     assert [k for k, _ in training] == ["en", "es", "ru"]
     a = pa.array(["We go to the house every morning. El autobús llegó tarde por la puerta. Ok.", None, "", "12345 !!", "Сосед сказал что дверь закрыта"])
-    seg, lang, conf, words = (x.to_pylist() for x in L._label_batch(a, training))
+    seg, lang, conf, words = (x.to_pylist() for x in L.label(L.Sentences(a), training))
     assert [s["lang"] for s in seg[0]][:2] == ["en", "es"] and all(s["sure"] for s in seg[0][:2])
     assert seg[0][0]["begin"] == 0 and seg[0][0]["end"] <= seg[0][1]["begin"] + 1
     assert lang[1:4] == ["und"] * 3 and conf[1:4] == [0, 0, 0] and lang[4] == "ru"
-    assert words == [15, 0, 0, 2, 5]
+    assert words == [15, 0, 0, 1, 5]  # marks are no words
+
+
+def test_run_on_text_is_parted_where_the_language_changes():
+    training = L.clean(ROWS)
+    mixed = "please bring the keys before noon because the door is locked nuestro vecino dijo que el autobús llegó tarde otra vez"
+    [seg] = L.label(L.Sentences(pa.array([mixed])), training)[0].to_pylist()
+    assert [(x["lang"], mixed[x["begin"] : x["end"]].strip()) for x in seg] == [("en", mixed[:60].strip()), ("es", mixed[60:].strip())]
+    one = " ".join(r[1].rstrip(".") for r in ROWS if r[0] == "en")
+    [seg] = L.label(L.Sentences(pa.array([one])), training)[0].to_pylist()
+    assert [x["lang"] for x in seg] == ["en"]
+
+
+def test_changes_equal_brute_force():
+    import itertools
+
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        n = rng.integers(6, 8)
+        cost = rng.integers(0, 12, (2, n)).astype(np.float32)
+        s = L.Sentences(pa.array(["word " * int(n)]))
+        new = L._changes(s, cost)
+        price = lambda p: sum(cost[k, i] for i, k in enumerate(p)) + L.CHANGE * sum(a != b for a, b in zip(p, p[1:]))
+        best = min(map(price, itertools.product((0, 1), repeat=int(n))))
+        cuts = np.flatnonzero(new)
+        path = [min((0, 1), key=lambda k: cost[k, a:b].sum()) for a, b in zip(cuts, [*cuts[1:], n])]
+        assert price(np.repeat(path, np.diff([*cuts, n]))) <= best + 1e-4
+
+
+def test_training_text_is_not_the_alphabets_beginning(monkeypatch):
+    monkeypatch.setattr(L, "SAMPLE_LETTERS", 120)
+    words = "apple bread candle door evening forest garden house island jacket kitchen ladder market number orange pencil river summer table window yellow".split()
+    rows = [("en", f"{w} stands behind the old {v} of this town.") for w in words for v in words[:3]] + [("ru", "сад находится за старым домом и рекой.")]
+    heads = [x.split()[0] for x in dict(L.clean(rows))["en"].split("\n")]
+    assert heads != sorted(heads) or len(heads) < 3
 
 
 def test_wrong_labels_are_outvoted():
