@@ -2,9 +2,12 @@
 
 Of every ``W`` consecutive hashes of ``K`` words the least is kept as a fingerprint, on both
 sides by the same rule, so any span of ``K + W - 1`` words shared with an item shares a
-fingerprint. The test side is bounded and its fingerprints travel to the corpus: documents are
-read once, where they lie, and no fingerprint of the corpus is shuffled or gathered. Hits are
-then extended on the words themselves.
+fingerprint. Both sides are tables of fingerprints, joined on them; hits are then extended on the
+words themselves. Before the join a bit table of fixed size, set by the items' fingerprints, drops
+nearly all of the corpus's, so its texts are read once and hardly anything of them is shuffled.
+
+Items so short that the allowed edits may leave no such span have other fingerprints: all their
+hashes of as many words as every leak of them must keep together, sought at every place of a text.
 """
 
 from __future__ import annotations
@@ -14,12 +17,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwake.llm import codepoints as C
 from loomwake.llm.words import MULTIPLIER, Words
 from loomwake.llm.words import mix as _mix
+from loomwake.session import cut
 
 #: Words a fingerprint spans, and the window of which the least hash is kept: spans of 6 words are found.
 K, W = 3, 4
@@ -27,8 +32,13 @@ K, W = 3, 4
 RUN_WORDS, EDIT_SHARE = 16, 1 / 8
 #: Share of an item's words that its hits must touch before its whole is aligned.
 LEAST_COVER = 0.2
-#: Items that travel to the corpus at once; more are taken in blocks of this size.
-ITEMS_AT_ONCE = 20_000
+#: Bits of the table of the items' fingerprints. A full table drops nothing; the join is exact either way.
+BITS = 1 << 21
+#: Words compared at once when hits are extended.
+AT_ONCE = 4_000_000
+#: Kinds of fingerprints: winnowed ones, and all hashes of three, two or one word, for short items.
+WINNOWED, THREE, TWO, ONE = 0, 3, 2, 1
+
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of ``k`` consecutive words; the array is ``k - 1`` shorter."""
@@ -61,64 +71,89 @@ def winnow(g: np.ndarray, row: np.ndarray, w: int = W) -> np.ndarray:
     return np.flatnonzero(keep)
 
 
-class Items:
-    """Evaluation items and their fingerprints, sorted."""
-
-    def __init__(self, rows: list[tuple[int, str]]):
-        self.ids = [i for i, _ in rows]
-        w = Words(pa.array([t for _, t in rows], pa.string()))
-        self.words = [w.hash[a:b] for a, b in zip(w.start, w.start[1:])]
-        self.blank = [w.blank[a:b] for a, b in zip(w.start, w.start[1:])]
-        gram, row, at = gram_rows(w)
-        kept = winnow(gram, row)
-        order = np.argsort(gram[kept], kind="stable")
-        kept = kept[order]
-        self.print, self.item, self.at = gram[kept], row[kept], at[kept]
-        self.distinct = [frozenset(x.tolist()) for x in self.words]
-        self.need = np.array([least_hits(len(x)) for x in self.words] or [1], np.int64)
-        self.short: dict[int, dict[int, list[int]]] = {}
-        for i, x in enumerate(self.words):
-            if 0 < len(x) < K + W - 1:
-                self.short.setdefault(len(x), {}).setdefault(int(grams(x, len(x))[0]), []).append(i)
+def edits_allowed(n_words: int, share: float = EDIT_SHARE) -> int:
+    return int(n_words * share + 0.5)
 
-    def __len__(self) -> int:
-        return len(self.ids)
 
+def item_kind(n: int, n_words: int, run_words: int = RUN_WORDS, share: float = EDIT_SHARE) -> tuple[int, int]:
+    """Kind of fingerprints an item of ``n`` words has, and how many of them any text that leaks it must share.
 
-def least_hits(n: int, share: float = EDIT_SHARE) -> int:
-    """Fingerprints that an item of ``n`` words must share with any text that leaks it.
-
-    A run of 16 words has 14 hashes, so at least 3 are kept. With ``e`` words changed the rest lies
-    in ``e + 1`` stretches; in the worst case all but one are a word too short to keep any.
+    With ``e`` words replaced, added or left out, the unchanged ones lie in ``e + 1`` stretches, of
+    which the longest has at least ``(n - e) / (e + 1)``; that, or a run, decides the kind. All but one
+    stretch may each be a word too short for any fingerprint. ``n_words`` counts words between blanks.
     """
-    e = int(n * share + 0.5)
-    spare = n - e - (K + W - 2) * (e + 1)
-    return max(1, min((RUN_WORDS - K + 1) // W, (W - 1 + spare) // W))
-
-
-def gram_rows(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of ``K`` words within one text, the text and the place among its words."""
-    g = grams(w.hash, K)
-    same = w.row[: len(g)] == w.row[K - 1 : len(g) + K - 1] if len(g) else np.zeros(0, bool)
+    e = edits_allowed(n_words, share)
+    run = min(run_words, n_words)
+    longest = min(-(-(n - e) // (e + 1)), run) if n > e else 1
+    if longest >= K + W - 1:
+        spare = n - e - (K + W - 2) * (e + 1)
+        return WINNOWED, max(1, min((run - K + 1) // W, (W - 1 + spare) // W))
+    k = max(1, min(longest, 3))
+    return k, max(1, min(run - k + 1, n - e - (k - 1) * (e + 1)))
+
+
+def fingerprints(w: Words, kinds: list[int], bits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, place and value of each fingerprint of these kinds, by text; only those whose bit is set."""
+    rows, places, prints = [], [], []
+    for kind in kinds:
+        g, row, at = gram_rows(w, kind or K)
+        if kind == WINNOWED:
+            kept = winnow(g, row)
+            g, row, at = g[kept], row[kept], at[kept]
+        p = _mix(g ^ np.uint64((kind + 1) * 0x51ED270B))
+        if bits is not None:
+            ok = np.flatnonzero(bits[(p & np.uint64(BITS - 1)).astype(np.int64)])
+            p, row, at = p[ok], row[ok], at[ok]
+        rows.append(row)
+        places.append(at)
+        prints.append(p)
+    row, at, p = np.concatenate(rows or [np.zeros(0, np.int64)]), np.concatenate(places or [np.zeros(0, np.int64)]), np.concatenate(prints or [np.zeros(0, np.uint64)])
+    order = np.argsort(row, kind="stable") if len(kinds) > 1 else np.arange(len(row))
+    return row[order], at[order], p[order]
+
+
+def gram_rows(w: Words, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of ``k`` words within one text, the text and the place among its words."""
+    g = grams(w.hash, k)
+    same = w.row[: len(g)] == w.row[k - 1 : len(g) + k - 1] if len(g) else np.zeros(0, bool)
     at = np.flatnonzero(same)
     return g[at], w.row[at], at - w.start[w.row[at]]
 
 
-def longest_run(item: np.ndarray, blank: np.ndarray, doc: np.ndarray, shift: int) -> tuple[int, int]:
-    """Most consecutive words of the item found in the document at this offset, and words in common there."""
-    lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
-    if hi <= lo:
-        return 0, 0
-    eq = np.zeros(hi - lo + 2, bool)
-    eq[1:-1] = item[lo:hi] == doc[lo + shift : hi + shift]
-    edge = np.flatnonzero(eq[1:] != eq[:-1])
-    best = 0
-    for a, b in zip(edge[::2] + lo, edge[1::2] + lo):
-        if b - a > best:
-            whole = np.unique(blank[a:b])
-            cut = (a > 0 and blank[a - 1] == blank[a]) + (b < len(item) and blank[b - 1] == blank[b] if b < len(item) else 0)
-            best = max(best, len(whole) - cut)
-    return best, int(eq.sum())
+def short_words(w: Words) -> np.ndarray:
+    """Half of each word's hash: enough to compare words whose fingerprints agree."""
+    return (w.hash & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
+def extend(item: np.ndarray, item_off: np.ndarray, blank: np.ndarray, doc: np.ndarray, doc_off: np.ndarray, pair: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each hit (its pair and offset of the item in the text) the longest common run and the words in common.
+
+    All hits are laid end to end and compared at once. ``item`` and ``doc`` hold the words of
+    each pair's two sides; runs are counted in words between blanks that are in them whole.
+    """
+    n, m = np.diff(item_off)[pair], np.diff(doc_off)[pair]
+    lo, hi = np.maximum(0, -shift), np.minimum(n, m - shift)
+    size = np.maximum(hi - lo, 0)
+    if size.sum() > AT_ONCE and len(pair) > 1:
+        half = len(pair) // 2
+        both = [extend(item, item_off, blank, doc, doc_off, pair[x], shift[x]) for x in (slice(None, half), slice(half, None))]
+        return np.concatenate([x for x, _ in both]), np.concatenate([x for _, x in both])
+    hit = np.repeat(np.arange(len(pair)), size)
+    j = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + lo[hit]  # place in the item
+    at = item_off[pair][hit] + j
+    eq = item[at] == doc[doc_off[pair][hit] + j + shift[hit]]
+    common = np.bincount(hit, eq, len(pair)).astype(np.int64)
+    new = np.ones(len(hit), bool)
+    new[1:] = hit[1:] != hit[:-1]
+    first = np.flatnonzero(eq & (new | ~np.append(False, eq[:-1])))
+    last = np.flatnonzero(eq & (np.append(new[1:], True) | ~np.append(eq[1:], False)))
+    a, b = at[first], at[last]  # of the run, both within the item
+    begin, end = item_off[pair][hit[first]], item_off[pair + 1][hit[first]]
+    before = (a > begin) & (blank[np.maximum(a - 1, 0)] == blank[a])
+    after = (b + 1 < end) & (blank[np.minimum(b + 1, len(blank) - 1)] == blank[b])
+    run = np.zeros(len(pair), np.int64)
+    np.maximum.at(run, hit[first], blank[b] - blank[a] + 1 - before - after)
+    return run, common
 
 
 def edits(item: np.ndarray, doc: np.ndarray) -> int:
@@ -144,53 +179,36 @@ def edits(item: np.ndarray, doc: np.ndarray) -> int:
     return best
 
 
-def leaks(w: Words, items: Items, run_words: int = RUN_WORDS, share: float = EDIT_SHARE) -> list[tuple[int, int, int, int]]:
-    """Text, item, consecutive words and edits of each leak among the texts of ``w``."""
-    gram, row, at = gram_rows(w)
-    kept = winnow(gram, row)
-    gram, row, at = gram[kept], row[kept], at[kept]
-    lo, hi = np.searchsorted(items.print, gram, "left"), np.searchsorted(items.print, gram, "right")
-    n = hi - lo
-    src = np.repeat(np.arange(len(gram)), n)
-    hit = np.repeat(lo - np.concatenate(([0], np.cumsum(n)))[:-1], n) + np.arange(int(n.sum())) if len(n) else src
-    r, i, shift = row[src], items.item[hit], at[src] - items.at[hit]
-    out = []
+def verify(item: np.ndarray, item_off: np.ndarray, blank: np.ndarray, doc: np.ndarray, doc_off: np.ndarray, pair: np.ndarray, shift: np.ndarray, run_words: int = RUN_WORDS, share: float = EDIT_SHARE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which pairs are leaks, with the longest run and, where that isn't enough, the word edits of the whole."""
+    pairs = len(item_off) - 1
+    order = np.lexsort((shift, pair))
+    pair, shift = pair[order], shift[order]
+    once = np.append(True, (pair[1:] != pair[:-1]) | (shift[1:] != shift[:-1])) if len(pair) else np.zeros(0, bool)
+    pair, shift = pair[once], shift[once]
+    runs, commons = extend(item, item_off, blank, doc, doc_off, pair, shift)
+    run = np.zeros(pairs, np.int64)
+    np.maximum.at(run, pair, runs)
+    common = np.bincount(pair, commons, pairs)
+    n = np.diff(item_off)
+    n_words = np.where(n > 0, blank[np.maximum(item_off[1:] - 1, 0)] - blank[np.minimum(item_off[:-1], max(len(blank) - 1, 0))] + 1, 0) if len(blank) else n
+    leak = (run >= np.minimum(run_words, n_words)) & (n > 0)
+    wrong = np.where(leak, np.where(run >= run_words, 0, n), n)
     of, in_doc = -1, set()
-    if len(r):
-        pair = r * len(items) + i
-        _, which, times = np.unique(pair, return_inverse=True, return_counts=True)
-        enough = times[which] >= items.need[i]
-        key = np.unique(np.stack([r[enough], i[enough], shift[enough]], 1), axis=0)
-        cut = np.flatnonzero((np.diff(key[:, 0]) != 0) | (np.diff(key[:, 1]) != 0)) + 1
-        for part in np.split(key, cut) if len(key) else []:
-            t, k = int(part[0, 0]), int(part[0, 1])
-            doc, item, blank = w.hash[w.start[t] : w.start[t + 1]], items.words[k], items.blank[k]
-            run = common = 0
-            for s in part[:, 2]:
-                a, b = longest_run(item, blank, doc, int(s))
-                run, common = max(run, a), common + b
-            n_words = len(np.unique(blank))
-            wrong = len(item)
-            most = share * n_words + 0.5
-            if run < run_words and common >= LEAST_COVER * len(item):
-                if t != of:
-                    of, in_doc = t, set(doc.tolist())
-                if len(items.distinct[k] - in_doc) > most:  # each change can take away one word
-                    continue
-                slack = len(item) // 2 + 8
-                for s in _clusters(part[:, 2], slack):
-                    a, b = max(0, s[0] - slack), min(len(doc), s[1] + len(item) + slack)
-                    wrong = min(wrong, edits(item, doc[a:b]))
-            if run >= min(run_words, n_words) or wrong <= most:
-                out.append((t, k, run, wrong if run < run_words else 0))
-    for size, prints in items.short.items():
-        g = grams(w.hash, size)
-        if len(g):
-            known = np.array(list(prints), np.uint64)
-            for p in np.flatnonzero(np.isin(g, known)):
-                if w.row[p] == w.row[p + size - 1]:
-                    out += [(int(w.row[p]), k, len(np.unique(items.blank[k])), 0) for k in prints[int(g[p])]]
-    return sorted(set(out))
+    bound = np.searchsorted(pair, np.arange(pairs + 1))
+    for k in np.flatnonzero((run < run_words) & (common >= LEAST_COVER * n) & (n > 0)):
+        most = edits_allowed(int(n_words[k]), share)
+        mine = item[item_off[k] : item_off[k + 1]]
+        text = doc[doc_off[k] : doc_off[k + 1]]
+        if of != k:
+            of, in_doc = k, set(text.tolist())
+        if len(set(mine.tolist()) - in_doc) > most:  # each change can take away one word
+            continue
+        slack = len(mine) // 2 + 8
+        for lo, hi in _clusters(shift[bound[k] : bound[k + 1]], slack):
+            wrong[k] = min(wrong[k], edits(mine, text[max(0, lo - slack) : min(len(text), hi + len(mine) + slack)]))
+        leak[k] |= wrong[k] <= most
+    return leak, run, wrong
 
 
 def _clusters(shifts: np.ndarray, gap: int) -> list[tuple[int, int]]:
@@ -199,44 +217,107 @@ def _clusters(shifts: np.ndarray, gap: int) -> list[tuple[int, int]]:
     return [(int(x[0]), int(x[-1])) for x in np.split(s, cut)]
 
 
+def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """``values``, end to end, as one list a row."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(values, kind))
+
+
+def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, Words]]:
+    """Ids and words of the batches' rows, in slices of some size."""
+    for b in batches:
+        texts = b.column("t")
+        sizes = np.concatenate(([0], np.cumsum(np.asarray(pa.compute.binary_length(texts).fill_null(0)).astype(np.int64))))
+        for lo, hi in C.slices(sizes):
+            yield b.column("i").slice(lo, hi - lo), Words(texts.slice(lo, hi - lo))
+
+
+def _numbers(n: int, start: int) -> np.ndarray:
+    """Numbers that no other task gives."""
+    return (TaskContext.get().partitionId() << 40) + start + np.arange(n)
+
+
+def _item_rows(batches: Iterator[pa.RecordBatch], run_words: int, share: float) -> Iterator[pa.RecordBatch]:
+    seen = 0
+    for ids, w in _sides(batches):
+        n = np.diff(w.start)
+        fresh = np.append(True, (w.blank[1:] != w.blank[:-1]) | (w.row[1:] != w.row[:-1])) if len(w.blank) else np.zeros(0, bool)
+        nth = np.cumsum(fresh) - 1
+        ordinal = nth - np.repeat(nth[np.minimum(w.start[:-1], max(len(nth) - 1, 0))], n) if len(nth) else nth
+        n_words = np.bincount(w.row[fresh], minlength=w.n_texts)
+        kinds = [item_kind(int(a), int(b), run_words, share) if a else (WINNOWED, 1) for a, b in zip(n, n_words)]
+        kind = np.array([x for x, _ in kinds], np.int64)
+        parts = [(r[m], a[m], q[m]) for k in sorted(set(kind.tolist())) for r, a, q in [fingerprints(w, [k])] for m in [kind[r] == k]]  # each of its own kind
+        row, at, p = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(row, kind="stable")
+        row, at, p = row[order], at[order], p[order]
+        counts = np.bincount(row, minlength=w.n_texts)
+        yield pa.RecordBatch.from_arrays(
+            [ids, pa.array(_numbers(w.n_texts, seen)), _lists(short_words(w).view(np.int32), n, pa.int32()), _lists(ordinal.astype(np.int32), n, pa.int32()), pa.array(kind.astype(np.int32)), pa.array(np.array([x for _, x in kinds], np.int32)), _lists(p.view(np.int64), counts, pa.int64()), _lists(at.astype(np.int32), counts, pa.int32())],
+            ["item", "item_row", "item_words", "blank", "kind", "need", "p", "at"],
+        )
+        seen += w.n_texts
+
+
+def _doc_rows(batches: Iterator[pa.RecordBatch], kinds: list[int], bits: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:
+    seen = 0
+    for ids, w in _sides(batches):
+        row, at, p = fingerprints(w, kinds, bits)
+        counts = np.bincount(row, minlength=w.n_texts)
+        some = np.flatnonzero(counts >= least)
+        held, n = np.isin(row, some), np.diff(w.start)
+        words = short_words(w)[np.isin(w.row, some)]
+        yield pa.RecordBatch.from_arrays(
+            [ids.take(pa.array(some)), pa.array(_numbers(w.n_texts, seen)[some]), _lists(words.view(np.int32), n[some], pa.int32()), _lists(p[held].view(np.int64), counts[some], pa.int64()), _lists(at[held].astype(np.int32), counts[some], pa.int32())],
+            ["doc", "doc_row", "doc_words", "p", "at"],
+        )
+        seen += w.n_texts
+
+
+def _flat(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    a = a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a
+    off = np.asarray(a.offsets).astype(np.int64)
+    return np.asarray(a.values)[off[0] : off[-1]], off - off[0]
+
+
+def _verified(batches: Iterator[pa.RecordBatch], run_words: int, share: float, names: list[str]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        item, item_off = _flat(b.column("item_words"))
+        blank, _ = _flat(b.column("blank"))
+        doc, doc_off = _flat(b.column("doc_words"))
+        shift, shift_off = _flat(b.column("shifts"))
+        pair = np.repeat(np.arange(b.num_rows), np.diff(shift_off))
+        leak, run, wrong = verify(item, item_off, blank.astype(np.int64), doc, doc_off, pair, shift.astype(np.int64), run_words, share)
+        at = pa.array(np.flatnonzero(leak))
+        yield pa.RecordBatch.from_arrays([b.column("doc").take(at), b.column("item").take(at), pa.array(run[leak].astype(np.int32)), pa.array(wrong[leak].astype(np.int32))], names)
+
+
 def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, run_words: int = RUN_WORDS, share: float = EDIT_SHARE) -> DataFrame:
     """Documents that contain passages of items: ``doc_id``, ``item_id``, ``run_words``, ``word_edits``.
 
     A document leaks an item if it has ``run_words`` consecutive words of it (all of a shorter
-    item), or the item from start to end with at most the given share of words changed. Documents
-    and items of any length are read whole; the items come to the driver in blocks of
-    ``ITEMS_AT_ONCE``, each block one pass over the documents, so their number has no limit.
+    item), or the item from start to end with at most the given share of words changed, rounded to
+    the nearest word. Documents and items of any length and number are read whole, each once:
+    fingerprints of both are tables that are joined (which side is broadcast, if any, is left to
+    its size). What comes to the driver are the set bits of a table of ``BITS``, at most that many.
 
-    Null or empty texts leak nothing, repeated rows give repeated results, a document may leak
-    several items. Empty tables give an empty result.
+    Null or empty texts leak nothing, repeated rows give repeated results, null ids come out as
+    null, a document may leak several items. Empty tables give an empty result.
     """
     kind = {f.name: f.dataType.simpleString() for f in docs.schema.fields}[doc_id]
     kind_i = {f.name: f.dataType.simpleString() for f in items.schema.fields}[item_id]
-    schema = f"`{doc_id}` {kind}, `{item_id}` {kind_i}, run_words int, word_edits int"
+    names = [doc_id, item_id, "run_words", "word_edits"]
+    side = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("t is not null")
+    known = cut(side.mapInArrow(lambda it: _item_rows(it, run_words, share), f"item {kind_i}, item_row long, item_words array<int>, blank array<int>, kind int, need int, p array<long>, at array<int>"))
+    prints = known.select("item_row", "need", F.explode(F.arrays_zip("p", "at")).alias("x")).select("item_row", "need", "x.p", F.col("x.at").alias("item_at"))
+    set_bits = prints.select(F.col("p").bitwiseAND(F.lit(BITS - 1)).cast("int").alias("b")).distinct().toPandas().b
+    bits = np.zeros(BITS, bool)
+    bits[set_bits.to_numpy(np.int64)] = True
+    told = known.where(F.size("p") > 0).groupBy("kind").agg(F.min("need").alias("need")).collect()
+    kinds, least = sorted(r.kind for r in told), min((r.need for r in told), default=1)
     source = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t"))
-    out = None
-    block: list[tuple[int, str]] = []
-
-    def scan(rows: list[tuple[int, str]]) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = Items(rows)
-            for b in batches:
-                ids, texts = b.column("i"), b.column("t")
-                sizes = np.concatenate(([0], np.cumsum(np.asarray(pa.compute.binary_length(texts).fill_null(0)).astype(np.int64))))
-                for lo, hi in C.slices(sizes):
-                    got = leaks(Words(texts.slice(lo, hi - lo)), known, run_words, share)
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array([lo + g[0] for g in got], pa.int64())), pa.array([known.ids[g[1]] for g in got], pa.from_numpy_dtype(np.int64) if kind_i in ("bigint", "int") else pa.string()).cast(pa.int32() if kind_i == "int" else pa.int64() if kind_i == "bigint" else pa.string()), pa.array([g[2] for g in got], pa.int32()), pa.array([g[3] for g in got], pa.int32())],
-                        [doc_id, item_id, "run_words", "word_edits"],
-                    )
-
-        return source.mapInArrow(run, schema)
-
-    for r in items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").toLocalIterator():
-        block.append((r.i, r.t))
-        if len(block) == ITEMS_AT_ONCE:
-            out = scan(block) if out is None else out.unionByName(scan(block))
-            block = []
-    if block or out is None:
-        out = scan(block) if out is None else out.unionByName(scan(block))
-    return out
+    hits = cut(source.mapInArrow(lambda it: _doc_rows(it, kinds, bits, least), f"doc {kind}, doc_row long, doc_words array<int>, p array<long>, at array<int>"))
+    each = hits.select("doc_row", F.explode(F.arrays_zip("p", "at")).alias("x")).select("doc_row", "x.p", F.col("x.at").alias("doc_at"))
+    pairs = each.join(prints, "p").groupBy("doc_row", "item_row").agg(F.max("need").alias("need"), F.countDistinct("doc_at").alias("n"), F.collect_set(F.col("doc_at") - F.col("item_at")).alias("shifts")).where("n >= need")
+    whole = pairs.join(hits.select("doc_row", "doc", "doc_words"), "doc_row").join(known.select("item_row", "item", "item_words", "blank"), "item_row")
+    found = whole.select("doc", "item", "doc_words", "item_words", "blank", "shifts")
+    return found.mapInArrow(lambda it: _verified(it, run_words, share, names), f"`{doc_id}` {kind}, `{item_id}` {kind_i}, run_words int, word_edits int")

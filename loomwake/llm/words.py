@@ -48,8 +48,16 @@ class Words:
     """
 
     def __init__(self, texts: pa.Array):
-        a, _ = C.canonical_arrow(texts)
-        cp, off = C.code_points(a)
+        self._read(*C.code_points(C.canonical_arrow(texts)[0]))
+
+    @classmethod
+    def of(cls, cp: np.ndarray, off: np.ndarray) -> Words:
+        """From code points of texts in their one form, with the offsets of the texts."""
+        w = cls.__new__(cls)
+        w._read(cp, off)
+        return w
+
+    def _read(self, cp: np.ndarray, off: np.ndarray) -> None:
         low, word = _fold()
         n = len(off) - 1
         c = np.minimum(cp, C.TOP - 1)
