@@ -93,6 +93,10 @@ class Tables:
         self.second = np.zeros(TOP, bool)
         self.second[[k & 0x1FFFFF for k in pairs]] = True
         self.second[[*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]] = True
+        self.latin = self.script == _SCRIPTS["LATIN"]
+        # what stays as it is next to anything: no form of another, no mark, nothing that joins what stands before it
+        self.stable = ~(self.drop | self.space | self.second | (self.ccc > 0))
+        self.stable[[c for c, full in into.items() if U.normalize("NFKC", chr(c)) != chr(c)]] = False
         self.pair_keys = np.array(sorted(pairs), np.uint64)
         self.pair_to = np.array([pairs[k] for k in sorted(pairs)], np.uint32)
         self.alike = np.zeros((4, TOP), np.uint32)  # per target script: the look-alike, or 0
@@ -122,6 +126,13 @@ def code_points(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return cp, starts[offsets - offsets[0]]
 
 
+def take(cp: np.ndarray, off: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points and offsets of some of the texts."""
+    sizes = np.diff(off)[rows]
+    new = np.concatenate(([0], np.cumsum(sizes)))
+    return cp[np.repeat(off[rows] - new[:-1], sizes) + np.arange(new[-1])], new
+
+
 def to_arrow(cp: np.ndarray, off: np.ndarray) -> pa.Array:
     """The texts again."""
     width = np.zeros(len(cp) + 1, np.int64)
@@ -306,10 +317,22 @@ def slices(off: np.ndarray, size: int = SLICE) -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[1:]))
 
 
+def _several(script: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Texts with two values other than 0."""
+    n = len(off) - 1
+    low, high = np.full(n, 1 << 30), np.zeros(n, np.int64)
+    at = np.flatnonzero(script)
+    row = np.searchsorted(off, at, "right") - 1
+    np.minimum.at(low, row, script[at])
+    np.maximum.at(high, row, script[at])
+    return high > low
+
+
 def canonical_arrow(a: pa.Array, all_latin: bool = False) -> tuple[pa.Array, np.ndarray]:
     """``canonical`` on Arrow text: the texts (null stays null) and their kinds.
 
-    Only texts with a character outside ASCII are worked on; the rest are in their one form.
+    Only texts with a character that may change, or with letters of two scripts, are worked on;
+    the rest are in their one form.
     """
     a = a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a
     cp, off = code_points(a)
@@ -319,10 +342,19 @@ def canonical_arrow(a: pa.Array, all_latin: bool = False) -> tuple[pa.Array, np.
     total = np.zeros(len(cp) + 1, np.int64)
     np.cumsum(cp >= 0x80, out=total[1:])
     rich = np.flatnonzero(total[off[1:]] > total[off[:-1]])
-    lens = np.diff(off)[rich]
-    sub_off = np.concatenate(([0], np.cumsum(lens)))
-    take = np.repeat(off[rich] - sub_off[:-1], lens) + np.arange(sub_off[-1])
-    sub = cp[take]
+    sub, sub_off = take(cp, off, rich)
+    t, c = tables(), np.minimum(sub, TOP - 1)
+    some = lambda mask: np.diff(np.concatenate(([0], np.cumsum(mask)))[sub_off]) > 0
+    moved = some(~t.stable[c] | (sub >= TOP)) | all_latin
+    if not all_latin:
+        moved |= some(t.latin[c]) & some((t.script[c] > 0) & ~t.latin[c])
+        moved |= some(t.script[c] == 2) & some(t.script[c] > 2)
+        rest = t.script[c] > 3
+        moved |= some(rest) & some((t.script[c] == 2) | (t.script[c] == 3)) | _several(np.where(rest, t.script[c], 0), sub_off)
+    if not moved.any():
+        return a.cast(pa.large_string()), kinds
+    rich = rich[moved]
+    sub, sub_off = take(cp, off, rich)
     pieces = []
     for lo, hi in slices(sub_off):
         c, o, k = canonical(sub[sub_off[lo] : sub_off[hi]], sub_off[lo : hi + 1] - sub_off[lo], all_latin)

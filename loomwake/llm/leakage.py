@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwake.llm import codepoints as C
@@ -194,27 +194,41 @@ def verify(item: np.ndarray, item_off: np.ndarray, blank: np.ndarray, doc: np.nd
     n_words = np.where(n > 0, blank[np.maximum(item_off[1:] - 1, 0)] - blank[np.minimum(item_off[:-1], max(len(blank) - 1, 0))] + 1, 0) if len(blank) else n
     leak = (run >= np.minimum(run_words, n_words)) & (n > 0)
     wrong = np.where(leak, np.where(run >= run_words, 0, n), n)
-    of, in_doc = -1, set()
-    bound = np.searchsorted(pair, np.arange(pairs + 1))
-    for k in np.flatnonzero((run < run_words) & (common >= LEAST_COVER * n) & (n > 0)):
-        most = edits_allowed(int(n_words[k]), share)
-        mine = item[item_off[k] : item_off[k + 1]]
-        text = doc[doc_off[k] : doc_off[k + 1]]
-        if of != k:
-            of, in_doc = k, set(text.tolist())
-        if len(set(mine.tolist()) - in_doc) > most:  # each change can take away one word
-            continue
-        slack = len(mine) // 2 + 8
-        for lo, hi in _clusters(shift[bound[k] : bound[k + 1]], slack):
-            wrong[k] = min(wrong[k], edits(mine, text[max(0, lo - slack) : min(len(text), hi + len(mine) + slack)]))
-        leak[k] |= wrong[k] <= most
+    most = np.floor(n_words * share + 0.5).astype(np.int64)
+    slack = n // 2 + 8
+    new = np.append(True, (pair[1:] != pair[:-1]) | (shift[1:] - shift[:-1] > slack[pair[1:]])) if len(pair) else np.zeros(0, bool)
+    head = np.flatnonzero(new)
+    of, lo, hi = pair[head], shift[head], shift[np.append(head[1:], len(pair)) - 1] if len(head) else shift[head]
+    some = (run[of] < run_words) & (common[of] >= LEAST_COVER * n[of]) & (n[of] > 0)
+    of, lo, hi = of[some], lo[some], hi[some]
+    near = n[of] - _near(item, item_off, doc, doc_off, of, lo - most[of], hi + most[of]) <= most[of]
+    for k, x, y in zip(of[near], lo[near], hi[near]):
+        mine, text = item[item_off[k] : item_off[k + 1]], doc[doc_off[k] : doc_off[k + 1]]
+        wrong[k] = min(wrong[k], edits(mine, text[max(0, x - slack[k]) : min(len(text), y + len(mine) + slack[k])]))
+        leak[k] |= wrong[k] <= most[k]
     return leak, run, wrong
 
 
-def _clusters(shifts: np.ndarray, gap: int) -> list[tuple[int, int]]:
-    s = np.sort(shifts)
-    cut = np.flatnonzero(np.diff(s) > gap) + 1
-    return [(int(x[0]), int(x[-1])) for x in np.split(s, cut)]
+def _near(item: np.ndarray, item_off: np.ndarray, doc: np.ndarray, doc_off: np.ndarray, pair: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """How many words of each pair's item stand in the text at some offset from ``lo`` to ``hi``: no alignment there keeps more."""
+    n = np.diff(item_off)[pair]
+    if n.sum() > AT_ONCE and len(pair) > 1:
+        half = len(pair) // 2
+        return np.concatenate([_near(item, item_off, doc, doc_off, pair[x], lo[x], hi[x]) for x in (slice(None, half), slice(half, None))])
+    owner = np.repeat(np.arange(len(pair)), n)
+    j = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    word = item[item_off[pair][owner] + j]
+    begin, end = doc_off[pair][owner], doc_off[pair + 1][owner]
+    at, last = begin + j + lo[owner], begin + j + hi[owner]
+    seen, open_ = np.zeros(len(word), bool), np.arange(len(word))
+    while len(open_):  # words not yet seen, one offset further at a time
+        x = at[open_]
+        inside = (x >= begin[open_]) & (x < end[open_])
+        hit = inside & (doc[np.minimum(np.maximum(x, 0), max(len(doc) - 1, 0))] == word[open_])
+        seen[open_[hit]] = True
+        at[open_] += 1
+        open_ = open_[~hit & (at[open_] <= last[open_]) & (at[open_] < end[open_])]
+    return np.bincount(owner, seen, len(pair)).astype(np.int64)
 
 
 def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -252,8 +266,8 @@ def _item_rows(batches: Iterator[pa.RecordBatch], run_words: int, share: float)
         row, at, p = row[order], at[order], p[order]
         counts = np.bincount(row, minlength=w.n_texts)
         yield pa.RecordBatch.from_arrays(
-            [ids, pa.array(_numbers(w.n_texts, seen)), _lists(short_words(w).view(np.int32), n, pa.int32()), _lists(ordinal.astype(np.int32), n, pa.int32()), pa.array(kind.astype(np.int32)), pa.array(np.array([x for _, x in kinds], np.int32)), _lists(p.view(np.int64), counts, pa.int64()), _lists(at.astype(np.int32), counts, pa.int32())],
-            ["item", "item_row", "item_words", "blank", "kind", "need", "p", "at"],
+            [ids, pa.array(_numbers(w.n_texts, seen)), _lists(short_words(w).view(np.int32), n, pa.int32()), _lists(ordinal.astype(np.int32), n, pa.int32()), pa.array(kind.astype(np.int32)), pa.array(np.array([x for _, x in kinds], np.int32)), pa.array(np.floor(n_words * share + 0.5).astype(np.int32)), _lists(p.view(np.int64), counts, pa.int64()), _lists(at.astype(np.int32), counts, pa.int32())],
+            ["item", "item_row", "item_words", "blank", "kind", "need", "spread", "p", "at"],
         )
         seen += w.n_texts
 
@@ -291,6 +305,13 @@ def _verified(batches: Iterator[pa.RecordBatch], run_words: int, share: float, n
         yield pa.RecordBatch.from_arrays([b.column("doc").take(at), b.column("item").take(at), pa.array(run[leak].astype(np.int32)), pa.array(wrong[leak].astype(np.int32))], names)
 
 
+def _together(hits: str, need: str, spread: str) -> Column:
+    """Whether so many hits lie on offsets that differ by at most ``spread``: edits move the rest of an item by no more."""
+    s = F.array_sort(F.col(f"{hits}.shift"))
+    far = F.transform(F.slice(s, F.col(need), F.greatest(F.size(s) - F.col(need) + 1, F.lit(0))), lambda x, i: x - F.get(s, i) <= F.col(spread))
+    return (F.size(s) >= F.col(need)) & F.exists(far, lambda x: x)
+
+
 def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, run_words: int = RUN_WORDS, share: float = EDIT_SHARE) -> DataFrame:
     """Documents that contain passages of items: ``doc_id``, ``item_id``, ``run_words``, ``word_edits``.
 
@@ -307,8 +328,8 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     kind_i = {f.name: f.dataType.simpleString() for f in items.schema.fields}[item_id]
     names = [doc_id, item_id, "run_words", "word_edits"]
     side = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("t is not null")
-    known = cut(side.mapInArrow(lambda it: _item_rows(it, run_words, share), f"item {kind_i}, item_row long, item_words array<int>, blank array<int>, kind int, need int, p array<long>, at array<int>"))
-    prints = known.select("item_row", "need", F.explode(F.arrays_zip("p", "at")).alias("x")).select("item_row", "need", "x.p", F.col("x.at").alias("item_at"))
+    known = cut(side.mapInArrow(lambda it: _item_rows(it, run_words, share), f"item {kind_i}, item_row long, item_words array<int>, blank array<int>, kind int, need int, spread int, p array<long>, at array<int>"))
+    prints = known.select("item_row", "need", "spread", F.explode(F.arrays_zip("p", "at")).alias("x")).select("item_row", "need", "spread", "x.p", F.col("x.at").alias("item_at"))
     set_bits = prints.select(F.col("p").bitwiseAND(F.lit(BITS - 1)).cast("int").alias("b")).distinct().toPandas().b
     bits = np.zeros(BITS, bool)
     bits[set_bits.to_numpy(np.int64)] = True
@@ -317,7 +338,8 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     source = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t"))
     hits = cut(source.mapInArrow(lambda it: _doc_rows(it, kinds, bits, least), f"doc {kind}, doc_row long, doc_words array<int>, p array<long>, at array<int>"))
     each = hits.select("doc_row", F.explode(F.arrays_zip("p", "at")).alias("x")).select("doc_row", "x.p", F.col("x.at").alias("doc_at"))
-    pairs = each.join(prints, "p").groupBy("doc_row", "item_row").agg(F.max("need").alias("need"), F.countDistinct("doc_at").alias("n"), F.collect_set(F.col("doc_at") - F.col("item_at")).alias("shifts")).where("n >= need")
+    pairs = each.join(prints, "p").groupBy("doc_row", "item_row").agg(F.max("need").alias("need"), F.max("spread").alias("spread"), F.collect_set(F.struct("doc_at", (F.col("doc_at") - F.col("item_at")).alias("shift"))).alias("hits"))
+    pairs = pairs.where(_together("hits", "need", "spread")).select("doc_row", "item_row", F.array_distinct(F.col("hits.shift")).alias("shifts"))
     whole = pairs.join(hits.select("doc_row", "doc", "doc_words"), "doc_row").join(known.select("item_row", "item", "item_words", "blank"), "item_row")
     found = whole.select("doc", "item", "doc_words", "item_words", "blank", "shifts")
     return found.mapInArrow(lambda it: _verified(it, run_words, share, names), f"`{doc_id}` {kind}, `{item_id}` {kind_i}, run_words int, word_edits int")
