@@ -309,13 +309,13 @@ def settle(s: Sentences, best: np.ndarray, margin: np.ndarray, n_langs: int) ->
     return np.where(sure, best, main[s.row]), sure
 
 
-def clean(rows: list[tuple[str, str]]) -> tuple[tuple[str, str], ...]:
+def clean(rows: list[tuple[str, str]], letters: int | None = None) -> tuple[tuple[str, str], ...]:
     """Training text per language from texts whose labels may be wrong or name only one of two languages.
 
     Trigram counts over all sentences, each under its text's label, outvote wrong labels; each
     sentence is then labelled by them, twice over, and kept where both agree with a clear margin.
     Sentences differing in nothing but digits and punctuation are used once. Of a language with
-    more than ``SAMPLE_LETTERS`` the sentences with the least hashes are taken.
+    more than ``letters`` (``SAMPLE_LETTERS``) the sentences with the least hashes are taken.
     """
     s = Sentences(pa.array([t for _, t in rows], pa.string()))
     langs = sorted({x for x, _ in rows}, key=lambda x: LANGUAGES.index(x) if x in LANGUAGES else 99)
@@ -343,7 +343,7 @@ def clean(rows: list[tuple[str, str]]) -> tuple[tuple[str, str], ...]:
     for i in np.flatnonzero(keep & (gap > 0.15) & (label == mine) & ~names):
         texts[int(label[i])][s.text(i)] = None
     mixed = {k: sorted(texts[k], key=lambda x: hashlib.blake2b(x.encode(), digest_size=8).digest()) for k in texts}
-    return tuple((lang, "\n".join(mixed[k])[:SAMPLE_LETTERS]) for k, lang in enumerate(langs) if texts[k])
+    return tuple((lang, "\n".join(mixed[k])[: letters or SAMPLE_LETTERS]) for k, lang in enumerate(langs) if texts[k])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -352,7 +352,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(33))
 
 
-def train(texts_df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, texts: int = SAMPLE_TEXTS) -> tuple[tuple[str, str], ...]:
+def train(texts_df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, texts: int = SAMPLE_TEXTS, letters: int | None = None) -> tuple[tuple[str, str], ...]:
     """Training text per language from at most ``texts`` labelled rows of each language.
 
     The labelled ids with the least hashes are taken. Counts per language set a hash bound that
@@ -374,7 +374,7 @@ def train(texts_df: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
         chosen += [(r.i, r.l) for r in sorted((r for r in rows if r.l == lang), key=lambda r: (r.h, r.i))[:texts]]
     ids = spark.createDataFrame(chosen, "i string, l string")
     got = texts_df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where(F.length("t").between(21, SAMPLE_CHARS)).join(F.broadcast(ids), "i").select("l", "t").distinct().collect()
-    return clean(sorted((r.l, r.t) for r in got))
+    return clean(sorted((r.l, r.t) for r in got), letters)
 
 
 def label(s: Sentences, training: tuple[tuple[str, str], ...]) -> list[pa.Array]:

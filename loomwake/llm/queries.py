@@ -131,23 +131,21 @@ def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
 
 #: Documents with fewer words, parted by white space, are too short for a level.
 P10_WORDS = 60
-#: Labelled documents a language from which the language of unlabelled ones is learnt.
-P10_TEXTS = 120
+#: Labelled documents a language, and letters of them, from which the language of unlabelled ones is learnt.
+P10_TEXTS, P10_LETTERS = 120, 12_000
 
 
 def _levels(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source", "doc_kind")
-    told = langid.label_language(F.col("lang"))
-    training = langid.train(docs, docs.select("doc_id", "lang"), "doc_id", "text", "lang", P10_TEXTS)
-    silent = docs.where(told.isNull())
-    heard = langid.with_language(silent, "text", training, ["doc_id", "text", "source", "doc_kind"]).where("lang = 'en'").select("doc_id", "text", "source", "doc_kind")
-    english = docs.where(told == "en").select("doc_id", "text", "source", "doc_kind").unionByName(heard)
-    rarity = readability.word_counts(docs, "text")
-    model = readability.fit(docs.where(told == "en"), "doc_id", "text", table(spark, d, "reading_labels"), "band", rarity)
-    english = english.withColumn("n_words", F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")))
+    training = langid.train(docs, docs.select("doc_id", "lang"), "doc_id", "text", "lang", P10_TEXTS, P10_LETTERS)
+    told = docs.withColumns({"told": langid.label_language(F.col("lang")), "n_words": F.regexp_count("text", F.lit(r"\S+"))})
+    keep = ["doc_id", "source", "doc_kind", "n_words"]
+    read = readability.survey(told, keep, "text", "told", training)
+    rarity = readability.word_counts(read)
+    model = readability.fit(read, "doc_id", table(spark, d, "reading_labels"), "band", rarity)
     if model is None:
-        return english.select("doc_id", "source", "doc_kind", "n_words", F.lit(None).cast("int").alias("band"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("double").alias("confidence"))
-    return readability.with_features(english, ["doc_id", "source", "doc_kind", "n_words"], "text", rarity, model).drop("words")
+        return read.where("b is null").select(*keep, F.lit(None).cast("int").alias("band"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("double").alias("confidence"))
+    return readability.with_levels(read, keep, rarity, model).drop("words")
 
 
 def p10_levels(spark: SparkSession, d: str) -> DataFrame:

@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwake.llm import codepoints as C
+from loomwake.llm import langid
 from loomwake.llm.words import Words, mix
+from loomwake.session import cut
 
 #: Bound of the graded sample the model is fitted on.
 SAMPLE_DOCS = 4000
@@ -76,18 +78,18 @@ class Lexicon:
             rank = len(self.ranks) * (1 + (len(raw) - most) / max(len(raw), 1))
         return [float(np.log1p(rank)), float(split), *(float(word in s) for s in self.sets), float(len(word) > 5 and word.rstrip("s").endswith(ENDINGS))]
 
-    def __call__(self, w: Words) -> np.ndarray:
-        distinct, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
-        new = ~np.isin(distinct, self.known)
-        if new.any():
+    def __call__(self, distinct: np.ndarray, spelled) -> np.ndarray:
+        """A row for each of the ``distinct`` hashes, in order; ``spelled`` says how one of them is written."""
+        new = np.flatnonzero(~np.isin(distinct, self.known))
+        if len(new):
             if len(self.known) > 400_000:  # memory stays bounded; values don't depend on what is kept
                 self.known, self.values = self.known[:0], self.values[:0]
-                new = np.ones(len(distinct), bool)
-            got = np.array([self._of(w.spelled(i)) for i in first[new]], np.float32).reshape(-1, self.COLUMNS)
+                new = np.arange(len(distinct))
+            got = np.array([self._of(spelled(i)) for i in new], np.float32).reshape(-1, self.COLUMNS)
             known = np.concatenate([self.known, distinct[new]])
             order = np.argsort(known)
             self.known, self.values = known[order], np.concatenate([self.values, got])[order]
-        return self.values[np.searchsorted(self.known, distinct)][inverse]
+        return self.values[np.searchsorted(self.known, distinct)]
 
 
 @lru_cache(2)
@@ -99,66 +101,72 @@ def buckets(h: np.ndarray) -> np.ndarray:
     return (mix(h + np.uint64(7)) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
-def features(texts: pa.Array, rarity: np.ndarray | None, path: str = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
-    """Features of each text, in the order of ``NAMES``, and its words between white space (those with a letter or digit).
+CORPUS_RARITY = NAMES.index("corpus_rarity")
+
+
+def measure(w: Words, some: np.ndarray, path: str = VOCABULARY) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features of the texts ``some`` of ``w``, in the order of ``NAMES``, all but the corpus rarity, which is 0.
+
+    Beside them each text's words between white space (those with a letter or digit), and the
+    hash bucket of every word that bears on the rarity, with the number of such words a text.
 
     Words with digits and capitalised words inside a sentence (names) don't count as vocabulary,
     unless the text is mostly in capitals. Means are taken over a text's own words, so length
     itself plays no part.
     """
-    w = Words(texts)
-    n = w.n_texts
-    out = np.zeros((n, len(NAMES)))
-    words = np.zeros(n, np.int64)
-    if not len(w.hash):
-        return out, words
-    row, cp = w.row, w.cp
+    n = len(some)
+    out, words = np.zeros((n, len(NAMES))), np.zeros(n, np.int64)
+    place = np.full(w.n_texts, -1)
+    place[some] = np.arange(n)
+    mine = np.flatnonzero(place[w.row] >= 0)
+    if not len(mine):
+        return out, words, np.zeros(0, np.int64), words
+    row, cp, hashes, begin, end, blank = place[w.row[mine]], w.cp, w.hash[mine], w.begin[mine], w.end[mine], w.blank[mine]
     sum_of = lambda v, r=row: np.bincount(r, v, n)
-    stretch = np.concatenate(([True], (w.blank[1:] != w.blank[:-1]) | (row[1:] != row[:-1])))
+    stretch = np.concatenate(([True], (blank[1:] != blank[:-1]) | (row[1:] != row[:-1])))
     words = np.bincount(row[stretch], minlength=n)
-    size = w.end - w.begin
+    size = end - begin
     upper = (cp >= 65) & (cp <= 90)
-    caps = np.concatenate(([0], np.cumsum(upper)))
-    alpha = np.concatenate(([0], np.cumsum(upper | ((cp >= 97) & (cp <= 122)))))
-    digit = np.concatenate(([0], np.cumsum((cp >= 48) & (cp <= 57))))
-    shouted = (sum_of(caps[w.end] - caps[w.begin]) > 0.5 * sum_of(alpha[w.end] - alpha[w.begin]))[row]
-    stop = np.concatenate(([0], np.cumsum((cp == 46) | (cp == 33) | (cp == 63) | (cp == 10) | (cp == 59))))
-    new_sentence = np.concatenate(([True], (stop[w.begin[1:]] > stop[w.end[:-1]]) | (row[1:] != row[:-1])))
-    numeric = digit[w.end] > digit[w.begin]
-    capital = upper[w.begin] & ~shouted
+    running = lambda mask: np.concatenate(([0], np.cumsum(mask)))
+    caps, alpha, digit = running(upper), running(upper | ((cp >= 97) & (cp <= 122))), running((cp >= 48) & (cp <= 57))
+    shouted = (sum_of(caps[end] - caps[begin]) > 0.5 * sum_of(alpha[end] - alpha[begin]))[row]
+    stop = running((cp == 46) | (cp == 33) | (cp == 63) | (cp == 10) | (cp == 59))
+    new_sentence = np.concatenate(([True], (stop[begin[1:]] > stop[end[:-1]]) | (row[1:] != row[:-1])))
+    numeric = digit[end] > digit[begin]
+    capital = upper[begin] & ~shouted
     plain = ~numeric & ~(capital & ~new_sentence) & (size > 0)
     sentence = np.cumsum(new_sentence) - 1
     per = np.bincount(sentence, plain).astype(float)
     s_row = row[new_sentence]
     many = np.maximum(np.bincount(s_row, per > 1, n), 1)
-    v = lexicon(path)(w)
+    distinct, first, code = np.unique(hashes, return_index=True, return_inverse=True)
+    v = lexicon(path)(distinct, lambda i: w.spelled(mine[first[i]]))[code]
     total = np.maximum(sum_of(plain), 1)
     share = lambda mask: sum_of(mask & plain) / total
     # diversity: distinct words and repeated ones, on a scale free of length
-    key = np.unique(np.stack([row[plain].astype(np.uint64), w.hash[plain]], 1), axis=0)
-    types = np.bincount(key[:, 0].astype(np.int64), minlength=n)
+    key = np.sort((row * len(distinct) + code)[plain])
+    key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
+    types = np.bincount(key // len(distinct), minlength=n)
     diversity = np.log(np.maximum(types, 2)) / np.log(np.maximum(total, 3))
     rank, split, conn, formal, sub, function, ending = (v[:, j] for j in range(Lexicon.COLUMNS))
     content = plain & (function == 0)
     n_content = np.maximum(sum_of(content), 1)
     rare = rank > np.log1p(12_000)
     deep = np.bincount(sentence, sub * plain)
-    comma = np.bincount(np.repeat(np.arange(n), np.diff(w.off)), (cp == 44), n)
-    marks = np.bincount(np.repeat(np.arange(n), np.diff(w.off)), (cp == 58) | (cp == 44), n)
-    corpus = rarity[buckets(w.hash)] if rarity is not None else np.zeros(len(w.hash))
-    longest = np.zeros(n)
+    commas, colons = running(cp == 44), running(cp == 58)
+    between = lambda x: (x[w.off[1:]] - x[w.off[:-1]])[some]
+    longest, deepest = np.zeros(n), np.zeros(n)
     np.maximum.at(longest, s_row, per)
-    deepest = np.zeros(n)
     np.maximum.at(deepest, s_row, deep)
     out[:] = np.stack(
         [
             sum_of(size * plain) / total, share(size >= 7), share(size >= 11), np.log1p(np.bincount(s_row, per, n) / many), np.log1p(longest), np.bincount(s_row, (per > 1) & (per < 7), n) / many, diversity, 1 - types / total,
             sum_of(rank * content) / n_content, sum_of(rare & content) / n_content, sum_of((split > 0) & content) / n_content, sum_of(rare & content & (size < 8)) / n_content, sum_of(rare & content & (size >= 8)) / n_content,
-            sum_of(corpus * content) / n_content, share(conn > 0), share(formal > 0), np.bincount(s_row, deep, n) / many, deepest, comma / total, marks / total, share(function > 0), share(ending > 0),
+            np.zeros(n), share(conn > 0), share(formal > 0), np.bincount(s_row, deep, n) / many, deepest, between(commas) / total, (between(commas) + between(colons)) / total, share(function > 0), share(ending > 0),
         ],
         axis=1,
     )
-    return out, words
+    return out, words, buckets(distinct)[code[content]], sum_of(content).astype(np.int64)
 
 
 # ---------------------------------------------------------------- ordinal regression
@@ -246,73 +254,110 @@ def bare(c):
     return F.regexp_replace(c, r"(?m)^\[[^\]\n]{1,24}\] [^\s:]{1,40}: ", "")
 
 
-def word_counts(docs: DataFrame, text: str) -> np.ndarray:
-    """Rarity of each hash bucket: minus the logarithm of its share of all words of ``docs``.
+#: Columns ``survey`` adds; ``b`` and ``n`` are filled in rows of counts only.
+SURVEYED = {"words": "int", "features": "array<float>", "content": "array<int>", "b": "array<int>", "n": "array<long>"}
+
 
-    Every task sums its words in a table of fixed size and sends the buckets it met; the sums of
-    all tasks, at most ``BUCKETS`` rows, come to the driver. All documents count, whole.
+def survey(docs: DataFrame, keep: list[str], text: str, told: str, training: tuple[tuple[str, str], ...], path: str = VOCABULARY) -> DataFrame:
+    """One reading of every document, written once: ``keep``, its words, features and the buckets of its content words.
+
+    ``told`` is a document's language, or null; those without get one by ``langid`` with
+    ``training``. Rows come out for English documents only; the words of all documents, whole, are
+    counted in a table of ``BUCKETS`` hash buckets a task, which it sends as one row at its end.
+
+    Null and empty texts have 0 words; texts of any length are read whole; repeated rows get equal
+    results. ``keep`` must not name the results.
     """
+    if set(SURVEYED) & set(keep):
+        raise ValueError(f"keep must not have columns {sorted(SURVEYED)}")
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), *(f"{k} {v}" for k, v in SURVEYED.items())])
+
+    def rows(own: list[pa.Array], values: list[pa.Array | None], size: int) -> pa.RecordBatch:
+        types = [pa.int32(), pa.list_(pa.float32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([*own, *[pa.nulls(size, t) if v is None else v for v, t in zip(values, types)]], [*keep, *SURVEYED])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(BUCKETS, np.int64)
-        for b in batches:
-            t = b.column("t")
-            sizes = np.concatenate(([0], np.cumsum(np.asarray(pa.compute.binary_length(t).fill_null(0)).astype(np.int64))))
+        table, types = np.zeros(BUCKETS, np.int64), None
+        for batch in batches:
+            types = [batch.column(k).type for k in keep]
+            texts = batch.column("__t")
+            sizes = np.concatenate(([0], np.cumsum(np.asarray(pa.compute.binary_length(texts).fill_null(0)).astype(np.int64))))
             for lo, hi in C.slices(sizes):
-                table += np.bincount(buckets(Words(t.slice(lo, hi - lo)).hash), minlength=BUCKETS)
-        met = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(table[met])], ["b", "n"])
-
-    rows = docs.select(F.col(text).alias("t")).mapInArrow(run, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).toPandas()
+                b = batch.slice(lo, hi - lo)
+                cp, off = C.code_points(C.canonical_arrow(b.column("__t"))[0])
+                w = Words.of(cp, off)
+                table += np.bincount(buckets(w.hash), minlength=BUCKETS)
+                lang = b.column("__told")
+                english = np.asarray(pa.compute.equal(lang, "en").fill_null(False))
+                silent = np.flatnonzero(np.asarray(lang.is_null()))
+                if len(silent) and training:
+                    heard = langid.label(langid.Sentences.of(*C.take(cp, off, silent)), training)[1]
+                    english[silent] = np.asarray(pa.compute.equal(heard, "en"))
+                some = np.flatnonzero(english)
+                x, words, content, counts = measure(w, some, path)
+                lists = lambda v, n, kind: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(v, kind))
+                own = [b.column(k).take(pa.array(some)) for k in keep]
+                yield rows(own, [pa.array(words.astype(np.int32)), lists(x.astype(np.float32).reshape(-1), np.full(len(some), len(NAMES)), pa.float32()), lists(content.astype(np.int32), counts, pa.int32()), None, None], len(some))
+        if types:
+            met = np.flatnonzero(table)
+            yield rows([pa.nulls(1, t) for t in types], [None, None, None, pa.array([met.astype(np.int32)], pa.list_(pa.int32())), pa.array([table[met]], pa.list_(pa.int64()))], 1)
+
+    return cut(docs.select(*keep, F.col(told).alias("__told"), bare(F.col(text)).alias("__t")).mapInArrow(run, schema))
+
+
+def word_counts(surveyed: DataFrame) -> np.ndarray:
+    """Rarity of each hash bucket: minus the logarithm of its share of all words surveyed.
+
+    At most ``BUCKETS`` rows come to the driver.
+    """
+    each = surveyed.where("b is not null").select(F.explode(F.arrays_zip("b", "n")).alias("x")).groupBy("x.b").agg(F.sum("x.n").alias("n")).toPandas()
     table = np.ones(BUCKETS)
-    table[rows.b] += rows.n
+    table[each.b] += each.n
     return (-np.log(table / table.sum())).astype(np.float32)
 
 
-def with_features(docs: DataFrame, keep: list[str], text: str, rarity: np.ndarray, model: Ordinal | None, path: str = VOCABULARY) -> DataFrame:
-    """``keep`` with ``words`` and, without a model, ``features``, else ``band``, ``score`` and ``confidence``.
+def with_levels(surveyed: DataFrame, keep: list[str], rarity: np.ndarray, model: Ordinal | None) -> DataFrame:
+    """``keep`` with ``words`` and, without a model, whole ``features``, else ``band``, ``score`` and ``confidence``.
 
-    Null and empty texts have 0 words and, lacking evidence, band 1 with confidence 0; texts of
-    any length are read whole; repeated rows get equal results. ``keep`` must not name the results.
+    Documents without words have, lacking evidence, band 1 with confidence 0.
     """
     results = ["words", "features"] if model is None else ["words", "band", "score", "confidence"]
-    if set(results) & set(keep):
-        raise ValueError(f"keep must not have columns {results}")
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    kinds = {f.name: f.dataType.simpleString() for f in surveyed.schema.fields}
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), "words int", *(["features array<double>"] if model is None else ["band int", "score double", "confidence double"])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            t = b.column("__t")
-            sizes = np.concatenate(([0], np.cumsum(np.asarray(pa.compute.binary_length(t).fill_null(0)).astype(np.int64))))
-            for lo, hi in C.slices(sizes):
-                x, words = features(t.slice(lo, hi - lo), rarity, path)
-                own = [b.column(k).slice(lo, hi - lo) for k in keep]
-                if model is None:
-                    got = [pa.array(list(x), pa.list_(pa.float64()))]
-                else:
-                    p = model.probabilities(x)
-                    some = words > 0
-                    got = [pa.array(np.where(some, p.argmax(axis=1) + 1, 1).astype(np.int32)), pa.array(np.where(some, model.score(x), 0.0)), pa.array(np.where(some, p.max(axis=1), 0.0))]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(words.astype(np.int32)), *got], [*keep, *results])
+            x = np.asarray(b.column("features").flatten()).astype(float).reshape(-1, len(NAMES))
+            content = b.column("content")
+            off = np.asarray(content.offsets).astype(np.int64)
+            values = np.concatenate(([0.0], np.cumsum(rarity[np.asarray(content.values)], dtype=np.float64)))
+            x[:, CORPUS_RARITY] = (values[off[1:]] - values[off[:-1]]) / np.maximum(np.diff(off), 1)
+            words = np.asarray(b.column("words"))
+            if model is None:
+                got = [pa.array(list(x), pa.list_(pa.float64()))]
+            else:
+                p, some = model.probabilities(x), words > 0
+                got = [pa.array(np.where(some, p.argmax(axis=1) + 1, 1).astype(np.int32)), pa.array(np.where(some, model.score(x), 0.0)), pa.array(np.where(some, p.max(axis=1), 0.0))]
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keep], b.column("words"), *got], [*keep, *results])
 
-    return docs.select(*keep, bare(F.col(text)).alias("__t")).mapInArrow(run, schema)
+    return surveyed.where("b is null").select(*keep, "words", "features", "content").mapInArrow(run, schema)
 
 
-def fit(docs: DataFrame, doc_id: str, text: str, grades: DataFrame, band: str, rarity: np.ndarray, sample: int = SAMPLE_DOCS, path: str = VOCABULARY) -> Ordinal | None:
+def fit(surveyed: DataFrame, doc_id: str, grades: DataFrame, band: str, rarity: np.ndarray, sample: int = SAMPLE_DOCS) -> Ordinal | None:
     """The model from at most ``sample`` graded documents, those with the least hashes of their id.
 
     Each grade is an observation, so a document with two grades counts with both; grades that
     are null are left out. None if there are fewer than two bands.
     """
-    spark = docs.sparkSession
+    spark = surveyed.sparkSession
     graded = grades.where(F.col(band).isNotNull()).select(F.col(doc_id).alias("i"), F.col(band).cast("int").alias("y"))
     chosen = graded.select("i").distinct().orderBy(F.xxhash64("i")).limit(sample)
     ids = chosen.toPandas()
     if not len(ids):
         return None
     few = spark.createDataFrame(ids, chosen.schema)
-    got = with_features(docs.join(F.broadcast(few), docs[doc_id] == few["i"]).select(doc_id, text), [doc_id], text, rarity, None, path).toPandas()
+    got = with_levels(surveyed.join(F.broadcast(few), surveyed[doc_id] == few["i"]), [doc_id], rarity, None).toPandas()
     y = graded.join(F.broadcast(few), "i").toPandas()
     x = dict(zip(got[doc_id], got["features"]))
     pairs = sorted((i, b) for i, b in zip(y["i"], y["y"]) if i in x)

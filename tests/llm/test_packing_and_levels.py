@@ -9,6 +9,7 @@ from conftest import DATA
 from pyspark.sql import functions as F
 
 from loomwake.llm import packing, queries, readability
+from loomwake.llm.words import Words
 from loomwake.session import table
 
 
@@ -83,8 +84,12 @@ def test_ordinal_recovers_bands():
 
 
 def test_features_of_odd_texts():
-    f, w = readability.features(pa.array([None, "", "123 !!", "A cat sat.", "word " * 200_000]), None)
+    texts = pa.array([None, "", "123 !!", "A cat sat.", "word " * 200_000, "Der Hund"])
+    f, w, content, n = readability.measure(Words(texts), np.array([0, 1, 2, 3, 4]))
     assert np.isfinite(f).all() and w.tolist() == [0, 0, 1, 3, 200_000]
+    assert n.tolist() == [0, 0, 0, 2, 200_000] and len(content) == n.sum()
+    alone = readability.measure(Words(texts.slice(3, 1)), np.array([0]))
+    assert np.allclose(f[3], alone[0][0])  # texts don't touch each other
 
 
 def test_held_out_levels(spark):
@@ -95,12 +100,21 @@ def test_held_out_levels(spark):
 
 
 def test_levels_without_grades(spark):
-    docs = spark.createDataFrame([(1, "Some text here."), (2, None)], "doc_id long, text string")
-    rarity = readability.word_counts(docs, "text")
+    docs = spark.createDataFrame([(1, "Some text here, some.", "en"), (2, None, "en"), (3, "noch ein Text", "de"), (4, "", None)], "doc_id long, text string, told string")
+    read = readability.survey(docs, ["doc_id"], "text", "told", ())
+    assert {r.doc_id: r.words for r in read.where("b is null").collect()} == {1: 4, 2: 0}
+    rarity = readability.word_counts(read)
     assert len(rarity) == readability.BUCKETS
+    some, text, absent = (rarity[readability.buckets(Words(pa.array([x])).hash)[0]] for x in ("some", "text", "absent"))
+    assert some == text < absent  # words of all documents count, the German one's too
     none = spark.createDataFrame([(1, None)], "doc_id long, band int")
-    assert readability.fit(docs, "doc_id", "text", none, "band", rarity) is None
-    assert readability.with_features(docs.limit(0), ["doc_id"], "text", rarity, None).count() == 0
+    assert readability.fit(read, "doc_id", none, "band", rarity) is None
+    got = {r.doc_id: r.features for r in readability.with_levels(read, ["doc_id"], rarity, None).collect()}
+    assert got[1][readability.CORPUS_RARITY] > 0 == got[2][readability.CORPUS_RARITY]
+    empty = readability.survey(docs.limit(0), ["doc_id"], "text", "told", ())
+    assert readability.with_levels(empty, ["doc_id"], readability.word_counts(empty), None).count() == 0
+    with pytest.raises(ValueError):
+        readability.survey(docs.withColumn("words", F.lit(1)), ["words"], "text", "told", ())
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
