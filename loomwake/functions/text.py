@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomwake.functions.cues import cue_counts
 from loomwake.functions.patterns import BARE_HOST_ENDINGS, CUES, STOP_WORDS
+from loomwake.functions.unified import compatible
 
 CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
 
@@ -36,15 +36,9 @@ def count_number(c: Column | str) -> Column:
     return F.when(text == "", F.lit(0)).when(n >= 0, F.least(n, F.lit(2**31 - 1)).cast("int"))
 
 
-@F.pandas_udf(T.StringType())
-def _compatible(s: pd.Series) -> pd.Series:
-    def one(t):
-        if t is None:
-            return None
-        t = unicodedata.normalize("NFKC", t).casefold()
-        return " ".join("".join(x for x in t if unicodedata.category(x) not in ("Cf", "Cs")).split())
-
-    return s.map(one)
+@F.arrow_udf(T.StringType())
+def _compatible(texts: pa.Array) -> pa.Array:
+    return compatible(texts)
 
 
 def normalize(c: Column | str) -> Column:
@@ -71,9 +65,8 @@ def _matches(c: Column, pattern: str) -> Column:
 
 
 def cue_count(c: Column | str, group: str) -> Column:
-    """How many patterns of a cue group the text matches. The text must be normalised, or in small letters."""
-    first, *rest = (F.coalesce(_matches(col(c), p), F.lit(False)).cast("int") for p in CUES[group])
-    return sum(rest, first)
+    """How many patterns of a cue group the text matches. The text must be normalised."""
+    return F.coalesce(cue_counts(col(c), (group,))[group], F.lit(0))
 
 
 def has_cue(c: Column | str, group: str) -> Column:
@@ -81,6 +74,7 @@ def has_cue(c: Column | str, group: str) -> Column:
     return _matches(col(c), "(?:" + "|".join(f"(?:{p})" for p in CUES[group]) + ")")
 
 
+# What a link or a bare host name looks like in a text.
 _HOST = rf"(?:[a-z0-9](?:[a-z0-9-]{{0,61}}[a-z0-9])?\.)+(?:{'|'.join(BARE_HOST_ENDINGS)})(?:/[^\s<>()\[\]{{}}]*)?"
 URL = rf"(?i)(?:^|[^@\w])((?:https?://|www\.)[^\s<>()\[\]{{}}]+|{_HOST})"
 
@@ -90,12 +84,38 @@ def urls(c: Column | str) -> Column:
     return F.transform(F.regexp_extract_all(col(c), F.lit(URL), F.lit(1)), lambda u: F.regexp_replace(u, r"[.,;:!?')\"]+$", ""))
 
 
+_HOST_FORM = r"^[^\s.]+(\.[^\s.]+)+$"
+
+
+def _bare_host(c: Column | str) -> Column:
+    bare = F.regexp_replace(F.lower(F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")), r"^[a-z][a-z0-9+.-]*://", "")
+    bare = F.regexp_replace(F.regexp_replace(bare, r"[/?#].*$", ""), r"^[^@]*@|:\d*$", "")
+    return F.regexp_replace(F.regexp_replace(bare, r"\.+$", ""), r"^www\.", "")
+
+
 def host(c: Column | str) -> Column:
     """The host of a link or name: lower case, no scheme, user, port, path, final dot or leading ``www.``; null if none."""
-    bare = F.regexp_replace(F.lower(F.trim(col(c))), r"^[a-z][a-z0-9+.-]*://", "")
-    bare = F.regexp_replace(F.regexp_replace(bare, r"[/?#].*$", ""), r"^[^@]*@|:\d*$", "")
-    bare = F.regexp_replace(F.regexp_replace(bare, r"\.+$", ""), r"^www\.", "")
-    return F.when(bare.rlike(r"^[^\s.]+(\.[^\s.]+)+$"), bare)
+    bare = _bare_host(c)
+    return F.when(bare.rlike(_HOST_FORM), bare)
+
+
+@F.arrow_udf(T.StringType())
+def _ascii_host(hosts: pa.Array) -> pa.Array:
+    def one(h: str | None) -> str | None:
+        try:
+            return h and h.encode("idna").decode("ascii")
+        except UnicodeError:
+            return None
+
+    return pa.array([one(h) for h in hosts.to_pylist()], pa.string())
+
+
+def ascii_host(c: Column | str) -> Column:
+    """``host`` in its ASCII (IDNA) form; null if it has none. Hosts in ASCII stay in the JVM."""
+    h = _bare_host(c)
+    plain = h.rlike(r"^\p{ASCII}*$")
+    h = F.when(plain, h).otherwise(_ascii_host(F.when(~plain, h)))
+    return F.when(h.rlike(_HOST_FORM), h)
 
 
 def hosts(c: Column | str) -> Column:
@@ -174,17 +194,55 @@ def facts_normalized(c: Column | str, chars: int = 4_000) -> Column:
     return F.when(doc.rlike(r"(?s)^\{.*\}$"), made)
 
 
-def strict_json(c: Column | str, chars: int = 128_000) -> Column:
-    """A JSON document, tolerating one code fence; null for prose, repeated keys, non-finite or oversized ones."""
+#: Bounds of a JSON document: characters, levels below the top, values.
+JSON_CHARS, JSON_DEPTH, JSON_NODES = 128_000, 20, 5_000
+
+
+def json_nodes(doc: Column) -> Column:
+    """Values in a valid document: itself, and what its lists and objects hold."""
+    bare = _without_strings(doc)
+    filled = F.regexp_count(bare, F.lit(r"[\[{]")) - F.regexp_count(bare, F.lit(r"\[\s*\]|\{\s*\}"))
+    return F.lit(1) + F.regexp_count(bare, F.lit(",")) + filled
+
+
+def json_deeper(doc: Column, levels: int) -> Column:
+    """Whether a valid document has a value more than so many levels below the top.
+
+    Lists and objects that hold nothing further are replaced by a number, level by level.
+    """
+    bare = F.regexp_replace(_without_strings(doc), r"\[\s*\]|\{\s*\}", "0")
+    flat = bare
+    for _ in range(levels):
+        flat = F.regexp_replace(flat, r"\[[^\[\]{}]*\]|\{[^\[\]{}]*\}", "0")
+    return F.when(F.regexp_count(bare, F.lit(r"[\[{]")) <= levels, F.lit(False)).otherwise(flat.rlike(r"[\[{]"))
+
+
+def _without_strings(doc: Column) -> Column:
+    return F.regexp_replace(doc, r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"', '""')
+
+
+def strict_json(c: Column | str, chars: int = JSON_CHARS, depth: int = JSON_DEPTH, nodes: int = JSON_NODES) -> Column:
+    """A JSON document, tolerating one code fence; null for prose, repeated keys, non-finite numbers and documents too long, deep or full."""
     t = F.regexp_replace(F.regexp_replace(col(c), "^\\ufeff", ""), r"^\s+|\s+$", "")
     body = F.regexp_replace(F.regexp_extract(t, r"(?si)^```(?:json)?[ \t]*\n(.*)\n```$", 1), r"^\s+|\s+$", "")
     doc = F.when(F.startswith(t, F.lit("```")), body).otherwise(t)
-    whole = doc.rlike(r'(?s)^(\{.*\}|\[.*\]|".*"|-?\d+(\.\d+)?([eE][+-]?\d+)?|true|false|null)$') & ~F.regexp_replace(doc, r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"', '""').rlike(r"NaN|Infinity")
+    whole = doc.rlike(r'(?s)^(\{.*\}|\[.*\]|".*"|-?\d+(\.\d+)?([eE][+-]?\d+)?|true|false|null)$') & ~_without_strings(doc).rlike(r"NaN|Infinity")
     # the parser ignores what follows a value, but nothing can follow one both in a list and in an object
     alone = F.try_parse_json(F.concat(F.lit("["), doc, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"":'), doc, F.lit("}"))).isNotNull()
-    return F.when(whole & (F.length(t) <= chars) & alone, doc)
+    small = F.coalesce(json_nodes(doc) <= nodes, F.lit(False)) & ~F.coalesce(json_deeper(doc, depth), F.lit(True))
+    return F.when(whole & (F.length(t) <= chars) & alone & small, doc)
+
+
+# What keys and tokens look like, by kind.
+SECRETS = {
+    "live_key": r"\b[a-z]{2,8}_live_[A-Za-z0-9_-]{16,}",
+    "service_key": r"sk-[A-Za-z0-9_-]{20,}",
+    "forge_token": r"gh[pousr]_[A-Za-z0-9]{20,}",
+    "cloud_key": r"(?:AKIA|ASIA)[A-Z0-9]{16}",
+    "private_key": r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----",
+}
 
 
 def secrets(c: Column | str) -> Column:
-    """Whether the text shows what looks like a key or token."""
-    return col(c).rlike(r"(?i)\b(?:sk|pk|ghp|gho|xox[abp])[-_][a-z0-9_-]{16,}|\bAKIA[0-9A-Z]{16}\b|-----BEGIN [A-Z ]*PRIVATE KEY-----|\b(?:api[_-]?key|secret|token|password)\s*[=:]\s*\S{8,}|\beyJ[a-z0-9_-]{10,}\.[a-z0-9_-]{10,}")
+    """Kinds of keys and tokens the text shows, in the order of ``SECRETS``."""
+    return F.array_compact(F.array(*[F.when(col(c).rlike(p), F.lit(k)) for k, p in SECRETS.items()]))

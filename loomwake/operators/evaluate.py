@@ -5,6 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwake.operators import quality
+
+
+def unmatched(labels: DataFrame, predictions: DataFrame, key: str = "message_id") -> DataFrame:
+    """Keys that only the labels or only the predictions have: ``key`` and ``side``."""
+    return quality.key_difference(labels, predictions, key).withColumn("side", F.when(F.col("side") == "left_only", "label_only").otherwise("prediction_only"))
+
+
+def graded(labels: DataFrame, predictions: DataFrame, key: str = "message_id", strict: bool = True) -> DataFrame:
+    """Predictions beside their labels, which come out as ``gold_`` columns.
+
+    ``strict`` raises if either side has a key that the other lacks, or a key twice.
+    """
+    if strict:
+        bad = unmatched(labels, predictions, key).limit(1).collect()
+        if bad:
+            raise ValueError(f"labels and predictions differ: {bad[0].asDict()}")
+        labels, predictions = quality.require_unique(labels, [key]), quality.require_unique(predictions, [key])
+    return predictions.join(labels.select(key, *[F.col(c).alias(f"gold_{c}") for c in labels.columns if c != key]), key)
+
 
 def accuracy(p: DataFrame) -> DataFrame:
     """Accuracy of action, type and both. ``p`` has ``gold_`` and plain ``action`` and ``message_type``."""

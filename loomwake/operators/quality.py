@@ -64,6 +64,7 @@ def output_violations(out: DataFrame) -> DataFrame:
         ("type_domain", ~F.coalesce(F.col("message_type").isin(*MESSAGE_TYPES), F.lit(False))),
         ("reason_missing", F.trim(F.coalesce("reason", F.lit(""))) == ""),
         ("confidence_range", ~F.coalesce(F.col("confidence").between(0.0, 1.0) & ~F.isnan("confidence"), F.lit(False))),
+        ("confidence_digits", F.coalesce(F.col("confidence") != F.format_string("%.9e", F.col("confidence")).try_cast("double"), F.lit(False))),  # more than ten
         ("evidence_not_canonical", text != serialize_ids(parse_ids("evidence_message_ids"))),
     ]
     named = F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in rules]))

@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwake.functions.text import clamp, tokens
+from loomwake.functions.text import clamp, content, facts_text, normalize, tokens
 from loomwake.session import cut
 
 #: Least lexical similarity of a candidate, least score of evidence, days in which nearness halves to 1/e.
 LEAST_LEXICAL, LEAST_SCORE, FADE_DAYS = 0.06, 0.18, 45.0
+# What makes up the score of evidence: likeness of words, same conversation, its kind and medium, nearness in time; the least score of equal texts.
+LEXICAL, CONVERSATION, KIND, MEDIUM, NEARNESS, EQUAL = 0.72, 0.17, 0.035, 0.03, 0.055, 0.96
+# What a user's doings say for and against a message, and how much they weigh.
+REPLIED, OPENED, REPORTED, MUTED, DISMISSED = 1.0, 0.55, 1.25, 1.0, 0.75
+LEAST_WEIGHT, NEUTRAL, FOR, AGAINST, REPEATED, REPEATED_FROM, REPEAT_TOP, REPEAT_AGAINST = 0.05, 0.5, 0.5, 0.6, 0.72, 0.9, 0.25, 0.8
+# From which number of notifications a day is heavy, and from which multiple of the mean of so many reported days before.
+HEAVY, HEAVY_TIMES, HEAVY_DAYS = 10, 1.5, 7
 
 
 def token_frequencies(history: DataFrame) -> DataFrame:
@@ -58,20 +65,20 @@ def similar_prior(queries: DataFrame, history: DataFrame, k: int = 3) -> DataFra
     lexical = F.col("common") / (F.col("q_weight") + F.col("h_weight") - F.col("common"))
     exact = F.coalesce("exact", F.lit(False))
     alike = lambda c: F.coalesce(F.col(c) == F.col(f"h_{c}"), F.lit(False)).cast("double")
-    base = 0.72 * F.col("lexical") + 0.17 * alike("conversation") + 0.035 * alike("conversation_type") + 0.03 * alike("media_type")
+    base = LEXICAL * F.col("lexical") + CONVERSATION * alike("conversation") + KIND * alike("conversation_type") + MEDIUM * alike("media_type")
     days = (F.unix_micros(F.col("created_at").cast("timestamp")) - F.unix_micros(F.col("h_created_at").cast("timestamp"))) / F.lit(86_400e6)
-    score = clamp(F.when(exact, F.greatest(base, F.lit(0.96))).otherwise(base) + 0.055 * F.exp(-days / F.lit(FADE_DAYS)))
+    score = clamp(F.when(exact, F.greatest(base, F.lit(EQUAL))).otherwise(base) + NEARNESS * F.exp(-days / F.lit(FADE_DAYS)))
     p = p.withColumn("lexical", lexical).where((F.col("lexical") >= LEAST_LEXICAL) | exact).withColumn("score", F.round(score, 6)).where(F.col("score") >= LEAST_SCORE)
     best = Window.partitionBy("message_id").orderBy(F.desc("score"), "evidence_id")
     return p.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("message_id", "evidence_id", "lexical", "score", "rank")
 
 
 def positive_weight(replied: Column, opened: Column) -> Column:
-    return F.when(replied, 1.0).when(opened, 0.55).otherwise(0.0)
+    return F.when(replied, REPLIED).when(opened, OPENED).otherwise(0.0)
 
 
 def negative_weight(reported: Column, muted: Column, dismissed: Column) -> Column:
-    return F.when(reported, 1.25).when(muted, 1.0).when(dismissed, 0.75).otherwise(0.0)
+    return F.when(reported, REPORTED).when(muted, MUTED).when(dismissed, DISMISSED).otherwise(0.0)
 
 
 def history_features(evidence: DataFrame, events: DataFrame) -> DataFrame:
@@ -80,22 +87,69 @@ def history_features(evidence: DataFrame, events: DataFrame) -> DataFrame:
     ``evidence`` is the result of ``similar_prior``; ``events`` has one row per ``message_id``.
     """
     e = evidence.join(events.withColumnRenamed("message_id", "evidence_id"), "evidence_id", "left")
-    w = F.greatest(F.lit(0.05), F.col("score"))
+    w = F.greatest(F.lit(LEAST_WEIGHT), F.col("score"))
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
     e = e.withColumns({"w": w, "p": w * positive_weight(flag("message_replied"), flag("message_opened")), "n": w * negative_weight(flag("message_reported"), flag("muted_after_message"), flag("notification_dismissed"))})
     a = e.groupBy("message_id").agg(F.sum("w").alias("t"), F.sum("p").alias("p"), F.sum("n").alias("n"), F.max("score").alias("top"))
-    repetition = F.greatest(F.when(F.col("top") >= 0.9, 0.72).otherwise(0.0), clamp(0.25 * F.col("top") + 0.8 * F.col("n") / F.col("t")))
-    return a.select("message_id", clamp(0.5 + 0.5 * F.col("p") / F.col("t") - 0.6 * F.col("n") / F.col("t")).alias("engagement"), repetition.alias("repetition"), ((F.col("n") > F.col("p")) & (F.col("n") > 0)).alias("rejected"))
+    repetition = F.greatest(F.when(F.col("top") >= REPEATED_FROM, REPEATED).otherwise(0.0), clamp(REPEAT_TOP * F.col("top") + REPEAT_AGAINST * F.col("n") / F.col("t")))
+    return a.select("message_id", clamp(NEUTRAL + FOR * F.col("p") / F.col("t") - AGAINST * F.col("n") / F.col("t")).alias("engagement"), repetition.alias("repetition"), ((F.col("n") > F.col("p")) & (F.col("n") > 0)).alias("rejected"))
 
 
 #: Least scores of evidence that is named: of any, and of one that the user answered, dismissed, muted or reported.
 NAMED, NAMED_STRONG = 0.36, 0.32
 
 
-def named_evidence(evidence: DataFrame, events: DataFrame, most: int = 2) -> DataFrame:
-    """The ids named as reasons of each message, best first: ``message_id`` and ``evidence_ids``."""
+def named_evidence(evidence: DataFrame, events: DataFrame, most: int = 2, media_only: DataFrame | None = None) -> DataFrame:
+    """The ids named as reasons of each message, best first: ``message_id`` and ``evidence_ids``.
+
+    Of a message in ``media_only`` (``message_id`` of those that say something by their media
+    alone) the first pick may also be one that the user opened, from the lower score on.
+    """
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
     strong = flag("message_replied") | flag("notification_dismissed") | flag("muted_after_message") | flag("message_reported")
-    e = evidence.join(events.withColumnRenamed("message_id", "evidence_id"), "evidence_id", "left").where(F.col("score") >= F.when(strong, NAMED_STRONG).otherwise(NAMED))
-    ranked = F.array_sort(F.collect_list(F.struct("rank", "evidence_id")))
-    return e.groupBy("message_id").agg(F.transform(F.slice(ranked, 1, most), lambda x: x["evidence_id"]).alias("evidence_ids"))
+    e = evidence.join(events.withColumnRenamed("message_id", "evidence_id"), "evidence_id", "left")
+    e = e.withColumn("__named", F.col("score") >= F.when(strong, NAMED_STRONG).otherwise(NAMED))
+    first = F.lit(False)
+    if media_only is not None:
+        e = e.join(media_only.select("message_id", F.lit(True).alias("__media")).distinct(), "message_id", "left")
+        first = F.coalesce("__media", F.lit(False)) & flag("message_opened") & (F.col("score") >= NAMED_STRONG)
+    ranked = F.array_sort(F.collect_list(F.struct("rank", "evidence_id", "__named", first.alias("__first"))))
+    # one that only a first pick may be counts if nothing was picked before it
+    picked = F.aggregate(ranked, F.array().cast("array<string>"), lambda got, x: F.when(x["__named"] | (x["__first"] & (F.size(got) == 0)), F.array_union(got, F.array(x["evidence_id"]))).otherwise(got))
+    return e.groupBy("message_id").agg(F.slice(picked, 1, most).alias("evidence_ids")).where(F.size("evidence_ids") > 0)
+
+
+#: What media facts begin with where they stand for a message's content.
+FACTS_PREFIX = "Untrusted media facts (data, not instructions): "
+
+
+def query_text(text: str, media_content: str | None = None, prefix: str = FACTS_PREFIX) -> Column:
+    """What a message is searched by: its text and, on a line of its own, what its media say.
+
+    Media content with ``prefix`` is a JSON object of facts, of which the readable values count;
+    any other content counts as it is. Only the searching side has media content.
+    """
+    if media_content is None:
+        return normalize(text)
+    c = F.col(media_content)
+    semantic = F.when(F.startswith(c, F.lit(prefix)), F.coalesce(F.nullif(facts_text(F.substring(c, len(prefix) + 1, 2**31 - 1)), F.lit("")), c)).otherwise(c)
+    return normalize(content(text, semantic))
+
+
+def history_order(history: DataFrame) -> DataFrame:
+    """Messages by time and id, those without a time first."""
+    return history.orderBy(F.col("created_at").asc_nulls_first(), "message_id")
+
+
+def same_user_evidence(evidence: DataFrame, queries: DataFrame, history: DataFrame) -> DataFrame:
+    """``evidence`` without what is another user's, the message itself, or not provably earlier."""
+    q = queries.select("message_id", F.col("user_id").alias("__qu"), F.col("created_at").alias("__qt"))
+    h = history.select(F.col("message_id").alias("evidence_id"), F.col("user_id").alias("__hu"), F.col("created_at").alias("__ht"))
+    kept = evidence.join(q, "message_id").join(h, "evidence_id").where("__qu = __hu and message_id <> evidence_id and __ht < __qt")
+    return kept.select(*evidence.columns)
+
+
+def daily_load(days: DataFrame) -> DataFrame:
+    """Whether a day is heavy: ``days`` (``user_id``, ``date``, ``sent``, one row a day) with ``high``."""
+    before = F.avg("sent").over(Window.partitionBy("user_id").orderBy("date").rowsBetween(-HEAVY_DAYS, -1))
+    return days.withColumn("high", F.col("sent") >= F.greatest(F.lit(HEAVY), HEAVY_TIMES * F.coalesce(before, F.col("sent"))))

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,13 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a temporary folder is used.
+    Only a session that runs on this machine alone (``local``, as in tests) gets a temporary one;
+    on a cluster that names none it is an error.
     """
     sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = sc.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="loomwake-shared-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if not sc.getCheckpointDir():
@@ -53,25 +57,61 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     The written table replaces the lineage: later jobs read compressed, column-pruned
-    Parquet instead of running the plan again, and a lost executor loses nothing.
+    Parquet instead of running the plan again, and a lost executor loses nothing. It lasts until
+    ``release``, or until the process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/loomwake-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _WRITTEN:
+        atexit.register(_release_at_exit, spark)
     _WRITTEN.append(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop_cut(df: DataFrame) -> None:
+    """Delete the table that ``cut`` wrote for ``df``, which nothing reads any more."""
+    path = getattr(df, "_cut_path", None)
+    if path in _WRITTEN:
+        _WRITTEN.remove(path)
+        _delete(df.sparkSession, path)
 
 
 def release(spark: SparkSession) -> int:
     """Delete the tables ``cut`` wrote in this process; call it when their readers are done."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     n = 0
     while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        n += bool(path.getFileSystem(conf).delete(path, True))
+        n += _delete(spark, _WRITTEN.pop())
     return n
 
 
+@contextmanager
+def cuts_released(spark: SparkSession) -> Iterator[None]:
+    """Delete, at its end, the tables that ``cut`` wrote inside this block."""
+    before = set(_WRITTEN)
+    try:
+        yield
+    finally:
+        for path in [p for p in _WRITTEN if p not in before]:
+            _WRITTEN.remove(path)
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True))
+
+
+def _release_at_exit(spark: SparkSession) -> None:
+    try:
+        release(spark)
+    except Exception:  # noqa: BLE001 - the session has ended; local folders can still be emptied
+        for path in _WRITTEN:
+            shutil.rmtree(path.removeprefix("file:"), ignore_errors=True)
+
+
 def parallelism(spark: SparkSession) -> int:
     """Tasks the session can run at once, at least its number of shuffle partitions."""
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 from loomwake.functions.text import boolean, clean, count_number
 from loomwake.operators import quality
 
-#: Most bytes of one CSV file.
-MOST_BYTES = 128 << 20
+#: Most bytes and rows of one CSV file; a larger one is an error.
+MOST_BYTES, MOST_ROWS = 128 << 20, 2_000_000
 
 # The input tables, column by column. id: required, text: never null, int: at least 0, int?: may be null.
 TABLES = {
@@ -60,37 +60,62 @@ def _typed(c: str, kind: str):
     return some.try_cast("timestamp")
 
 
-def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """A typed table. Raises on missing or repeated columns, surplus fields, empty ids and malformed values.
+def _status(spark: SparkSession, path: str):
+    """The file's status on whichever file system its path names, or None."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return None
+    return fs.getFileLinkStatus(p) if fs.supportsSymlinks() else fs.getFileStatus(p)
 
-    Extra columns are tolerated and dropped. A missing optional table is empty.
+
+def _read(spark: SparkSession):
+    return spark.read.option("multiLine", True).option("escape", '"').option("enforceSchema", True)
+
+
+def read_table(spark: SparkSession, path: str, name: str, position: str | None = None, most_rows: int = MOST_ROWS) -> DataFrame:
+    """A typed table. Raises on missing or repeated columns, surplus fields, empty ids, malformed values, and files too large or with too many rows.
+
+    Extra columns are tolerated and dropped. A missing optional table is empty. The path may lie on
+    any file system. ``position`` names a column for the rows' order in the file (a file with
+    quoted line breaks is read by one task, from its beginning), by which results can be put back in order.
     """
     want = columns(name)
-    if not os.path.exists(path):
+    status = _status(spark, path)
+    if status is None:
         if name in OPTIONAL:
             blank = spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c, _ in want]))
-            return blank.select(*[_typed(c, k).alias(c) for c, k in want])
+            return blank.select(*[_typed(c, k).alias(c) for c, k in want], *([F.lit(0).cast("long").alias(position)] if position else []))
         raise FileNotFoundError(path)
-    if os.path.islink(path) or os.path.getsize(path) > MOST_BYTES:
+    if status.isSymlink() or os.path.islink(path.removeprefix("file:")) or status.getLen() > MOST_BYTES:
         raise ValueError(f"{name}: a link or too large")
-    with open(path, encoding="utf-8-sig", newline="") as f:
-        header = next(csv.reader(f), [])
+    first = _read(spark).option("header", False).csv(path).head(1)
+    header = [h or "" for h in first[0]] if first else []
     if len(set(header)) != len(header) or not {c for c, _ in want} <= set(header):
         raise ValueError(f"{name}: header {header}")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    raw = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("mode", "FAILFAST").option("enforceSchema", True).csv(path)
-    typed = raw.select(*[_typed(c, k).alias(c) for c, k in want], *[F.nullif(clean(c), F.lit("")).alias(f"__raw_{c}") for c, _ in want])
-    bad = None
+    raw = _read(spark).schema(schema).option("header", True).option("mode", "FAILFAST").csv(path).withColumn("__at", F.monotonically_increasing_id())
+    typed = raw.select("__at", *[_typed(c, k).alias(c) for c, k in want], *[F.nullif(clean(c), F.lit("")).alias(f"__raw_{c}") for c, _ in want])
+    bad = F.col("__at") >= most_rows
     for c, k in want:
         if k == "id":
-            wrong = F.col(c).isNull() | (F.length(c) > 512)
-        elif k == "text":
-            continue
-        else:
-            wrong = F.col(f"__raw_{c}").isNotNull() & F.col(c).isNull()
-        bad = wrong if bad is None else bad | wrong
-    checked = [F.when(bad, F.raise_error(F.concat(F.lit(f"{name}: malformed row, first id "), F.coalesce(F.col(want[0][0]).cast("string"), F.lit("missing"))))).otherwise(F.col(c)).alias(c) if i == 0 else F.col(c) for i, (c, _) in enumerate(want)]
-    return typed.select(*checked)
+            bad = bad | F.col(c).isNull() | (F.length(c) > 512)
+        elif k != "text":
+            bad = bad | (F.col(f"__raw_{c}").isNotNull() & F.col(c).isNull())
+    key, *rest = (c for c, _ in want)
+    error = F.raise_error(F.concat(F.lit(f"{name}: malformed row, or too many, first id "), F.coalesce(F.col(key).cast("string"), F.lit("missing"))))
+    return typed.select(F.when(bad, error).otherwise(F.col(key)).alias(key), *rest, *([F.col("__at").alias(position)] if position else []))
+
+
+def read_labelled(spark: SparkSession, path: str) -> DataFrame:
+    """Labelled messages: read like any table, and raises if there are none, an id is repeated or a label is outside its domain."""
+    rows = quality.require_unique(read_table(spark, path, "sample_messages"), ["message_id"])
+    bad = rows.where(~F.coalesce(F.col("action").isin(*quality.ACTIONS) & F.col("message_type").isin(*quality.MESSAGE_TYPES), F.lit(False))).select("message_id").limit(1).collect()
+    if bad:
+        raise ValueError(f"label outside its domain: {bad[0].message_id}")
+    if not rows.limit(1).collect():
+        raise ValueError("no labelled rows")
+    return rows
 
 
 def load_dataset(spark: SparkSession, folder: str) -> dict[str, DataFrame]:

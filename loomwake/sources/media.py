@@ -19,10 +19,21 @@ def media_index(files: DataFrame, order: str) -> DataFrame:
 
 
 def read_files(spark: SparkSession, path: str, most: int = 32 << 20) -> DataFrame:
-    """``path``, ``length``, ``content`` and its SHA-256 of files up to ``most`` bytes; longer ones without content."""
+    """``path``, ``length``, ``content`` and its SHA-256 of files up to ``most`` bytes; longer ones without content.
+
+    The bound is pushed to the source, and of longer files only name and length are read, so no
+    task loads more than ``most`` bytes of a file.
+    """
     f = spark.read.format("binaryFile").load(path)
-    small = F.col("length") <= most
-    return f.select("path", "length", F.when(small, F.col("content")).alias("content"), F.when(small, F.sha2("content", 256)).alias("sha256"))
+    small = f.where(F.col("length") <= most).select("path", "length", "content", F.sha2("content", 256).alias("sha256"))
+    large = f.where(F.col("length") > most).select("path", "length", F.lit(None).cast("binary").alias("content"), F.lit(None).cast("string").alias("sha256"))
+    return small.unionByName(large)
+
+
+def file_audit(spark: SparkSession, path: str) -> DataFrame:
+    """Files and bytes of a folder by format of their leading bytes, and how many contents are distinct."""
+    f = spark.read.format("binaryFile").load(path).select("length", sniff(F.hex(F.substring("content", 1, 64)))["format"].alias("format"), F.sha2("content", 256).alias("sha256"))
+    return f.groupBy("format").agg(F.count("*").alias("n_files"), F.sum("length").alias("n_bytes"), F.countDistinct("sha256").alias("n_contents"))
 
 
 # Leading bytes, in hexadecimal, and the brands of ISO media files.

@@ -166,9 +166,11 @@ def test_enrichment_asks_once_and_remembers(spark, tmp_path):
     cache = str(tmp_path / "cache")
     df = spark.createDataFrame([(1, "abc"), (2, "abc"), (3, "bad"), (4, "down"), (5, None), (6, "")], "i int, t string")
     asked = enrich.ask(enrich.distinct_contents(df, "t"), client, 4)
-    assert {(r.error, r.n) for r in enrich.failure_counts(asked).collect()} == {("none", 1), ("malformed", 1), ("no_answer", 1)}
-    got = {r.i: r.facts for r in enrich.enrich(df, "t", client, cache).collect()}
-    assert got[1] == got[2] == '{"n": 3}' and got[3] is got[4] is got[5] is None
+    assert {(r.error, r.n) for r in enrich.failure_counts(asked).collect()} == {("none", 1), ("malformed", 1), ("failed", 1)}
+    r = enrich.report(asked).first()
+    assert (r.n_contents, r.n_answered, r.n_failed, r.failed, r.malformed, r.timeout) == (3, 1, 2, 1, 1, 0) and r.n_attempts >= 7
+    got = {r.i: (r.facts, r.error) for r in enrich.enrich(df, "t", client, cache).collect()}
+    assert got[1] == got[2] == ('{"n": 3}', None) and got[3] == (None, "malformed") and got[4] == (None, "failed") and got[5] == got[6] == (None, None)
 
     def dead():
         def ask(texts):
@@ -176,8 +178,152 @@ def test_enrichment_asks_once_and_remembers(spark, tmp_path):
 
         return ask
 
-    again = {r.i: r.facts for r in enrich.enrich(df.where("i < 3"), "t", dead, cache).collect()}
+    again = {r.i: r.facts for r in enrich.enrich(df.where("i < 3"), "t", dead, "file:" + cache).collect()}
     assert again == {1: '{"n": 3}', 2: '{"n": 3}'}
+    assert {r.i: r.facts for r in enrich.enrich(df, "t", lambda: lambda texts: ["{}"] * len(texts), cache).collect()} == {1: '{"n": 3}', 2: '{"n": 3}', 3: "{}", 4: "{}", 5: None, 6: None}
+
+
+def test_answers_by_index_and_kinds_of_failure(spark):
+    assert enrich.by_index(['{"index": 1, "a": 1}', '{"index": 0, "a": 2}'], 2) == ['{"index": 0, "a": 2}', '{"index": 1, "a": 1}']
+    assert enrich.by_index(["x", "y"], 2) == ["x", "y"]
+    assert [enrich.by_index(a, 2) for a in (["x"], ['{"index": 0}', '{"index": 0}'], ['{"index": 0}', '{"index": 2}'], ['{"index": 0}', "x"], ['{"index": true}', '{"index": 0}'])] == [None] * 5
+    assert [enrich.failure(e) for e in (TimeoutError(), ConnectionResetError(), PermissionError(), BlockingIOError(), KeyError())] == ["timeout", "unreachable", "refused", "rate_limited", "failed"]
+    df = spark.createDataFrame([("d", "a")], "digest string, content string")
+
+    def slow():
+        def ask(texts):
+            raise TimeoutError
+
+        return ask
+
+    def never(seconds):
+        if seconds not in (0.5, 1.0):
+            raise SystemExit(f"waited {seconds}")
+
+    r = enrich.ask(df, slow, sleep=never, wait=0.5).first()
+    assert (r.error, r.facts, r.attempts) == ("timeout", None, 6)
+    assert enrich.ask(df, lambda: lambda texts: ["{}"] * 2).first().error == "mismatched"
+
+
+def test_first_pick_of_messages_that_speak_by_their_media(spark):
+    e = spark.createDataFrame([("q", "a", 0.34, 1), ("q", "b", 0.33, 2), ("q", "c", 0.5, 3), ("r", "a", 0.34, 1)], "message_id string, evidence_id string, score double, rank int")
+    seen = spark.createDataFrame([("a", True, False, False, False, False), ("b", True, False, False, False, False)], "message_id string, message_opened boolean, message_replied boolean, notification_dismissed boolean, muted_after_message boolean, message_reported boolean")
+    assert {r.message_id: r.evidence_ids for r in retrieval.named_evidence(e, seen).collect()} == {"q": ["c"]}
+    only = spark.createDataFrame([("q",), ("r",)], "message_id string")
+    assert {r.message_id: r.evidence_ids for r in retrieval.named_evidence(e, seen, media_only=only).collect()} == {"q": ["a", "c"], "r": ["a"]}
+
+
+def test_query_text_takes_what_media_say(spark):
+    p = retrieval.FACTS_PREFIX
+    rows = [("Look", p + '{"summary":"A Cat","signals":["x"]}'), ("", "plain words"), ("Only", None), ("T", p + "no json")]
+    got = [r.t for r in spark.createDataFrame(rows, "a string, m string").select(retrieval.query_text("a", "m").alias("t")).collect()]
+    assert got[:3] == ["look a cat x", "plain words", "only"] and got[3].endswith("no json")
+    assert one(spark, "  ＡＢ ", lambda c: X.normalize(c)) == "ab"
+
+
+def test_order_and_defence_of_evidence(spark):
+    day = lambda n: dt.datetime(2026, 7, n)
+    h = spark.createDataFrame([("b", "u", day(2)), ("a", "u", day(2)), ("c", "u", None), ("x", "v", day(1))], "message_id string, user_id string, created_at timestamp_ntz")
+    assert [r.message_id for r in retrieval.history_order(h).collect()] == ["c", "x", "a", "b"]
+    q = spark.createDataFrame([("q", "u", day(3)), ("a", "u", day(2))], h.schema)
+    e = spark.createDataFrame([("q", x) for x in "abcx"] + [("a", "a"), ("a", "b")], "message_id string, evidence_id string")
+    assert sorted(r.evidence_id for r in retrieval.same_user_evidence(e, q, h).collect()) == ["a", "b"]
+
+
+def test_labels_and_predictions_must_match(spark):
+    kind = "message_id string, action string"
+    labels = spark.createDataFrame([("a", "mute"), ("b", "notify")], kind)
+    assert {(r.message_id, r.action, r.gold_action) for r in evaluate.graded(labels, spark.createDataFrame([("b", "mute"), ("a", "mute")], kind)).collect()} == {("a", "mute", "mute"), ("b", "mute", "notify")}
+    other = spark.createDataFrame([("b", "mute"), ("c", "mute")], kind)
+    assert {tuple(r) for r in evaluate.unmatched(labels, other).collect()} == {("a", "label_only"), ("c", "prediction_only")}
+    with pytest.raises(ValueError):
+        evaluate.graded(labels, other)
+    with pytest.raises(ValueError):
+        evaluate.graded(labels.union(labels), labels)
+
+
+def test_labelled_file(spark, tmp_path):
+    names = [c for c, _ in C.columns("sample_messages")]
+    row = lambda i, action: ",".join([i, "u", *[""] * 8, "0", action, "event", "why", "0.5", "none"])
+    p = tmp_path / "s.csv"
+    for rows, ok in (([row("m1", "mute"), row("m2", "notify")], True), ([row("m1", "mute")] * 2, False), ([row("m1", "shout")], False), ([], False)):
+        p.write_text("\n".join([",".join(names), *rows]) + "\n")
+        if ok:
+            assert C.read_labelled(spark, str(p)).count() == 2
+        else:
+            with pytest.raises(ValueError):
+                C.read_labelled(spark, str(p))
+
+
+def test_rows_keep_their_position_and_number(spark, tmp_path):
+    p = tmp_path / "images.csv"
+    p.write_text("image_id,file_path\n" + "".join(f'i{9 - k},"a\nb"\n' for k in range(9)))
+    t = C.read_table(spark, "file:" + str(p), "images", position="pos")
+    assert [r.image_id for r in t.orderBy("pos").collect()] == [f"i{9 - k}" for k in range(9)]
+    with pytest.raises(Exception, match="too many"):
+        C.read_table(spark, str(p), "images", most_rows=8).collect()
+    os.symlink(p, tmp_path / "link.csv")
+    with pytest.raises(ValueError):
+        C.read_table(spark, str(tmp_path / "link.csv"), "images")
+
+
+def test_json_depth_and_nodes(spark):
+    nest = lambda n, inner: "[" * n + inner + "]" * n
+    ok = lambda text, **k: one(spark, text, lambda c: X.strict_json(c, **k)) is not None
+    assert ok(nest(20, "1")) and not ok(nest(21, "1")) and ok(nest(21, "")) and not ok(nest(22, ""))
+    assert ok('{"a":[1,2,{}]}', nodes=5) and not ok('{"a":[1,2,{}]}', nodes=4) and ok('{"a,[":"]],"}', nodes=2) and ok("[]", nodes=1)
+
+
+def test_sniffed_heads(spark):
+    heads = {
+        "FFD8FFE000104A464946": "jpeg", "89504E470D0A1A0A0000": "png", "524946460000000057454250": "webp", "524946460000000057415645": "wav", "0000001C6674797061766966000000006D696631": "avif", "0000001C667479704D344120000000006D703432": "m4a",
+        "49443303": "mp3", "FFFB9064": "mp3", "FFE39064": "mp3", "FFFBF064": "", "0000": "", "": "", "RIFF": "",
+    }
+    assert {h: one(spark, h, lambda c: media.sniff(c)["format"]) for h in heads} == heads
+
+
+def test_files_beyond_the_bound_are_not_read(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(bytes.fromhex("89504E470D0A1A0A") + b"0" * 90)
+    (tmp_path / "b.png").write_bytes(bytes.fromhex("89504E470D0A1A0A"))
+    got = {r.path[-5:]: (r.length, r.content is None) for r in media.read_files(spark, str(tmp_path), 50).collect()}
+    assert got == {"a.png": (98, True), "b.png": (8, False)}
+    assert [tuple(r) for r in media.file_audit(spark, str(tmp_path)).collect()] == [("png", 2, 106, 2)]
+
+
+def test_secrets(spark):
+    texts = {"key app_live_" + "a" * 16: ["live_key"], "sk-" + "b" * 20: ["service_key"], "ghu_" + "c" * 20: ["forge_token"], "ASIA" + "D" * 16: ["cloud_key"], "-----BEGIN PRIVATE KEY-----": ["private_key"], "sk-short ghx_" + "c" * 30: []}
+    assert {t: one(spark, t, X.secrets) for t in texts} == texts
+
+
+def test_hosts_in_their_ascii_form(spark):
+    assert [one(spark, h, X.ascii_host) for h in ("www.Example.test.", "exａmple．test", "bücher.test\u202f", "no host", "")] == ["example.test", "example.test", "xn--bcher-kva.test", None, None]
+
+
+def test_cue_gates_never_hide_a_match():
+    import random
+
+    from loomwake.functions import cues
+
+    s, rng = cues.scanner(tuple(CUES)), random.Random(4)
+    words = sorted({w for _, p in s.patterns for w in cues.needed(__import__("re")._parser.parse(p.pattern))}) + ["5 min", "10:30 am", "me", "it", "the", "is", "pay", "₹ 5", "now"]
+    texts = [" ".join(rng.choice(words).strip() for _ in range(rng.randrange(1, 9))) for _ in range(1500)] + [None, ""]
+    got = s.counts(texts)
+    want = [[sum(p.search(t or "") is not None for k, p in s.patterns if k == g) if t else 0 for t in texts] for g in range(s.n)]
+    assert got.tolist() == want and got.sum() > 1000
+
+
+def test_cut_tables_are_deleted(spark):
+    from loomwake import session
+
+    there = lambda: {f for f in os.listdir(session.shared_dir(spark)) if f.startswith("loomwake-")}
+    before = there()
+    with session.cuts_released(spark):
+        kept = session.cut(spark.range(3))
+        assert kept.count() == 3 and len(there()) == len(before) + 1
+        gone = session.cut(spark.range(4))
+        session.drop_cut(gone)
+        assert len(there()) == len(before) + 1
+    assert there() == before
 
 
 def test_streams(spark, tmp_path):
@@ -223,7 +369,7 @@ def test_output_file_is_read_back(spark, tmp_path):
         C.validate_output_file(spark, p, m, h)
 
 
-@pytest.mark.parametrize("name,table,rows", [("media_formats", "media_files", 1), ("message_facts", "messages", 1), ("message_documents", "messages", 5)])
+@pytest.mark.parametrize("name,table,rows", [("media_formats", "media_files", 1), ("message_facts", "messages", 1), ("message_documents", "messages", 8)])
 def test_sniffing_facts_and_json_run_over_whole_tables(spark, con, name, table, rows):
     n = con.execute(f"select {'count(*)' if table == 'media_files' else 'count(distinct nullif(lower(trim(message_id)), $$$$))'} from {table}").fetchone()[0]
     assert registry.queries()[name](spark, "/root/testdata/sf0.001").count() == n * rows > 0

@@ -16,7 +16,5 @@ def test_every_oracle_has_a_query():
     assert set(registry.oracles()) <= set(registry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracles())))
-def test_runs(spark, name):
-    df = registry.queries()[name](spark, DATA)
-    assert df.columns and df.count() >= 0
+def test_every_query_has_its_sql():
+    assert set(registry.queries()) == set(registry.oracles())
