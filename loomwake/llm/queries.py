@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import secrets
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,9 +64,20 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return found.join(named, ["message_id", "lang"], "left_anti")
 
 
+def _key(spark: SparkSession) -> bytes:
+    """The secret key of the pseudonyms, from the session's ``spark.loomwake.pii.key``; one that nobody knows, and that links only this session's results, if it names none."""
+    given = spark.conf.get("spark.loomwake.pii.key", None)
+    return given.encode() if given else _own_key(spark.sparkContext.applicationId)
+
+
+@lru_cache(4)
+def _own_key(application: str) -> bytes:
+    return secrets.token_bytes(32)
+
+
 def _redacted(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "messages").select(ident("message_id").alias("message_id"), "message_text")
-    return pii.redact(m, "message_text", ["message_id"])
+    return pii.redact(m, "message_text", ["message_id"], _key(spark))
 
 
 def p4_redacted(spark: SparkSession, d: str) -> DataFrame:

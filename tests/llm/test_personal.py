@@ -4,6 +4,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
+from loomwake.llm import numbers as N
 from loomwake.llm import pii as P
 
 
@@ -26,21 +27,21 @@ def test_kinds(text, kinds):
 def test_rest_is_unchanged_and_equal_values_stay_linked():
     a, b = "Call +44 7700 900123 now", "or call: +44 7700 900123."
     f = P.find([a, b])
-    x, y = P.replace(a, f[0]), P.replace(b, f[1])
+    x, y = P.replace(a, f[0], b"k"), P.replace(b, f[1], b"k")
     assert x.startswith("Call <PHONE:+44 ") and x.endswith("> now") and "900123" not in x
     assert x.split("<")[1].split(">")[0] == y.split("<")[1].split(">")[0]
 
 
 @given(st.text("0123456789", min_size=0, max_size=18), st.binary(min_size=1, max_size=8))
 def test_feistel_is_a_permutation(digits, key):
-    y = P.feistel(digits, key, "t")
-    assert len(y) == len(digits) and P.feistel(y, key, "t", inverse=True) == digits
+    y = N.feistel(digits, key, "t")
+    assert len(y) == len(digits) and N.feistel(y, key, "t", inverse=True) == digits
 
 
 def test_feistel_covers_all_values_once():
-    assert len({P.feistel(f"{i:03d}", b"k", "t") for i in range(1000)}) == 1000
-    assert len({P.permute_date(2000, m, d, b"k") for m in (1, 2) for d in range(1, 29)}) == 56
-    assert all(1900 <= P.permute_date(1999, 12, d, b"k")[0] < 2100 for d in range(1, 32))
+    assert len({N.feistel(f"{i:03d}", b"k", "t") for i in range(1000)}) == 1000
+    assert len({N.permute_date(2000, m, d, b"k") for m in (1, 2) for d in range(1, 29)}) == 56
+    assert all(1900 <= N.permute_date(1999, 12, d, b"k")[0] < 2100 for d in range(1, 32))
 
 
 def test_formats_are_kept():
@@ -51,8 +52,81 @@ def test_formats_are_kept():
 
 def test_on_columns(spark):
     df = spark.createDataFrame([(1, "Call me on ＋44 7700 900123"), (2, None), (3, ""), (4, "nothing here " * 20_000), (1, "Call me on ＋44 7700 900123")], "id int, text string")
-    out = {r.id: r for r in P.redact(df, "text", ["id"]).collect()}
+    out = {r.id: r for r in P.redact(df, "text", ["id"], b"k").collect()}
     assert out[1].kinds == ["phone"] and out[2].redacted is None and out[2].kinds == [] and out[3].redacted == "" and out[4].kinds == []
-    assert P.redact(df.limit(0), "text", ["id"]).count() == 0
+    assert P.redact(df.limit(0), "text", ["id"], b"k").count() == 0
     with pytest.raises(ValueError):
-        P.redact(df.withColumnRenamed("id", "kinds"), "text", ["kinds"])
+        P.redact(df.withColumnRenamed("id", "kinds"), "text", ["kinds"], b"k")
+
+
+#: Sentences written for this test, with what has to be found in them.
+HELD_OUT = [
+    ("name", "Could you ask Rebecca Thornton whether she got the parcel?", "Rebecca Thornton"), ("name", "Samuel Okafor said the lift is broken again", "Samuel Okafor"), ("name", "I spoke with Hannah Weiss about the rent", "Hannah Weiss"), ("name", "my cousin Daniel Ortega is visiting", "Daniel Ortega"),
+    ("name", "Tenant: Miriam Goldberg, second floor", "Miriam Goldberg"), ("name", "Good that Oliver Stone came early", "Oliver Stone"), ("name", "We invited Fatima Zahra and her children", "Fatima Zahra"), ("name", "Hello Patricia Kim, your table is ready", "Patricia Kim"),
+    ("name", "Ayer conocí a Lucía Fernández en el parque", "Lucía Fernández"), ("name", "Javier Moreno dijo que llega tarde", "Javier Moreno"), ("name", "Avisa a Carmen Ruiz por favor", "Carmen Ruiz"), ("name", "Mi hermano Andrés Vega vive allí", "Andrés Vega"),
+    ("name", "Demandez à Sophie Bernard de signer", "Sophie Bernard"), ("name", "Luc Moreau a dit que c'est fermé", "Luc Moreau"), ("name", "Je suis Claire Petit du troisième", "Claire Petit"), ("name", "mon voisin Antoine Girard a les clés", "Antoine Girard"),
+    ("name", "Frag doch Sabine Vogel", "Sabine Vogel"), ("name", "Thomas Becker wohnt im Erdgeschoss", "Thomas Becker"), ("name", "Ich bin Julia Hoffmann aus dem zweiten Stock", "Julia Hoffmann"), ("name", "Unser Lehrer Martin Krause ist krank", "Martin Krause"),
+    ("name", "Falei com Beatriz Costa ontem", "Beatriz Costa"), ("name", "Rafael Gomes disse que não pode", "Rafael Gomes"), ("name", "Minha irmã Paula Souza chega amanhã", "Paula Souza"), ("name", "Скажите Ольге Ивановой про ключ", "Ольге Ивановой"), ("name", "Сергей Волков написал утром", "Сергей Волков"),
+    ("name", "अनिल वर्मा जी ने बताया", "अनिल वर्मा"),
+    ("email", "reach me: k.lund@post.example", "k.lund@post.example"), ("email", "schreib an info-buero@firma.example!", "info-buero@firma.example"), ("email", "(maria_99@correo.example)", "maria_99@correo.example"), ("email", "MAIL: Tom.O@Site.Example", "Tom.O@Site.Example"),
+    ("phone", "mobile +1 202-555-0143 please", "+1 202-555-0143"), ("phone", "Handy: 0171 2345678", "0171 2345678"), ("phone", "llama al +34 612 345 678", "+34 612 345 678"), ("phone", "mon numéro 06 12 34 56 78", "06 12 34 56 78"), ("phone", "my WhatsApp is (020) 7946 0018", "(020) 7946 0018"),
+    ("id_number", "her passport K1234567 expires", "K1234567"), ("id_number", "CPF 529.982.247-25", "529.982.247-25"), ("id_number", "SSN: 123-45-6789", "123-45-6789"), ("id_number", "DNI 12345678Z", "12345678Z"), ("id_number", "paid with 4539 1488 0343 6467", "4539 1488 0343 6467"),
+    ("address", "Send it to 221 Baker Street", "221 Baker Street"), ("address", "We live at 7, Church Road, Hillview", "7, Church Road, Hillview"), ("address", "Vivo en Calle Alcalá 45", "Calle Alcalá 45"), ("address", "12 rue de la Paix, Paris", "12 rue de la Paix, Paris"), ("address", "Er wohnt in der Hauptstraße 9", "Hauptstraße 9"),
+    ("address", "Rua das Flores, 120", "Rua das Flores, 120"), ("address", "улица Ленина, дом 5", "улица Ленина, дом 5"),
+]
+NOBODY = ["Green Park Station said the train is late", "ask Customer Service about it", "The Water Board called", "Call Monday Morning please", "Meet Central Bank people", "Neue Stadt Apotheke sagt nein", "TELL THE TRAFFIC CELL ABOUT IT", "We saw the New Town Library", "Ask the plumber", "contact: front desk"]
+
+
+def test_held_out_sentences():
+    """Recall of each kind on sentences written for this test, in wording that the announcing phrases don't have; and nothing found where nobody is named."""
+    for kind in P.KINDS:
+        own = [(text, want) for k, text, want in HELD_OUT if k == kind]
+        hit = [any(k == kind and text[a:b].strip() == want for a, b, k in P.find([text])[0]) for text, want in own]
+        assert sum(hit) >= 0.9 * len(own), (kind, [x for x, h in zip(own, hit) if not h])
+    assert [t for t in NOBODY if any(k == "name" for *_, k in P.find([t])[0])] == []
+
+
+def test_check_digits():
+    assert (N.luhn("453914880343646"), N.cpf("529982247"), N.verhoeff("236"), N.dni("12345678"), N.snils("112233445")) == ("7", "25", "3", "Z", "95")
+    assert N.insee("1850578006084") == "91"
+
+
+@given(st.integers(0, 10**9 - 1), st.binary(min_size=1, max_size=8))
+def test_valid_numbers_stay_valid(n, key):
+    payload = f"{n:09d}"
+    for value in (payload[:3] + "." + payload[3:6] + "." + payload[6:] + "-" + N.cpf(payload), "4" + payload + "55555" + N.luhn("4" + payload + "55555"), payload[:8] + N.dni(payload[:8]).lower(), "1" + payload + "123" + N.insee("1" + payload + "123")):
+        known = N.format_of(value)
+        out = N.permute_identity(value, key)
+        assert [c.isdigit() for c in out] == [c.isdigit() for c in value]
+        assert (N.format_of(out) or (None,))[0] is (known or (None,))[0]
+
+
+def test_identity_pseudonyms_are_one_to_one(monkeypatch):
+    tiny = (N.Format("t", range(4, 5), N.luhn, 1, lambda d: d[0] != "0"),)
+    monkeypatch.setattr(N, "FORMATS", tiny)
+    out = [N.permute_identity(f"{i:04d}", b"k") for i in range(10_000)]
+    assert len(set(out)) == 10_000
+    assert all(bool(N.format_of(f"{i:04d}")) == bool(N.format_of(o)) for i, o in enumerate(out))
+
+
+def test_national_and_international_phones_are_linked():
+    a, b, c, d = (N.permute_phone(x, b"k") for x in ("+49 170 1234567", "0170 1234567", "0049-170-1234567", "+49 (0)170 1234567"))
+    tail = lambda x: "".join(ch for ch in x if ch.isdigit())[-10:]
+    assert tail(a) == tail(b) == tail(c) == tail(d) and a.startswith("+49 ") and b.startswith("0") and c.startswith("0049-") and d.startswith("+49 (0)")
+    assert [N.national(x) for x in ("+1 202 555 0143", "+351 912 345 678", "912345678", "+7 912 3456789")] == [1, 3, 0, 1]
+
+
+def test_dates_of_birth_are_permuted_only_where_asked_for():
+    for text, date in (("She was born on 12.03.1985 in town", "12.03.1985"), ("DOB: 1990-02-28", "1990-02-28"), ("geboren am 01/12/2001", "01/12/2001")):
+        [found] = P.find([text], birth_dates=True)
+        assert [text[a:b] for a, b, k in found if k == P.BIRTH] == [date]
+        out = P.pseudonym(P.BIRTH, date, b"k")
+        assert len(out) == len(date) and [c.isdigit() for c in out] == [c.isdigit() for c in date] and out != date
+        assert P.find([text]) == [[]]
+    assert P.find(["born on 45.13.1985"], birth_dates=True) == [[]]
+
+
+def test_long_addresses_are_whole():
+    local, domain = "a." * 31 + "b", ".".join(["x" * 60] * 3) + ".example"
+    text = f"to {local}@{domain} now"
+    assert [text[a:b] for a, b, _ in P.find([text])[0]] == [f"{local}@{domain}"]
