@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -10,20 +12,41 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwake.llm.normalize import canonical
-from loomwake.session import cut
-
-#: Bands and registers a band. A pair of similarity 0.7 shares no band with probability
-#: (1 - 0.7**5)**48 = 0.00015, one of 0.8 with 5e-9.
-BANDS, ROWS = 48, 5
-#: One-bit registers kept with each band row, and how many must agree. A pair of similarity 0.7
-#: agrees in 109 of 128 on average and in fewer than 91 with probability 1e-5; unrelated ones in 64.
-BITS, AGREE = 128, 91
+from loomwake.session import cut, drop_cut
+
+#: Most likely miss of a pair that is just alike enough, by the bands and by the one-bit registers.
+MISSED_BY_BANDS, MISSED_BY_BITS = 2e-4, 1e-5
+#: Registers of a signature that bands may use, and one-bit registers kept with each band row.
+REGISTERS, BITS = 256, 128
 #: Elements worked on at once.
 ELEMENTS = 150_000
 
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
+@lru_cache(64)
+def plan(threshold: float) -> tuple[int, int, int]:
+    """Bands, registers a band, and how many one-bit registers must agree, for pairs alike from ``threshold`` on.
+
+    Registers agree with the probability of the similarity, so a pair at the threshold ``t`` shares
+    none of ``b`` bands of ``r`` with probability ``(1 - t**r)**b``; of one-bit registers ``(1 + t) / 2``
+    agree. The bands are the most selective ones whose misses, and the agreement the highest whose
+    misses, stay within the bounds above; pairs more alike are missed less.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be above 0 and at most 1")
+    bands, rows = REGISTERS, 1
+    for r in range(1, 33):
+        t = min(threshold, 1 - 1e-9)
+        b = max(1, math.ceil(math.log(MISSED_BY_BANDS) / math.log1p(-(t**r))))
+        if b * r <= REGISTERS:
+            bands, rows = b, r
+    p, k, below = (1 + threshold) / 2, 0, 0.0
+    while k < BITS and (below := below + math.comb(BITS, k) * p**k * (1 - p) ** (BITS - k)) <= MISSED_BY_BITS:
+        k += 1
+    return bands, rows, k
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit mixing function on arrays (SplitMix64)."""
     with np.errstate(over="ignore"):
@@ -80,7 +103,8 @@ def band_keys(who: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _bits(who: np.ndarray) -> np.ndarray:
-    """The lowest mixed bit of the first 128 registers, as two 64-bit words."""
+    """The lowest mixed bits of the first registers, 128 of them, as two 64-bit words."""
+    who = who if who.shape[1] >= BITS else np.concatenate([who, np.zeros((len(who), BITS - who.shape[1]), np.uint64)], axis=1)
     low = (mix(who[:, :BITS]) & np.uint64(1)).astype(np.uint8)
     return np.packbits(low, axis=1).view(np.uint64)
 
@@ -96,7 +120,7 @@ def _band_rows(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iter
         while lo < len(ids):
             hi = max(lo + 1, int(np.searchsorted(off, off[lo] + ELEMENTS, "right")) - 1)
             part = off[lo : hi + 1]
-            who = prob_minhash(values[part[0] : part[-1]], None if weight is None else weight[part[0] : part[-1]], part - part[0], bands * rows)
+            who = prob_minhash(values[part[0] : part[-1]], None if weight is None else weight[part[0] : part[-1]], part - part[0], max(bands * rows, BITS))
             keys, bits = band_keys(who, bands, rows), _bits(who)
             n = np.diff(part).astype(np.int32) if weight is None else np.add.reduceat(weight[part[0] : part[-1]], part[:-1] - part[0])
             yield pa.RecordBatch.from_arrays(
@@ -123,12 +147,12 @@ def shingles(ws: Column, k: int) -> Column:
     return F.when(n < k, whole).otherwise(F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.xxhash64(F.array_join(F.slice(ws, i, k), " "))))
 
 
-def classes(df: DataFrame, id_col: str, words_col: str, k: int = 5, repeats: bool = False) -> DataFrame:
-    """One row per id: ``__id``, the class ``__c`` of records with the same shingles, and ``__set``.
+def records(df: DataFrame, id_col: str, words_col: str, k: int = 5, repeats: bool = False) -> DataFrame:
+    """``__id``, the class ``__c`` of records with the same shingles, and ``__set`` of every record, written once where it lies.
 
-    Ids that repeat with equal words are one record. Records without words have no class. With
-    ``repeats`` a shingle weighs as often as it occurs (``__weight``, beside ``__set``), and a
-    class has the same shingles as often.
+    Records without words have no class. With ``repeats`` a shingle weighs as often as it occurs
+    (``__weight``, beside ``__set``), and a class has the same shingles as often. ``__check`` is a
+    second hash of the same, by which two sets that share a class by chance are told (see ``representatives``).
     """
     if repeats:
         at = F.filter(F.sequence(F.lit(0), F.size("__all") - 1), lambda i: (i == 0) | (F.get("__all", i) != F.get("__all", i - 1)))
@@ -136,32 +160,47 @@ def classes(df: DataFrame, id_col: str, words_col: str, k: int = 5, repeats: boo
         d = d.withColumn("__at", at).withColumn("__n", F.size("__all"))
         weight = F.transform("__at", lambda i, j: (F.coalesce(F.get("__at", j + 1), F.col("__n")) - i).cast("double"))
         d = d.select("__id", F.transform("__at", lambda i: F.get("__all", i)).alias("__set"), weight.alias("__weight"))
-        return d.withColumn("__c", F.xxhash64("__set", "__weight")).dropDuplicates(["__id", "__c"])
-    d = df.select(F.col(id_col).alias("__id"), F.array_sort(F.array_distinct(shingles(F.col(words_col), k))).alias("__set"))
-    d = d.where("__id is not null and size(__set) > 0").withColumn("__c", F.xxhash64("__set"))
-    return d.dropDuplicates(["__id", "__c"])
+        named = ("__set", "__weight")
+    else:
+        d = df.select(F.col(id_col).alias("__id"), F.array_sort(F.array_distinct(shingles(F.col(words_col), k))).alias("__set")).where("__id is not null and size(__set) > 0")
+        named = ("__set",)
+    return cut(d.withColumns({"__c": F.xxhash64(*named), "__check": F.hash(*named)}))
+
 
+def members(rows: DataFrame) -> DataFrame:
+    """``__id`` and class of every record; ids that repeat with equal words are one record."""
+    return rows.select("__id", "__c").distinct()
 
-def class_links(members: DataFrame, threshold: float, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Links ``__a`` < ``__b`` with ``similarity`` >= ``threshold`` between classes of ``members``.
 
-    Every class counts once, however many copies it has. Band rows are joined on the band key
-    (a sort-merge join whose hot keys adaptive execution splits; nothing is capped); the size
-    ratio and the agreement of 128 one-bit registers drop most chance candidates inside the
-    join, before any shuffle, and what remains is verified on the full sets.
+def representatives(rows: DataFrame) -> DataFrame:
+    """One row a class: its shingles, once however many records have them.
+
+    Copies are combined before the shuffle. An error tells of a class whose records' second
+    hashes differ: different sets would be taken for equal.
+    """
+    rest = [c for c in ("__set", "__weight") if c in rows.columns]
+    one = rows.groupBy("__c").agg(*[F.first(c).alias(c) for c in rest], F.min("__check").alias("x"), F.max("__check").alias("y"))
+    return one.select(F.when(F.col("x") == F.col("y"), F.col("__c")).otherwise(F.raise_error(F.lit("two different sets have one class id"))).alias("__c"), *rest)
+
+
+def class_links(reps: DataFrame, threshold: float) -> DataFrame:
+    """Links ``__a`` < ``__b`` with ``similarity`` >= ``threshold`` between classes, given their ``representatives``.
+
+    Bands, registers and the agreement asked for follow from the threshold (``plan``). Band rows are
+    joined on the band key (a sort-merge join whose hot keys adaptive execution splits; nothing
+    is capped); the size ratio and the agreement of 128 one-bit registers drop most chance candidates
+    inside the join, before any shuffle, and what remains is verified on the full sets.
 
     With a column ``__weight`` (weights of the shingles of ``__set``) the similarity is the
     weighted one, the sum of the lesser weights by that of the greater. Probability Jaccard
     similarity, by which signatures agree, is never less, so no more pairs are missed.
     """
-    weighted = "__weight" in members.columns
-    reps = members.groupBy("__c").agg(F.first("__set").alias("__set"))
-    if weighted:
-        reps = members.groupBy("__c").agg(F.first(F.struct("__set", "__weight")).alias("x")).select("__c", "x.__set", "x.__weight")
+    bands, rows, agree = plan(threshold)
+    weighted = "__weight" in reps.columns
     sig = reps.mapInArrow(lambda it: _band_rows(it, bands, rows), f"__band long, __c long, __n {'double' if weighted else 'int'}, __b0 long, __b1 long")
     a, b = sig.alias("a"), sig.alias("b")
-    agree = F.bit_count(F.col("a.__b0").bitwiseXOR(F.col("b.__b0"))) + F.bit_count(F.col("a.__b1").bitwiseXOR(F.col("b.__b1")))
-    near = (F.col("a.__c") < F.col("b.__c")) & (F.least("a.__n", "b.__n") >= F.lit(threshold) * F.greatest("a.__n", "b.__n") - 1e-9) & (agree <= F.lit(BITS - AGREE))
+    differ = F.bit_count(F.col("a.__b0").bitwiseXOR(F.col("b.__b0"))) + F.bit_count(F.col("a.__b1").bitwiseXOR(F.col("b.__b1")))
+    near = (F.col("a.__c") < F.col("b.__c")) & (F.least("a.__n", "b.__n") >= F.lit(threshold) * F.greatest("a.__n", "b.__n") - 1e-9) & (differ <= F.lit(BITS - agree))
     pairs = a.hint("merge").join(b, (F.col("a.__band") == F.col("b.__band")) & near).select(F.col("a.__c").alias("__a"), F.col("b.__c").alias("__b")).distinct()
     if weighted:
         return _weighted_links(pairs, reps, threshold)
@@ -199,7 +238,8 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
         large = both.where("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         m = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(m.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = cut(small)
+        before, edges = edges, cut(small)
+        drop_cut(before)
         if (now := stamp(edges)) == seen:
             break
         seen = now
@@ -207,36 +247,38 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     return roots.unionByName(edges.select(F.col("v").alias("__c")).distinct().join(roots.select("__c"), "__c", "left_anti").withColumn("__root", F.col("__c")))
 
 
-def near_duplicates(df: DataFrame, id_col: str, words_col: str, k: int = 5, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, repeats: bool = False) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str, words_col: str, k: int = 5, threshold: float = 0.8, repeats: bool = False) -> DataFrame:
     """One row per id: ``id_col``, ``class_id``, ``group_id`` and ``n_links``.
 
-    ``class_id`` names the records with equal shingles; ``group_id`` the connected classes whose
-    similarity reaches ``threshold`` (the least class of the group); ``n_links`` how many other
+    ``class_id`` is the least id of the records with equal shingles; ``group_id`` the least one of
+    all classes connected by a similarity that reaches ``threshold``; ``n_links`` how many other
     classes this class is linked to. ``words_col`` is an array of words, see ``words``.
 
     Null ids and records without words are left out; an empty table gives an empty result;
     repeated rows count once. An id that comes with different words has a row for each. With
     ``repeats`` a shingle weighs as often as it occurs, see ``class_links``.
     """
-    spark = df.sparkSession
-    members = cut(classes(df, id_col, words_col, k, repeats))
-    links = cut(class_links(members, threshold, bands, rows))
+    rows = records(df, id_col, words_col, k, repeats)
+    links = cut(class_links(representatives(rows), threshold))
     degree = links.select(F.explode(F.array("__a", "__b")).alias("__c")).groupBy("__c").agg(F.count("*").alias("__links"))
-    root = components(spark, links)
-    out = members.select("__id", "__c").join(degree, "__c", "left").join(root, "__c", "left")
-    return out.select(F.col("__id").alias(id_col), F.col("__c").alias("class_id"), F.coalesce("__root", "__c").alias("group_id"), F.coalesce("__links", F.lit(0)).alias("n_links"))
+    first = rows.groupBy("__c").agg(F.min("__id").alias("__first"))
+    about = first.join(degree, "__c", "left").join(components(df.sparkSession, links), "__c", "left").withColumn("__root", F.coalesce("__root", "__c"))
+    group = about.groupBy("__root").agg(F.min("__first").alias("__group"))
+    about = about.join(group, "__root").select("__c", "__first", "__group", F.coalesce("__links", F.lit(0)).alias("__links"))
+    out = members(rows).join(about, "__c")
+    return out.select(F.col("__id").alias(id_col), F.col("__first").alias("class_id"), F.col("__group").alias("group_id"), F.col("__links").alias("n_links"))
 
 
-def near_pairs(df: DataFrame, id_col: str, words_col: str, k: int = 5, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, repeats: bool = False) -> DataFrame:
+def near_pairs(df: DataFrame, id_col: str, words_col: str, k: int = 5, threshold: float = 0.8, repeats: bool = False) -> DataFrame:
     """All pairs of ids, smaller first, whose similarity reaches ``threshold``.
 
     Links are found between classes and then given to their members; copies of one text pair
     among themselves; ``repeats`` as in ``near_duplicates``. Rows as many as the pairs, by definition; see ``near_duplicates`` for a
     result with a row per id.
     """
-    members = cut(classes(df, id_col, words_col, k, repeats))
-    links = class_links(members, threshold, bands, rows).select("__a", "__b")
-    m = members.select("__id", "__c")
+    rows = records(df, id_col, words_col, k, repeats)
+    links = class_links(representatives(rows), threshold).select("__a", "__b")
+    m = members(rows)
     left, right = m.select(F.col("__id").alias("x"), F.col("__c").alias("__a")), m.select(F.col("__id").alias("y"), F.col("__c").alias("__b"))
     across = links.join(left, "__a").join(right, "__b").where("x <> y")
     copied = m.groupBy("__c").agg(F.count("*").alias("n")).where("n > 1").select(F.col("__c").alias("__a"))

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from loomwake.llm import neardup as N
@@ -46,12 +47,43 @@ def test_pairs_equal_brute_force(spark):
     assert got == want and len(want) > 50
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.6, 0.8, 0.9, 0.95])
+def test_recall_at_other_thresholds(spark, threshold):
+    rng = random.Random(int(threshold * 100))
+    words, docs = [f"w{i}" for i in range(5000)], []
+    for _ in range(60):
+        base = rng.sample(words, 40)
+        docs += [(f"d{len(docs) + i:04d}", [w if rng.random() > (1 - threshold) * 0.45 else rng.choice(words) for w in base]) for i in range(4)]
+    want = {(a, b) for i, (a, x) in enumerate(docs) for b, y in docs[i + 1 :] if len({*x} & {*y}) / len({*x} | {*y}) >= threshold}
+    got = {(r.id_a, r.id_b) for r in N.near_pairs(spark.createDataFrame(docs, "id string, words array<string>"), "id", "words", 1, threshold).collect()}
+    assert got <= want and len(got) >= 0.999 * len(want) and len(want) > 30
+
+
+def test_plan_keeps_its_bounds():
+    for t in np.linspace(0.2, 1, 33):
+        bands, rows, agree = N.plan(float(t))
+        assert bands * rows <= N.REGISTERS and (t < 0.21 or (1 - t**rows) ** bands <= N.MISSED_BY_BANDS * 1.01)
+    rng = np.random.default_rng(1)
+    for t in (0.5, 0.7, 0.9):
+        assert (rng.binomial(N.BITS, (1 + t) / 2, 200_000) >= N.plan(t)[2]).mean() > 0.9999
+    with pytest.raises(ValueError):
+        N.plan(0)
+
+
+def test_two_sets_of_one_class_are_an_error(spark):
+    df = spark.createDataFrame([(1, 10, [1]), (2, 11, [2])], "__c long, __check int, __set array<long>")
+    assert N.representatives(df).count() == 2
+    with pytest.raises(Exception, match="two different sets"):
+        N.representatives(df.withColumn("__c", F.lit(5))).collect()
+
+
 def test_groups_and_links(spark):
     docs = [*corpus(2, 60), ("none", None), ("empty", []), (None, ["x"]), ("twin_a", ["q", "r"]), ("twin_b", ["r", "q"]), ("twin_b", ["r", "q"])]
     df = spark.createDataFrame(docs, "id string, words array<string>")
     rows = {r.id: r for r in N.near_duplicates(df, "id", "words", 1, 0.7).collect()}
     assert "none" not in rows and "empty" not in rows and None not in rows
-    assert rows["twin_a"].class_id == rows["twin_b"].class_id and rows["twin_a"].n_links == 0
+    assert rows["twin_a"].class_id == rows["twin_b"].class_id == rows["twin_b"].group_id == "twin_a" and rows["twin_a"].n_links == 0
+    assert all(r.group_id == min(i for i, x in rows.items() if x.group_id == r.group_id) for r in rows.values())
     pairs = [(r.id_a, r.id_b) for r in N.near_pairs(df, "id", "words", 1, 0.7).collect()]
     parent = {i: i for i in rows}
 
