@@ -25,7 +25,7 @@ SLICE = 1 << 20
 
 # Letters that look alike. Each string holds Latin letters and, below them, the
 # letters of the other script with the same shape.
-_ALIKE = {
+ALIKE = {
     "CYRILLIC": ("aceopxysijhdqwABCEHIJKMOPSTXYFv", "асеорхуѕіјһԁԛԝАВСЕНІЈКМОРЅТХУҒѵ"),
     "GREEK": ("aoviupcyABEHIKMNOPTXYZnk", "αονιυρϲγΑΒΕΗΙΚΜΝΟΡΤΧΥΖηκ"),
 }
@@ -100,7 +100,7 @@ class Tables:
         self.pair_keys = np.array(sorted(pairs), np.uint64)
         self.pair_to = np.array([pairs[k] for k in sorted(pairs)], np.uint32)
         self.alike = np.zeros((4, TOP), np.uint32)  # per target script: the look-alike, or 0
-        for name, (latin, other) in _ALIKE.items():
+        for name, (latin, other) in ALIKE.items():
             for a, b in zip(latin, other):
                 self.alike[1, ord(b)] = ord(a)
                 self.alike[scripts[name], ord(a)] = ord(b)

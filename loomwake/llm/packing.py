@@ -132,6 +132,25 @@ def pack_shard(items: list[tuple[int, str, object]], share: dict[str, float], ca
     return out, deficit
 
 
+#: Consecutive rows whose sums are taken together first, when sums of all earlier rows are wanted.
+BLOCK = 1024
+
+
+def sum_before(df: DataFrame, keys: list[str], order: str, value: str, name: str, block: int | None = None) -> DataFrame:
+    """``df`` with ``name``, the sum of ``value`` over the rows of the same ``keys`` with a lesser ``order`` (whole numbers, each once).
+
+    Sums go by blocks of the order first: only one row a block passes through one task (for each
+    key), and the rows of a block through another.
+    """
+    d = df.withColumn("__b", F.floor(F.col(order) / F.lit(block or BLOCK)))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = d.groupBy(*keys, "__b").agg(F.sum(value).alias("__v"))
+    by_block = Window.partitionBy(*keys).orderBy("__b") if keys else Window.orderBy("__b")
+    heads = sums.select(*keys, "__b", F.coalesce(F.sum("__v").over(earlier(by_block)), F.lit(0)).alias("__h"))
+    inside = F.coalesce(F.sum(value).over(earlier(Window.partitionBy(*keys, "__b").orderBy(order))), F.lit(0))
+    return d.withColumn("__i", inside).join(heads, [*keys, "__b"]).withColumn(name, F.col("__h") + F.col("__i")).drop("__b", "__h", "__i")
+
+
 def pack(sizes: DataFrame, doc_id: str, source: str, tokens: str, limits: dict[str, int], mixture: dict[str, float] | None = None, tokens_per_shard: int = TOKENS_PER_SHARD, window: int = WINDOW) -> DataFrame:
     """Containers for every limit: one row per piece of a document.
 
@@ -168,10 +187,9 @@ def pack(sizes: DataFrame, doc_id: str, source: str, tokens: str, limits: dict[s
         whole = sum(mixture.values())
         given = F.create_map(*[F.lit(x) for s, v in mixture.items() for x in (s, float(v) / whole)])
         target = by_source.select("s", F.coalesce(F.element_at(given, F.col("s")), F.lit(0.0)).alias("share"))
-    earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    before = by_shard.select("shard", F.coalesce(F.sum("all").over(earlier), F.lit(0)).alias("before"))
-    mine = Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    carry = sums.join(target, "s").join(before, "shard").select("shard", "s", "share", (F.col("share") * F.col("before") - F.coalesce(F.sum("n").over(mine), F.lit(0))).alias("carry"))
+    before = sum_before(by_shard, [], "shard", "all", "before").select("shard", "before")
+    mine = sum_before(sums, ["s"], "shard", "n", "own").select("shard", "s", "own")
+    carry = mine.join(target, "s").join(before, "shard").select("shard", "s", "share", (F.col("share") * F.col("before") - F.col("own")).alias("carry"))
     one = rows.select("shard", "i", "s", "n", F.lit(None).cast("double").alias("share"), F.lit(None).cast("double").alias("carry"))
     two = carry.select("shard", F.lit(None).cast(kinds[doc_id]).alias("i"), "s", F.lit(None).cast("long").alias("n"), "share", "carry")
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("limit_name"), F.lit(int(v)).alias("capacity")) for k, v in sorted(limits.items())]))
@@ -207,3 +225,44 @@ def read_limits(limits: DataFrame, name: str, capacity: str) -> dict[str, int]:
     if len(rows) > LIMITS:
         raise ValueError(f"more than {LIMITS} limits")
     return {r.k: int(r.v) for r in rows}
+
+
+def wholeness(packed: DataFrame, sizes: DataFrame, doc_id: str, tokens: str) -> DataFrame:
+    """For each limit and document: whether its pieces are all of it, in order and once (``covered``), whether it is in one piece if it fits (``unsplit``), and whether none of its containers is overfull (``within``)."""
+    over = packed.groupBy("limit_name", "container_id").agg((F.sum("n_tokens") <= F.max("capacity_tokens")).alias("within"))
+    last = F.max_by(F.col("start_token") + F.col("n_tokens"), "piece")
+    p = packed.join(over, ["limit_name", "container_id"]).groupBy("limit_name", doc_id).agg(
+        F.sum("n_tokens").alias("n"), F.count("*").alias("pieces"), F.max("piece").alias("top"), F.countDistinct("piece").alias("different"), last.alias("last"), F.max("capacity_tokens").alias("capacity"), F.bool_and("within").alias("within"),
+        F.bool_and((F.col("start_token") == F.col("piece") * F.col("capacity_tokens"))).alias("placed"),
+    )
+    s = sizes.groupBy(doc_id).agg(F.sum(tokens).alias("size"))
+    covered = F.col("placed") & (F.col("n") == F.col("size")) & (F.col("last") == F.col("size")) & (F.col("pieces") == F.col("different")) & (F.col("top") == F.col("pieces") - 1)
+    return p.join(s, doc_id).select("limit_name", doc_id, covered.alias("covered"), ((F.col("pieces") == 1) == (F.col("size") <= F.col("capacity"))).alias("unsplit"), "within")
+
+
+def fill(packed: DataFrame) -> DataFrame:
+    """Per limit: containers, tokens, and the share of the containers' space that is used."""
+    c = packed.groupBy("limit_name", "capacity_tokens", "container_id").agg(F.sum("n_tokens").alias("used")).where("used > 0")
+    return c.groupBy("limit_name", "capacity_tokens").agg(F.count("*").alias("n_containers"), F.sum("used").alias("n_tokens"), (F.sum("used") / F.sum("capacity_tokens")).alias("fill"))
+
+
+def deviations(packed: DataFrame, source: str, mixture: dict[str, float] | None = None) -> DataFrame:
+    """Per limit and source: target and actual share of tokens, and the largest gap between them in any window but a shard's last, whose queues run dry."""
+    shard = F.element_at(F.split("container_id", "-"), -2)
+    w = packed.select("limit_name", shard.alias("shard"), "window", F.coalesce(source, F.lit("")).alias("s"), "n_tokens").groupBy("limit_name", "shard", "window", "s").agg(F.sum("n_tokens").alias("n"))
+    whole = w.groupBy("limit_name", "shard", "window").agg(F.sum("n").alias("all"))
+    inner = whole.join(whole.groupBy("limit_name", "shard").agg(F.max("window").alias("last")), ["limit_name", "shard"]).where(F.col("window") < F.col("last")).select("limit_name", "shard", "window", "all")
+    every = w.groupBy("limit_name", "s").agg(F.sum("n").alias("n_tokens"))
+    share = every.join(every.groupBy("limit_name").agg(F.sum("n_tokens").alias("total")), "limit_name").withColumn("actual", F.col("n_tokens") / F.col("total"))
+    target = F.col("actual")
+    if mixture is not None:
+        given = F.create_map(*[F.lit(x) for s, v in mixture.items() for x in (s, float(v) / sum(mixture.values()))])
+        target = F.coalesce(F.element_at(given, F.col("s")), F.lit(0.0))
+    share = share.withColumn("target", target).select("limit_name", "s", "n_tokens", "target", "actual")
+    gaps = w.join(inner, ["limit_name", "shard", "window"]).join(share.select("limit_name", "s", "target"), ["limit_name", "s"])
+    worst = gaps.groupBy("limit_name", "s").agg(F.max(F.abs(F.col("n") / F.col("all") - F.col("target"))).alias("gap"), F.count("*").alias("met"))
+    out = share.join(worst, ["limit_name", "s"], "left").join(inner.groupBy("limit_name").agg(F.count("*").alias("windows")), "limit_name", "left")
+    zero = F.lit(0)
+    missed = F.coalesce("windows", zero) > F.coalesce("met", zero)  # a source that a window lacks has the share 0 there
+    gap = F.greatest(F.coalesce("gap", F.lit(0.0)), F.when(missed, F.col("target")).otherwise(0.0))
+    return out.select("limit_name", F.nullif(F.col("s"), F.lit("")).alias(source), "n_tokens", "target", "actual", gap.alias("largest_gap"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwake.functions.keys import ident
-from loomwake.llm import langid, leakage, neardup, normalize, packing, pii, readability
+from loomwake.llm import langid, leakage, neardup, normalize, packing, pii, readability, sql
 from loomwake.session import table
 
 
@@ -120,27 +120,44 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_leaks(spark, d).select("doc_id", "item_id").distinct()
 
 
+def p9_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and the evaluation items of which they have as many consecutive words as make a leak, if an item is that long."""
+    items = table(spark, d, "eval_items")
+    long = items.where(F.size(F.filter(F.split("text", r"\s+"), lambda w: w.rlike(r"[\p{L}\p{N}]"))) >= leakage.RUN_WORDS).select("item_id")
+    return p9_leaks(spark, d).where(F.col("run_words") >= leakage.RUN_WORDS).select("doc_id", "item_id").distinct().join(long, "item_id", "left_semi").select("doc_id", "item_id")
+
+
 def p9_items(spark: SparkSession, d: str) -> DataFrame:
     """Evaluation items by the number of documents they leak into."""
     return p9_found(spark, d).groupBy("item_id").agg(F.count("*").alias("n_documents"))
 
 
+def _packed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Pieces of all documents for every capacity, and the documents' tokens."""
+    sizes = packing.with_tokens(table(spark, d, "documents"), ["doc_id", "source"], "text")
+    limits = packing.read_limits(table(spark, d, "packing_limits"), "limit_name", "capacity_tokens")
+    return packing.pack(sizes, "doc_id", "source", "n_tokens", limits), sizes
+
+
 def p8_packing(spark: SparkSession, d: str) -> DataFrame:
     """Every document's container, for every capacity; in tokens of a public tokenizer."""
-    docs = table(spark, d, "documents")
-    limits = packing.read_limits(table(spark, d, "packing_limits"), "limit_name", "capacity_tokens")
-    return packing.pack(packing.with_tokens(docs, ["doc_id", "source"], "text"), "doc_id", "source", "n_tokens", limits)
+    return _packed(spark, d)[0]
+
+
+def p8_whole(spark: SparkSession, d: str) -> DataFrame:
+    """For every capacity and document: all of it packed once, in one piece if it fits, in no overfull container."""
+    packed, sizes = _packed(spark, d)
+    return packing.wholeness(packed, sizes, "doc_id", "n_tokens")
 
 
-def p8_containers(spark: SparkSession, d: str) -> DataFrame:
-    """Every container with what it holds and the space left over."""
-    p = p8_packing(spark, d).groupBy("limit_name", "capacity_tokens", "container_id").agg(F.count("*").alias("n_pieces"), F.sum("n_tokens").alias("used_tokens"))
-    return p.withColumn("free_tokens", F.col("capacity_tokens") - F.col("used_tokens"))
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers of every capacity and how full they are."""
+    return packing.fill(p8_packing(spark, d))
 
 
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
-    """Tokens of each source in each window, over all shards."""
-    return p8_packing(spark, d).groupBy("limit_name", "window", "source").agg(F.sum("n_tokens").alias("n_tokens"))
+    """Target and actual share of each source, and how far any window strays from the target."""
+    return packing.deviations(p8_packing(spark, d), "source")
 
 
 #: Documents with fewer words, parted by white space, are too short for a level.
@@ -177,5 +194,5 @@ def p10_profile(spark: SparkSession, d: str) -> DataFrame:
     return _levels(spark, d).where(F.col("n_words") >= P10_WORDS).groupBy("doc_kind", "band").agg(F.count("*").alias("n_documents"), F.sum("n_words").alias("n_words"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_texts": p1_texts, "p3_found": p3_found, "p3_segments": p3_segments, "p4_found": p4_found, "p4_redacted": p4_redacted, "p6_found": p6_found, "p6_groups": p6_groups, "p10_found": p10_found, "p10_levels": p10_levels, "p10_profile": p10_profile, "p8_packing": p8_packing, "p8_containers": p8_containers, "p8_mixture": p8_mixture, "p9_found": p9_found, "p9_items": p9_items, "p9_leaks": p9_leaks}
-ORACLES: dict[str, str] = {}
+QUERIES = {"p1_found": p1_found, "p1_texts": p1_texts, "p3_found": p3_found, "p3_segments": p3_segments, "p4_found": p4_found, "p4_redacted": p4_redacted, "p6_found": p6_found, "p6_groups": p6_groups, "p10_found": p10_found, "p10_levels": p10_levels, "p10_profile": p10_profile, "p8_packing": p8_packing, "p8_whole": p8_whole, "p8_fill": p8_fill, "p8_mixture": p8_mixture, "p9_found": p9_found, "p9_items": p9_items, "p9_runs": p9_runs, "p9_leaks": p9_leaks}
+ORACLES = sql.ORACLES

@@ -67,6 +67,30 @@ def test_packing_edges(spark):
     assert [r.n_tokens for r in packing.with_tokens(docs, ["doc_id"], "text").orderBy("doc_id").collect()][:2] == [0, 0]
 
 
+def test_sums_before_by_blocks(spark):
+    rng = random.Random(6)
+    rows = [(s, i, rng.randrange(50)) for s in "ab" for i in rng.sample(range(400), 150)]
+    df = spark.createDataFrame(rows, "s string, shard long, n long")
+    got = {(r.s, r.shard): r.x for r in packing.sum_before(df, ["s"], "shard", "n", "x", 16).collect()}
+    assert got == {(s, i): sum(n for t, j, n in rows if t == s and j < i) for s, i, _ in rows}
+    one = df.where("s = 'a'")
+    assert {(r.shard, r.x) for r in packing.sum_before(one, [], "shard", "n", "x", 16).collect()} == {(i, got["a", i]) for s, i, _ in rows if s == "a"}
+
+
+def test_wholeness_fill_and_mixture(spark):
+    _, df = sizes(spark, 2500)
+    packed = packing.pack(df, "doc_id", "source", "n", {"s": 512, "l": 4096}, None, 100_000, 4)
+    whole = packing.wholeness(packed, df, "doc_id", "n").collect()
+    assert len(whole) == 5000 and all(r.covered and r.unsplit and r.within for r in whole)
+    lost = packing.wholeness(packed.where("doc_id <> 7 or piece = 0").withColumn("n_tokens", F.when(F.col("doc_id") == 9, F.col("n_tokens") + 1).otherwise(F.col("n_tokens"))), df, "doc_id", "n")
+    assert {r.doc_id for r in lost.where("not covered").collect()} >= {9}
+    assert all(r.fill > 0.97 for r in packing.fill(packed).collect())
+    gaps = packing.deviations(packed, "source").collect()
+    assert len(gaps) == 8 and all(abs(r.target - r.actual) < 1e-12 for r in gaps) and max(r.largest_gap for r in gaps if r.limit_name == "l") < 0.12
+    given = packing.deviations(packed, "source", {"hot": 1.0}).collect()
+    assert {r.source: r.target for r in given if r.limit_name == "s"} == {"hot": 1.0, "a": 0.0, "b": 0.0, None: 0.0}
+
+
 def test_mixture_given(spark):
     _, df = sizes(spark, 800)
     got = packing.pack(df, "doc_id", "source", "n", {"s": 512}, {"hot": 1.0, "a": 1.0}, 50_000)
