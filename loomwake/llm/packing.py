@@ -247,7 +247,10 @@ def fill(packed: DataFrame) -> DataFrame:
 
 
 def deviations(packed: DataFrame, source: str, mixture: dict[str, float] | None = None) -> DataFrame:
-    """Per limit and source: target and actual share of tokens, and the largest gap between them in any window but a shard's last, whose queues run dry."""
+    """Per limit and source: target and actual share of tokens, and the largest gap between them in any window but a shard's last, whose queues run dry.
+
+    A window that makes up for a deficit carried from earlier shards strays from the target by as much.
+    """
     shard = F.element_at(F.split("container_id", "-"), -2)
     w = packed.select("limit_name", shard.alias("shard"), "window", F.coalesce(source, F.lit("")).alias("s"), "n_tokens").groupBy("limit_name", "shard", "window", "s").agg(F.sum("n_tokens").alias("n"))
     whole = w.groupBy("limit_name", "shard", "window").agg(F.sum("n").alias("all"))

@@ -85,8 +85,9 @@ def test_wholeness_fill_and_mixture(spark):
     lost = packing.wholeness(packed.where("doc_id <> 7 or piece = 0").withColumn("n_tokens", F.when(F.col("doc_id") == 9, F.col("n_tokens") + 1).otherwise(F.col("n_tokens"))), df, "doc_id", "n")
     assert {r.doc_id for r in lost.where("not covered").collect()} >= {9}
     assert all(r.fill > 0.97 for r in packing.fill(packed).collect())
-    gaps = packing.deviations(packed, "source").collect()
-    assert len(gaps) == 8 and all(abs(r.target - r.actual) < 1e-12 for r in gaps) and max(r.largest_gap for r in gaps if r.limit_name == "l") < 0.12
+    gaps = packing.deviations(packing.pack(df, "doc_id", "source", "n", {"s": 512, "l": 4096}, None, 10**9, 8), "source").collect()
+    assert len(gaps) == 8 and all(abs(r.target - r.actual) < 1e-12 for r in gaps)
+    assert max(r.largest_gap for r in gaps if r.limit_name == "l") < 0.1  # an item of 1500 tokens is a twentieth of a window
     given = packing.deviations(packed, "source", {"hot": 1.0}).collect()
     assert {r.source: r.target for r in given if r.limit_name == "s"} == {"hot": 1.0, "a": 0.0, "b": 0.0, None: 0.0}
 
