@@ -18,6 +18,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def clean(c: Column | str) -> Column:
     """Never null; without control characters other than line breaks and tabs, and without outer blanks."""
     return F.regexp_replace(F.regexp_replace(F.coalesce(col(c), F.lit("")), CONTROLS, ""), r"(?U)^\s+|\s+$", "")
@@ -187,31 +192,28 @@ def facts_wrapper(prefix: str, **fields: Column) -> Column:
 
 def facts_normalized(c: Column | str, chars: int = 4_000) -> Column:
     """A struct of bounded facts from a strict JSON object: texts cut and cleaned, confidence within 0 and 1; null if it is none."""
-    doc = strict_json(c)
-    j = F.from_json(doc, FACTS + ", language string, confidence double")
     text = lambda x: F.substring(F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"[\x00-\x1F\x7F]+", " ")), 1, chars)
-    made = F.struct(*[text(j[k]).alias(k) for k in ("summary", "visible_text", "transcript", "language")], F.coalesce(bounded_signals(j["signals"]), F.array().cast("array<string>")).alias("signals"), clamp(F.coalesce(j["confidence"], F.lit(0.0))).alias("confidence"))
-    return F.when(doc.rlike(r"(?s)^\{.*\}$"), made)
+    made = lambda j: F.struct(*[text(j[k]).alias(k) for k in ("summary", "visible_text", "transcript", "language")], F.coalesce(bounded_signals(j["signals"]), F.array().cast("array<string>")).alias("signals"), clamp(F.coalesce(j["confidence"], F.lit(0.0))).alias("confidence"))
+    of = lambda doc: F.when(doc.rlike(r"(?s)^\{.*\}$"), let(F.from_json(doc, FACTS + ", language string, confidence double"), made))
+    return let(strict_json(c), of)
 
 
 #: Bounds of a JSON document: characters, levels below the top, values.
 JSON_CHARS, JSON_DEPTH, JSON_NODES = 128_000, 20, 5_000
 
 
-def json_nodes(doc: Column) -> Column:
-    """Values in a valid document: itself, and what its lists and objects hold."""
-    bare = _without_strings(doc)
+def _json_nodes(bare: Column) -> Column:
+    """Values in a valid document without its strings: itself, and what its lists and objects hold."""
     filled = F.regexp_count(bare, F.lit(r"[\[{]")) - F.regexp_count(bare, F.lit(r"\[\s*\]|\{\s*\}"))
     return F.lit(1) + F.regexp_count(bare, F.lit(",")) + filled
 
 
-def json_deeper(doc: Column, levels: int) -> Column:
-    """Whether a valid document has a value more than so many levels below the top.
+def _json_deeper(bare: Column, levels: int) -> Column:
+    """Whether a valid document, without its strings, has a value more than so many levels below the top.
 
     Lists and objects that hold nothing further are replaced by a number, level by level.
     """
-    bare = F.regexp_replace(_without_strings(doc), r"\[\s*\]|\{\s*\}", "0")
-    flat = bare
+    flat = F.regexp_replace(bare, r"\[\s*\]|\{\s*\}", "0")
     for _ in range(levels):
         flat = F.regexp_replace(flat, r"\[[^\[\]{}]*\]|\{[^\[\]{}]*\}", "0")
     return F.when(F.regexp_count(bare, F.lit(r"[\[{]")) <= levels, F.lit(False)).otherwise(flat.rlike(r"[\[{]"))
@@ -223,14 +225,20 @@ def _without_strings(doc: Column) -> Column:
 
 def strict_json(c: Column | str, chars: int = JSON_CHARS, depth: int = JSON_DEPTH, nodes: int = JSON_NODES) -> Column:
     """A JSON document, tolerating one code fence; null for prose, repeated keys, non-finite numbers and documents too long, deep or full."""
-    t = F.regexp_replace(F.regexp_replace(col(c), "^\\ufeff", ""), r"^\s+|\s+$", "")
-    body = F.regexp_replace(F.regexp_extract(t, r"(?si)^```(?:json)?[ \t]*\n(.*)\n```$", 1), r"^\s+|\s+$", "")
-    doc = F.when(F.startswith(t, F.lit("```")), body).otherwise(t)
-    whole = doc.rlike(r'(?s)^(\{.*\}|\[.*\]|".*"|-?\d+(\.\d+)?([eE][+-]?\d+)?|true|false|null)$') & ~_without_strings(doc).rlike(r"NaN|Infinity")
-    # the parser ignores what follows a value, but nothing can follow one both in a list and in an object
-    alone = F.try_parse_json(F.concat(F.lit("["), doc, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"":'), doc, F.lit("}"))).isNotNull()
-    small = F.coalesce(json_nodes(doc) <= nodes, F.lit(False)) & ~F.coalesce(json_deeper(doc, depth), F.lit(True))
-    return F.when(whole & (F.length(t) <= chars) & alone & small, doc)
+    blanks = r"^\s+|\s+$"
+
+    def fenced(t: Column) -> Column:
+        body = F.regexp_replace(F.regexp_extract(t, r"(?si)^```(?:json)?[ \t]*\n(.*)\n```$", 1), blanks, "")
+        return F.when(F.length(t) <= chars, F.when(F.startswith(t, F.lit("```")), body).otherwise(t))
+
+    def checked(doc: Column, bare: Column) -> Column:
+        whole = doc.rlike(r'(?s)^(\{.*\}|\[.*\]|".*"|-?\d+(\.\d+)?([eE][+-]?\d+)?|true|false|null)$') & ~bare.rlike(r"NaN|Infinity")
+        # the parser ignores what follows a value, but nothing can follow one both in a list and in an object
+        alone = F.try_parse_json(F.concat(F.lit("["), doc, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"":'), doc, F.lit("}"))).isNotNull()
+        return F.when(whole & alone & (_json_nodes(bare) <= nodes) & ~_json_deeper(bare, depth), doc)
+
+    text = F.regexp_replace(F.regexp_replace(col(c), "^\\ufeff", ""), blanks, "")
+    return let(let(text, fenced), lambda doc: let(_without_strings(doc), lambda bare: checked(doc, bare)))
 
 
 # What keys and tokens look like, by kind.

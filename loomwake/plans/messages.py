@@ -144,6 +144,15 @@ def evidence_violations(spark: SparkSession, d: str) -> DataFrame:
 _ORDERED = "list_filter(regexp_split_to_array(lower(trim(coalesce({0}, ''))), '[;,|\\s]+'), lambda x: x <> '' and x <> 'none')"
 
 
+@query(f"""with {_M}, {_O}, e as (select distinct message_id, unnest({_IDLIST.format("evidence_message_ids")}) as evidence_id from o)
+select message_id, evidence_id from e join m q using (message_id) join m h on h.message_id = e.evidence_id where q.user_id = h.user_id and h.message_id <> q.message_id and h.created_at < q.created_at""")
+def sound_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Of the evidence named in the output, what is the same user's and provably earlier."""
+    named = output(spark, d).select("message_id", F.explode(quality.parse_ids("evidence_message_ids")).alias("evidence_id")).distinct()
+    m = messages(spark, d, "user_id", "created_at")
+    return retrieval.same_user_evidence(named, m, m)
+
+
 @query(f"""with {_O}, e as (select message_id, {_ORDERED.format("evidence_message_ids")} as ids from o), f as (select message_id, list_filter(ids, lambda x, i: list_position(ids, x) = i) as ids from e)
 select message_id, len(ids) as n_ids, case when len(ids) > 0 then array_to_string(ids, ';') else 'none' end as canonical from f""")
 def evidence_lists(spark: SparkSession, d: str) -> DataFrame:
@@ -242,6 +251,15 @@ def cue_flags(spark: SparkSession, d: str) -> DataFrame:
     return normalized_texts(spark, d).select("message_id", cue_counts("text").alias("c")).select("message_id", "c.*")
 
 
+_ANY = ("urgency", "payment", "greeting", "lost_item")
+
+
+@query(f"with {_NF}, t as (select message_id, {ascii_words('text')} as t from nf) select message_id, " + ", ".join("(" + " or ".join(f"regexp_matches(t, {quoted(ascii_pattern(p))})" for p in CUES[g]) + f") as {g}" for g in _ANY) + " from t")
+def cue_any(spark: SparkSession, d: str) -> DataFrame:
+    """Whether any pattern of some cue groups matches, as streams tell it: by one pattern a group, without Python."""
+    return normalized_texts(spark, d).select("message_id", *[X.has_cue("text", g).alias(g) for g in _ANY])
+
+
 _URL_SQL = X.URL.replace("'", "''")
 
 
@@ -328,6 +346,34 @@ def message_facts(spark: SparkSession, d: str) -> DataFrame:
     return messages(spark, d, "message_text", "media_id", "conversation_type").select("message_id", X.facts_text(facts).alias("text"))
 
 
+@query(f"""with {_M} select message_id, trim(regexp_replace(coalesce(message_text, ''), '[\\x00-\\x1F\\x7F]+', ' ', 'g'), ' ')[1:4000] as summary, greatest(0, least(1, forwarded_count - 1))::double as confidence, case when coalesce(conversation_type, '') = '' then 0 else 1 end as n_signals from m""")
+def message_fact_records(spark: SparkSession, d: str) -> DataFrame:
+    """Bounded facts of each message, from a JSON object of its columns."""
+    kind = F.coalesce("conversation_type", F.lit(""))
+    facts = F.to_json(F.struct(F.coalesce("message_text", F.lit("")).alias("summary"), F.array(kind, kind, F.lit("")).alias("signals"), (F.col("forwarded_count") - 1).cast("double").alias("confidence")))
+    f = messages(spark, d, "message_text", "conversation_type", "forwarded_count").select("message_id", X.facts_normalized(facts).alias("f"))
+    return f.select("message_id", "f.summary", "f.confidence", F.size("f.signals").alias("n_signals"))
+
+
+@query(f"""with {_M} select message_id, concat_ws(chr(10), nullif(message_text, ''), nullif(media_id, '')) as content from m""")
+def message_contents(spark: SparkSession, d: str) -> DataFrame:
+    """What each message says: its text and its media's content (here the id) on lines of their own, or whichever there is."""
+    return messages(spark, d, "message_text", "media_id").select("message_id", X.content("message_text", "media_id").alias("content"))
+
+
+@query("select media_type, media_id, case when media_type = 'image' then 'data:image/png;base64,' || base64(encode(file_path)) when media_type = 'voice' then 'data:audio/mpeg;base64,' || base64(encode(file_path)) end as url from media_files")
+def media_urls(spark: SparkSession, d: str) -> DataFrame:
+    """Data URLs of media files, their path standing for the content the tables lack; none of other kinds."""
+    mime = F.when(F.col("media_type") == "image", "image/png").when(F.col("media_type") == "voice", "audio/mpeg").otherwise("text/html")
+    return table(spark, d, "media_files").select("media_type", "media_id", media.data_url(F.encode("file_path", "UTF-8"), mime).alias("url"))
+
+
+@query("select media_type, format, count(*) as n from (select media_type, case when n in ('jpg', 'jpeg') then 'jpeg' when n in ('png', 'webp', 'wav', 'mp3') then n when n in ('avif', 'm4a') and octet_length(encode(file_path)) >= 4 then n else '' end as format from (select *, regexp_extract(lower(file_path), '\\.([a-z0-9]+)$', 1) as n from media_files)) group by 1, 2")
+def media_format_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Media files by kind and format."""
+    return media_formats(spark, d).groupBy("media_type", "format").agg(F.count("*").alias("n"))
+
+
 #: Most values of a document here.
 _NODES = 100
 
@@ -570,3 +616,36 @@ def enriched(spark: SparkSession, d: str) -> DataFrame:
     m = messages(spark, d, "message_text").where("message_text is not null and message_text <> ''").select("message_id", "message_text")
     e = enrich.enrich(m, "message_text", _length_client)
     return e.select("message_id", F.get_json_object("facts", "$.chars").cast("bigint").alias("chars"))
+
+
+def _shaky_client():
+    """A stand-in for an outside service that fails on some texts, by their length, and answers nonsense on others."""
+    import json
+
+    def ask(texts: list[str]) -> list[str]:
+        if any(len(t) % 20 == 3 for t in texts):
+            raise TimeoutError
+        if any(len(t) % 20 == 4 for t in texts):
+            raise ConnectionError
+        return ["nonsense" if len(t) % 20 == 5 else json.dumps({"index": k, "chars": len(t)}) if len(texts) > 1 and all(len(x) % 20 != 5 for x in texts) else json.dumps({"chars": len(t)}) for k, t in enumerate(texts)]
+
+    return ask
+
+
+_ASKED = f"{_M}, a as (select distinct message_text, case length(message_text) % 20 when 3 then 'timeout' when 4 then 'unreachable' when 5 then 'malformed' end as error from m where message_text is not null and message_text <> '')"
+
+
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    return enrich.ask(enrich.distinct_contents(messages(spark, d, "message_text"), "message_text"), _shaky_client)
+
+
+@query(f"with {_ASKED} select count(*) as n_contents, count_if(error is null) as n_answered, count_if(error is not null) as n_failed, count_if(error = 'timeout') as timeout, count_if(error = 'unreachable') as unreachable, count_if(error = 'malformed') as malformed, count_if(error = 'mismatched') as mismatched from a")
+def enrichment_report(spark: SparkSession, d: str) -> DataFrame:
+    """What became of all distinct texts sent to a service that fails on some."""
+    return enrich.report(_asked(spark, d)).select("n_contents", "n_answered", "n_failed", "timeout", "unreachable", "malformed", "mismatched")
+
+
+@query(f"with {_ASKED} select coalesce(error, 'none') as error, count(*) as n from a group by 1")
+def failure_histogram(spark: SparkSession, d: str) -> DataFrame:
+    """Failures of that service by kind."""
+    return enrich.failure_counts(_asked(spark, d))
