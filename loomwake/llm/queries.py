@@ -14,8 +14,8 @@ from loomwake.session import table
 
 
 def p1_texts(spark: SparkSession, d: str) -> DataFrame:
-    """Every message text in its one form, with the kinds of variants it had."""
-    m = table(spark, d, "messages").select(ident("message_id").alias("message_id"), "message_text").distinct()
+    """Every message text in its one form, with the kinds of variants it had; a row for each delivery, so that no text is shuffled."""
+    m = table(spark, d, "messages").select(ident("message_id").alias("message_id"), "message_text")
     one = normalize.with_canonical(m, "message_text")
     return one.select("message_id", "canonical_text", F.array_join(normalize.kind_names("variant_kinds"), ",").alias("kinds"))
 
@@ -81,8 +81,8 @@ def _redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
-    """Every message text with typed, linked placeholders for personal information."""
-    return _redacted(spark, d).select("message_id", "redacted", F.array_join("kinds", ",").alias("kinds")).distinct()
+    """Every message text with typed, linked placeholders for personal information; a row for each delivery, so that no text is shuffled."""
+    return _redacted(spark, d).select("message_id", "redacted", F.array_join("kinds", ",").alias("kinds"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
