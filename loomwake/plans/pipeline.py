@@ -32,35 +32,38 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("user_id", F.date_format("date", "yyyy-MM-dd").alias("day"))
 
 
-def _messages_at(spark: SparkSession, d: str) -> DataFrame:
-    m = table(spark, d, "messages")
-    return m.select(*[ident(c).alias(c) for c in ("message_id", "user_id", "group_id", "business_id")], "created_at")
+GROUP, OPT_OUT = "group_membership", "promotion_opt_out"
 
 
-def _memberships_known(spark: SparkSession, d: str) -> DataFrame:
-    g = table(spark, d, "group_members").select(ident("user_id").alias("user_id"), ident("group_id").alias("group_id"), "joined_at", "role")
-    return known_at(_messages_at(spark, d), g, ["user_id", "group_id"], "created_at", "joined_at", ["message_id"], ["role"])
+def _attributes_known(spark: SparkSession, d: str) -> DataFrame:
+    """Each message with the membership in its group and the opt-out from its business in force at its time.
+
+    Both attributes go together: an entity is a user with a group or a business, and a message is
+    an event of each entity it names, so messages aren't read and shuffled for each attribute.
+    """
+    of = lambda kind, c: F.struct(F.lit(kind).alias("attribute"), ident(c).alias("entity"))
+    m = table(spark, d, "messages").select(ident("message_id").alias("message_id"), ident("user_id").alias("user_id"), "created_at", F.explode(F.array(of(GROUP, "group_id"), of(OPT_OUT, "business_id"))).alias("x"))
+    events = m.select("message_id", "user_id", "created_at", "x.attribute", "x.entity").where("entity is not null")
+    changed = lambda t, kind, c, at, role: table(spark, d, t).select(ident("user_id").alias("user_id"), F.lit(kind).alias("attribute"), ident(c).alias("entity"), F.col(at).alias("at"), role.alias("role"))
+    g = changed("group_members", GROUP, "group_id", "joined_at", F.col("role"))
+    b = changed("user_business_history", OPT_OUT, "business_id", "promotions_opted_out_at", F.lit(None).cast("string"))
+    return known_at(events, g.unionByName(b), ["user_id", "attribute", "entity"], "created_at", "at", ["message_id"], ["role"])
 
 
-def _opt_outs_known(spark: SparkSession, d: str) -> DataFrame:
-    b = table(spark, d, "user_business_history").select(ident("user_id").alias("user_id"), ident("business_id").alias("business_id"), "promotions_opted_out_at")
-    return known_at(_messages_at(spark, d), b, ["user_id", "business_id"], "created_at", "promotions_opted_out_at", ["message_id"], [])
+def _valid_from():
+    return F.when(F.col("known_since").isNull(), "none").otherwise(minute_text("known_since"))
 
 
 def p5_known(spark: SparkSession, d: str) -> DataFrame:
     """Each message with the membership and the opt-out in force at its time; once per message."""
-    g, b = _memberships_known(spark, d), _opt_outs_known(spark, d)
-    g = g.select("message_id", F.lit("group_membership").alias("attribute"), F.coalesce(minute_text("known_since"), F.lit("none")).alias("valid_from"), F.coalesce("role", F.lit("none")).alias("value"))
-    b = b.select("message_id", F.lit("promotion_opt_out").alias("attribute"), F.coalesce(minute_text("known_since"), F.lit("none")).alias("valid_from"), F.when(F.col("known_since").isNull(), "none").otherwise("opted_out").alias("value"))
-    return g.unionByName(b).distinct()
+    value = F.when(F.col("known_since").isNull(), "none").when(F.col("attribute") == GROUP, F.coalesce("role", F.lit("none"))).otherwise("opted_out")
+    return _attributes_known(spark, d).select("message_id", "attribute", _valid_from().alias("valid_from"), value.alias("value")).distinct()
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Messages whose entity has a later attribute that a join to the latest values would leak."""
-    leak = F.col("latest_change") > F.col("created_at")
-    g = _memberships_known(spark, d).where(leak).select("message_id", F.lit("group_membership").alias("attribute"), F.coalesce(minute_text("known_since"), F.lit("none")).alias("valid_from"))
-    b = _opt_outs_known(spark, d).where(leak).select("message_id", F.lit("promotion_opt_out").alias("attribute"), F.lit("none").alias("valid_from"))
-    return g.unionByName(b).where("message_id is not null").distinct()
+    late = _attributes_known(spark, d).where((F.col("latest_change") > F.col("created_at")) & F.col("message_id").isNotNull())
+    return late.select("message_id", "attribute", F.when(F.col("attribute") == GROUP, _valid_from()).otherwise("none").alias("valid_from")).distinct()
 
 
 #: What parts evidence ids in a list.

@@ -5,14 +5,15 @@ import random
 
 import numpy as np
 import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
 
+from loomwake.operators import context, references
 from loomwake.operators.asof import known_at
 from loomwake.operators.bitmaps import Bitmap
-from loomwake.operators import references
 from loomwake.operators.references import unresolved
 from loomwake.operators.rolling import rolling_totals
-from loomwake.plans import pipeline
+from loomwake.plans import pipeline, registry
 
 DAY = dt.date(2026, 1, 1)
 DAYS = "user string, d date, n int, got timestamp_ntz, nth_day string, __e string"
@@ -96,3 +97,29 @@ def test_only_missing_businesses_survive_the_bitmaps(spark):
     refs, parents = pipeline._references(spark, "/root/testdata/sf0.001")
     left = unresolved(refs.where("relation = 'messages.business_id'"), parents, 2).collect()
     assert left and not [r.key for r in left if r.parent_exists]
+
+
+def executed(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["quiet_hours", "message_load", "promotion_opt_outs", "message_context", "p5_found"])
+def test_queries_without_texts_read_none(spark, name):
+    plan = executed(registry.queries()[name](spark, DATA))
+    assert "Scan parquet" in plan and "message_text" not in plan
+
+
+def test_messages_are_scanned_for_both_attributes_together(spark):
+    """Once for the slices' summaries and once to be carried through."""
+    assert executed(registry.queries()["p5_found"](spark, DATA)).count("messages.parquet") <= 2
+
+
+def test_context_keeps_every_message_and_multiplies_none(spark):
+    kind = "message_id string, user_id string, group_id string"
+    m = spark.createDataFrame([("a", "u", "g"), ("a", "u", "g"), ("b", None, None), ("c", "v", "h")], kind)
+    members = spark.createDataFrame([("g", "u", "member"), ("g", "u", "admin"), ("h", None, "admin"), (None, "v", "x")], "group_id string, user_id string, role string")
+    days = spark.createDataFrame([("u", 2, 5), ("u", 1, 7), ("u", None, 9), (None, 1, 1)], "user_id string, day int, sent int")
+    c = context.build_context(m, {"members": context.one_per_key(members, context.SIDES["members"])}, context.daily_lists(days, "user_id", "day", ["sent"]))
+    got = sorted((r.message_id, r.members and r.members.role, r.summaries and [tuple(s) for s in r.summaries]) for r in c.collect())
+    assert got == [("a", "member", [(1, 7), (2, 5)]), ("a", "member", [(1, 7), (2, 5)]), ("b", None, None), ("c", None, None)]
+    assert context.build_context(m.limit(0), {"members": members}).count() == 0
