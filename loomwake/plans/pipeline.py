@@ -9,7 +9,7 @@ from loomwake.functions.keys import ident, minute_text, month_text
 from loomwake.operators.asof import known_at
 from loomwake.operators.references import ALWAYS, unresolved
 from loomwake.operators.rolling import rolling_totals
-from loomwake.session import table
+from loomwake.session import cut, table
 
 
 def _rolling(spark: SparkSession, d: str) -> DataFrame:
@@ -101,7 +101,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     compared by its exact times.
     """
     refs, parents = _references(spark, d)
-    refs = refs.withColumn("since", month_text(F.least("created_at", "received_at")))
+    refs = cut(refs).withColumn("since", month_text(F.least("created_at", "received_at")))
     left = unresolved(refs.drop("period").withColumnRenamed("since", "period"), parents).withColumnRenamed("period", "since")
     rows = refs.join(left, ["domain", "relation", "key", "since"])
     timed = F.col("relation").isin("messages.media_id", "message_events.message_id")
