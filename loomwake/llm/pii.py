@@ -24,8 +24,6 @@ from loomwake.llm import codepoints as C
 from loomwake.llm import numbers as N
 
 KINDS = ("email", "phone", "id_number", "address", "name")
-#: Key of the pseudonyms if the caller gives none; give one in production.
-KEY = b"loomwake"
 #: Kind of what is replaced but no kind of personal information here: dates of birth.
 BIRTH = "birth_date"
 GAP = "\x00"
