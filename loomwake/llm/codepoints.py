@@ -20,8 +20,8 @@ KINDS = {"compatibility": COMPATIBILITY, "combining": COMBINING, "invisible": IN
 
 #: Code points from here on hold no letters or marks that need a table (tags and selectors apart).
 TOP = 0x30000
-#: Texts of a batch are worked on in slices of about so many code points.
-SLICE = 1 << 20
+#: Texts of a batch are worked on in slices of about so many code points, so that arrays stay in the cache.
+SLICE = 1 << 18
 
 # Letters that look alike. Each string holds Latin letters and, below them, the
 # letters of the other script with the same shape.
@@ -93,10 +93,11 @@ class Tables:
         self.second = np.zeros(TOP, bool)
         self.second[[k & 0x1FFFFF for k in pairs]] = True
         self.second[[*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]] = True
-        self.latin = self.script == _SCRIPTS["LATIN"]
         # what stays as it is next to anything: no form of another, no mark, nothing that joins what stands before it
         self.stable = ~(self.drop | self.space | self.second | (self.ccc > 0))
         self.stable[[c for c, full in into.items() if U.normalize("NFKC", chr(c)) != chr(c)]] = False
+        # per code point as bits: may change, is Latin, Cyrillic, Greek, of another script
+        self.traits = (~self.stable).astype(np.uint8) | np.select([self.script == 1, self.script == 2, self.script == 3, self.script > 3], [2, 4, 8, 16], 0).astype(np.uint8)
         self.pair_keys = np.array(sorted(pairs), np.uint64)
         self.pair_to = np.array([pairs[k] for k in sorted(pairs)], np.uint32)
         self.alike = np.zeros((4, TOP), np.uint32)  # per target script: the look-alike, or 0
@@ -317,51 +318,47 @@ def slices(off: np.ndarray, size: int = SLICE) -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[1:]))
 
 
-def _several(script: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Texts with two values other than 0."""
-    n = len(off) - 1
-    low, high = np.full(n, 1 << 30), np.zeros(n, np.int64)
-    at = np.flatnonzero(script)
-    row = np.searchsorted(off, at, "right") - 1
-    np.minimum.at(low, row, script[at])
-    np.maximum.at(high, row, script[at])
-    return high > low
+def _moved(cp: np.ndarray, off: np.ndarray, all_latin: bool) -> np.ndarray:
+    """Texts outside ASCII that have a character that may change, or letters of two scripts."""
+    t, lens = tables(), np.diff(off)
+    filled = np.flatnonzero(lens > 0)
+    traits = np.where(cp < TOP, t.traits[np.minimum(cp, TOP - 1)], np.uint8(1))
+    have = np.bitwise_or.reduceat(traits, off[filled]) if len(filled) else traits[:0]
+    rich = np.bitwise_or.reduceat(cp, off[filled]) >= 0x80 if len(filled) else have.astype(bool)
+    latin, cyrillic, greek, other = ((have & b) > 0 for b in (2, 4, 8, 16))
+    moved = rich & (all_latin | ((have & 1) > 0) | (latin & (cyrillic | greek | other)) | (cyrillic & (greek | other)) | (greek & other))
+    for k in np.flatnonzero(rich & other & ~moved):  # two scripts that share a bit
+        s = t.script[np.minimum(cp[off[filled[k]] : off[filled[k] + 1]], TOP - 1)]
+        moved[k] = len(np.unique(s[s > 3])) > 1
+    return filled[moved]
 
 
-def canonical_arrow(a: pa.Array, all_latin: bool = False) -> tuple[pa.Array, np.ndarray]:
-    """``canonical`` on Arrow text: the texts (null stays null) and their kinds.
+def canonical_points(a: pa.Array, all_latin: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``canonical`` of Arrow text: code points, offsets and kinds; null is empty.
 
     Only texts with a character that may change, or with letters of two scripts, are worked on;
     the rest are in their one form.
     """
-    a = a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a
-    cp, off = code_points(a)
+    cp, off = code_points(a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a)
     kinds = np.zeros(len(a), np.uint8)
-    if not len(cp) or cp.max() < 0x80:
-        return a.cast(pa.large_string()), kinds
-    total = np.zeros(len(cp) + 1, np.int64)
-    np.cumsum(cp >= 0x80, out=total[1:])
-    rich = np.flatnonzero(total[off[1:]] > total[off[:-1]])
-    sub, sub_off = take(cp, off, rich)
-    t, c = tables(), np.minimum(sub, TOP - 1)
-    some = lambda mask: np.diff(np.concatenate(([0], np.cumsum(mask)))[sub_off]) > 0
-    moved = some(~t.stable[c] | (sub >= TOP)) | all_latin
-    if not all_latin:
-        moved |= some(t.latin[c]) & some((t.script[c] > 0) & ~t.latin[c])
-        moved |= some(t.script[c] == 2) & some(t.script[c] > 2)
-        rest = t.script[c] > 3
-        moved |= some(rest) & some((t.script[c] == 2) | (t.script[c] == 3)) | _several(np.where(rest, t.script[c], 0), sub_off)
-    if not moved.any():
-        return a.cast(pa.large_string()), kinds
-    rich = rich[moved]
-    sub, sub_off = take(cp, off, rich)
-    pieces = []
+    moved = _moved(cp, off, all_latin) if len(cp) else np.zeros(0, np.int64)
+    if not len(moved):
+        return cp, off, kinds
+    sub, sub_off = take(cp, off, moved)
+    source, begin, lens, at = [cp], off[:-1].copy(), np.diff(off), len(cp)
     for lo, hi in slices(sub_off):
         c, o, k = canonical(sub[sub_off[lo] : sub_off[hi]], sub_off[lo : hi + 1] - sub_off[lo], all_latin)
-        pieces.append(to_arrow(c, o))
-        kinds[rich[lo:hi]] = k
-    done = pa.concat_arrays(pieces)
-    plain = a.cast(pa.large_string())
-    mask = np.zeros(len(a), bool)
-    mask[rich] = True
-    return pa.compute.replace_with_mask(plain, pa.array(mask), done), kinds
+        source.append(c)
+        rows = moved[lo:hi]
+        begin[rows], lens[rows], kinds[rows] = at + o[:-1], np.diff(o), k
+        at += len(c)
+    new = np.concatenate(([0], np.cumsum(lens)))
+    return np.concatenate(source)[np.repeat(begin - new[:-1], lens) + np.arange(new[-1])], new, kinds
+
+
+def canonical_arrow(a: pa.Array, all_latin: bool = False) -> tuple[pa.Array, np.ndarray]:
+    """``canonical_points`` as text again; null stays null."""
+    a = a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a
+    cp, off, kinds = canonical_points(a, all_latin)
+    done = to_arrow(cp, off)
+    return (pa.compute.if_else(a.is_valid(), done, pa.scalar(None, pa.large_string())) if a.null_count else done), kinds

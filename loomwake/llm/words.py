@@ -14,17 +14,6 @@ MULTIPLIER = 0x9E3779B97F4A7C15
 _INV = pow(MULTIPLIER, -1, 1 << 64)
 
 
-@lru_cache(1)
-def _fold() -> tuple[np.ndarray, np.ndarray]:
-    t = C.tables()
-    low = np.arange(C.TOP, dtype=np.uint32)
-    for c in np.flatnonzero(t.word):
-        x = chr(c).lower()
-        if len(x) == 1:
-            low[c] = ord(x)
-    return low, t.word
-
-
 @lru_cache(8)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
@@ -39,6 +28,18 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(33))
 
 
+@lru_cache(1)
+def _fold() -> tuple[np.ndarray, np.ndarray]:
+    """Of each code point: the mixed value of its small letter, 0 outside words; whether it is of words."""
+    t = C.tables()
+    low = np.arange(C.TOP, dtype=np.uint64)
+    for c in np.flatnonzero(t.word):
+        x = chr(c).lower()
+        if len(x) == 1:
+            low[c] = ord(x)
+    return mix(low + np.uint64(1)) * t.word, t.word
+
+
 class Words:
     """Words of many texts end to end: hash, place, and the place of each text's words.
 
@@ -48,7 +49,7 @@ class Words:
     """
 
     def __init__(self, texts: pa.Array):
-        self._read(*C.code_points(C.canonical_arrow(texts)[0]))
+        self._read(*C.canonical_points(texts)[:2])
 
     @classmethod
     def of(cls, cp: np.ndarray, off: np.ndarray) -> Words:
@@ -58,7 +59,7 @@ class Words:
         return w
 
     def _read(self, cp: np.ndarray, off: np.ndarray) -> None:
-        low, word = _fold()
+        value, word = _fold()
         n = len(off) - 1
         c = np.minimum(cp, C.TOP - 1)
         inside = word[c]
@@ -71,10 +72,10 @@ class Words:
         last = off[1:][off[1:] > 0] - 1
         tail[last] |= inside[last]
         begin, end = np.flatnonzero(head), np.flatnonzero(tail) + 1
-        up, down = _powers(1 << max(20, int(len(cp)).bit_length()))
+        up, down = _powers(1 << max(18, int(len(cp)).bit_length()))
         with np.errstate(over="ignore"):
             total = np.zeros(len(cp) + 1, np.uint64)
-            np.cumsum(mix(low[c].astype(np.uint64) + np.uint64(1)) * up[: len(cp)] * inside, out=total[1:])
+            np.cumsum(value[c] * up[: len(cp)], out=total[1:])
             self.hash = mix((total[end] - total[begin]) * down[begin])
         row = np.repeat(np.arange(n), np.diff(off))
         self.cp, self.off, self.begin, self.end, self.n_texts = cp, off, begin, end, n
