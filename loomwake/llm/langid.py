@@ -43,6 +43,11 @@ TRAIN_WORDS = 25
 LEAST_WORDS = 3
 #: Least relative difference to the next language for a sentence to be sure of its own.
 LEAST_MARGIN = 0.2
+#: Letters that sentences walk through an automaton without a stop; a longer one goes in parts of so
+#: many, side by side (a phrase that a stop parts counts as one, in every language alike).
+WALK = 512
+#: Code points whose sentences are walked at once: the more, the fewer steps in all.
+AT_ONCE = 1 << 21
 #: Price of a change of language inside a sentence, in phrases, and the margin a stretch of a parted sentence needs.
 CHANGE, PART_MARGIN = 7.0, 0.35
 #: Share of capitalised words from which a sentence, or a stretch of a parted one, is a list of
@@ -81,16 +86,7 @@ class Sentences:
     """Sentences of a batch of texts: folded letters, words, where each begins, and its text and place."""
 
     def __init__(self, texts: pa.Array):
-        self._read(*C.code_points(C.canonical_arrow(texts)[0]))
-
-    @classmethod
-    def of(cls, cp: np.ndarray, off: np.ndarray) -> Sentences:
-        """From code points of texts in their one form, with the offsets of the texts."""
-        s = cls.__new__(cls)
-        s._read(cp, off)
-        return s
-
-    def _read(self, cp: np.ndarray, off: np.ndarray) -> None:
+        cp, off, _ = C.canonical_points(texts)
         low, letter, space, capital = _fold()
         n = len(off) - 1
         self.n_texts, self.lengths = n, np.diff(off)
@@ -249,12 +245,17 @@ def judge(s: Sentences, training: tuple[tuple[str, str], ...]) -> tuple[np.ndarr
     """
     if not len(s.start):
         return np.zeros(0, np.int64), np.zeros(0)
-    order = np.argsort(-s.size, kind="stable")
+    parts = -(-s.size // WALK)
+    nth = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+    start = np.repeat(s.start, parts) + nth * WALK
+    size = np.minimum(np.repeat(s.size, parts) - nth * WALK, WALK)
+    order = np.argsort(-size, kind="stable")
+    start, size = start[order], size[order]
     cost = np.empty((len(training), len(s.word_at)), np.float32)
     most = max(len(text) for _, text in training)
     weight = np.array([np.log(len(text) + 1) / np.log(most + 1) for _, text in training], np.float32)
     for k, (_, a) in enumerate(automata(training)):
-        cost[k] = np.add.reduceat(a.phrases(s.letters, s.start[order], s.size[order]), s.word_letter, dtype=np.int64) * weight[k]
+        cost[k] = np.add.reduceat(a.phrases(s.letters, start, size), s.word_letter, dtype=np.int64) * weight[k]
     s.part(_changes(s, cost))
     cost = (np.add.reduceat(cost, s.first_word, axis=1) + weight[:, None]) / s.size
     best = cost.argmin(axis=0)
@@ -419,7 +420,7 @@ def with_language(df: DataFrame, text_col: str, training: tuple[tuple[str, str],
         for b in batches:
             text = b.column("__text")
             sizes = np.concatenate(([0], np.cumsum(np.asarray(pa.compute.binary_length(text).fill_null(0)).astype(np.int64))))
-            for lo, hi in C.slices(sizes):
+            for lo, hi in C.slices(sizes, AT_ONCE):
                 p = b.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*[p.column(c) for c in keep], *label(Sentences(p.column("__text")), training)], [*keep, "segments", "lang", "confidence", "words"])
 

@@ -127,7 +127,12 @@ def measure(w: Words, some: np.ndarray, path: str = VOCABULARY) -> tuple[np.ndar
     words = np.bincount(row[stretch], minlength=n)
     size = end - begin
     upper = (cp >= 65) & (cp <= 90)
-    running = lambda mask: np.concatenate(([0], np.cumsum(mask)))
+
+    def running(mask: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(mask) + 1, np.int32)
+        np.cumsum(mask, out=out[1:])
+        return out
+
     caps, alpha, digit = running(upper), running(upper | ((cp >= 97) & (cp <= 122))), running((cp >= 48) & (cp <= 57))
     shouted = (sum_of(caps[end] - caps[begin]) > 0.5 * sum_of(alpha[end] - alpha[begin]))[row]
     stop = running((cp == 46) | (cp == 33) | (cp == 63) | (cp == 10) | (cp == 59))
@@ -139,14 +144,16 @@ def measure(w: Words, some: np.ndarray, path: str = VOCABULARY) -> tuple[np.ndar
     per = np.bincount(sentence, plain).astype(float)
     s_row = row[new_sentence]
     many = np.maximum(np.bincount(s_row, per > 1, n), 1)
-    distinct, first, code = np.unique(hashes, return_index=True, return_inverse=True)
-    v = lexicon(path)(distinct, lambda i: w.spelled(mine[first[i]]))[code]
+    vocabulary = np.flatnonzero(plain)  # names and numbers need no lexicon
+    distinct, first, code = np.unique(hashes[vocabulary], return_index=True, return_inverse=True)
+    v = np.zeros((len(mine), Lexicon.COLUMNS), np.float32)
+    v[vocabulary] = lexicon(path)(distinct, lambda i: w.spelled(mine[vocabulary[first[i]]]))[code]
     total = np.maximum(sum_of(plain), 1)
     share = lambda mask: sum_of(mask & plain) / total
     # diversity: distinct words and repeated ones, on a scale free of length
-    key = np.sort((row * len(distinct) + code)[plain])
+    key = np.sort(row[vocabulary] * max(len(distinct), 1) + code)
     key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
-    types = np.bincount(key // len(distinct), minlength=n)
+    types = np.bincount(key // max(len(distinct), 1), minlength=n)
     diversity = np.log(np.maximum(types, 2)) / np.log(np.maximum(total, 3))
     rank, split, conn, formal, sub, function, ending = (v[:, j] for j in range(Lexicon.COLUMNS))
     content = plain & (function == 0)
@@ -166,7 +173,7 @@ def measure(w: Words, some: np.ndarray, path: str = VOCABULARY) -> tuple[np.ndar
         ],
         axis=1,
     )
-    return out, words, buckets(distinct)[code[content]], sum_of(content).astype(np.int64)
+    return out, words, buckets(distinct)[code[content[vocabulary]]], sum_of(content).astype(np.int64)
 
 
 # ---------------------------------------------------------------- ordinal regression
@@ -283,18 +290,18 @@ def survey(docs: DataFrame, keep: list[str], text: str, told: str, training: tup
             types = [batch.column(k).type for k in keep]
             texts = batch.column("__t")
             sizes = np.concatenate(([0], np.cumsum(np.asarray(pa.compute.binary_length(texts).fill_null(0)).astype(np.int64))))
+            english = np.asarray(pa.compute.equal(batch.column("__told"), "en").fill_null(False)).copy()
+            silent = np.flatnonzero(np.asarray(batch.column("__told").is_null()))
+            ends = np.concatenate(([0], np.cumsum(np.diff(sizes)[silent])))
+            for lo, hi in C.slices(ends, langid.AT_ONCE) if training else ():  # together, as each walk has as many steps as its longest sentence
+                heard = langid.label(langid.Sentences(texts.take(pa.array(silent[lo:hi]))), training)[1]
+                english[silent[lo:hi]] = np.asarray(pa.compute.equal(heard, "en"))
             for lo, hi in C.slices(sizes):
                 b = batch.slice(lo, hi - lo)
-                cp, off = C.code_points(C.canonical_arrow(b.column("__t"))[0])
+                cp, off, _ = C.canonical_points(b.column("__t"))
                 w = Words.of(cp, off)
                 table += np.bincount(buckets(w.hash), minlength=BUCKETS)
-                lang = b.column("__told")
-                english = np.asarray(pa.compute.equal(lang, "en").fill_null(False))
-                silent = np.flatnonzero(np.asarray(lang.is_null()))
-                if len(silent) and training:
-                    heard = langid.label(langid.Sentences.of(*C.take(cp, off, silent)), training)[1]
-                    english[silent] = np.asarray(pa.compute.equal(heard, "en"))
-                some = np.flatnonzero(english)
+                some = np.flatnonzero(english[lo:hi])
                 x, words, content, counts = measure(w, some, path)
                 lists = lambda v, n, kind: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(v, kind))
                 own = [b.column(k).take(pa.array(some)) for k in keep]

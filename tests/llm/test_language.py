@@ -76,6 +76,15 @@ def test_changes_equal_brute_force():
         assert price(np.repeat(path, np.diff([*cuts, n]))) <= best + 1e-4
 
 
+def test_long_sentences_walk_in_parts(monkeypatch):
+    training = L.clean(ROWS)
+    texts = pa.array([" ".join(r[1].rstrip(".") for r in ROWS if r[0] == k) for k in ("en", "es", "ru")])
+    whole = [[x["lang"] for x in seg] for seg in L.label(L.Sentences(texts), training)[0].to_pylist()]
+    monkeypatch.setattr(L, "WALK", 40)
+    parts = [[x["lang"] for x in seg] for seg in L.label(L.Sentences(texts), training)[0].to_pylist()]
+    assert whole == parts == [["en"], ["es"], ["ru"]]
+
+
 def test_training_text_is_not_the_alphabets_beginning(monkeypatch):
     monkeypatch.setattr(L, "SAMPLE_LETTERS", 120)
     words = "apple bread candle door evening forest garden house island jacket kitchen ladder market number orange pencil river summer table window yellow".split()
