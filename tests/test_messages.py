@@ -393,3 +393,15 @@ def test_media_groups_and_users_are_checked(spark, con):
     for kind in ("image", "voice"):
         assert got[f"messages.media_id:{kind}", "media_files"] == sum(t == kind and (t, i) not in files for t, i in named)
     assert {k for k, _ in got} >= {"messages.group_id", "messages.user_id", "group_members.user_id", "user_business_history.user_id"} and len(got) == 7
+
+
+def test_whole_dataset(spark, tmp_path):
+    for name in C.TABLES:
+        if name not in ("output", "message_history"):
+            (tmp_path / f"{name}.csv").write_text(",".join(c for c, _ in C.columns(name)) + "\n" + ("i1,a.png\n" if name == "images" else ""))
+    got = C.load_dataset(spark, str(tmp_path))
+    assert set(got) == {*C.TABLES, "media_files"} - {"output"}
+    assert [tuple(r) for r in got["media_files"].collect()] == [("image", "i1", "a.png")] and got["message_history"].columns == got["messages"].columns
+    os.remove(tmp_path / "users.csv")
+    with pytest.raises(FileNotFoundError):
+        C.load_dataset(spark, str(tmp_path))
