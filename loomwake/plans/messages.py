@@ -12,7 +12,7 @@ from loomwake.functions.patterns import CUES, SHORTENERS, STOP_WORDS
 from loomwake.operators import context, enrich, evaluate, quality, ranking, retrieval
 from loomwake.operators.asof import known_at
 from loomwake.plans.sqlforms import ascii_pattern, ascii_words, normal_form, quoted
-from loomwake.session import table
+from loomwake.session import cut, table
 from loomwake.sources import media
 
 QUERIES: dict = {}
@@ -438,7 +438,9 @@ w as (select df.user_id, token, df, n, 1 + ln((1 + n) / (1 + df)) as weight from
 
 
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    m = messages(spark, d, "user_id", "created_at", "conversation", "conversation_type", "media_type", "message_text").withColumn("text", X.normalize("message_text")).drop("message_text")
+    """Incoming and earlier messages with their normalised text, which is made once for both."""
+    m = messages(spark, d, "user_id", "created_at", "conversation", "conversation_type", "media_type", "message_text")
+    m = cut(m.withColumn("text", X.normalize("message_text")).drop("message_text"))
     return m.where("message_id like 'msg%'"), m.where("message_id like 'message%'")
 
 
