@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+import operator
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,10 @@ from loomwake.session import cut, drop_cut
 
 #: Most likely miss of a pair that is just alike enough, by the bands and by the one-bit registers.
 MISSED_BY_BANDS, MISSED_BY_BITS = 2e-4, 1e-5
-#: Registers of a signature that bands may use, and one-bit registers kept with each band row.
-REGISTERS, BITS = 256, 128
+#: Registers of a signature that bands may use, and bits of the sketch kept with each band row.
+REGISTERS, BITS = 256, 192
+#: Share of its bits in which sketches by parity may differ at most; of larger sets they would tell too little.
+PARITY_SHARE = 0.3
 #: Elements worked on at once.
 ELEMENTS = 150_000
 
@@ -102,14 +105,34 @@ def band_keys(who: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
+_SKETCH = [f"__b{i}" for i in range(BITS // 64)]
+
+
 def _bits(who: np.ndarray) -> np.ndarray:
-    """The lowest mixed bits of the first registers, 128 of them, as two 64-bit words."""
+    """The lowest mixed bits of the first ``BITS`` registers, as 64-bit words."""
     who = who if who.shape[1] >= BITS else np.concatenate([who, np.zeros((len(who), BITS - who.shape[1]), np.uint64)], axis=1)
     low = (mix(who[:, :BITS]) & np.uint64(1)).astype(np.uint8)
     return np.packbits(low, axis=1).view(np.uint64)
 
 
-def _band_rows(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
+def parity_limit(threshold: float) -> tuple[float, float]:
+    """Of two sets alike from ``threshold`` on: the share of the sum of their sizes that they may differ by, and the largest size of sets told by parity."""
+    share = (1 - threshold) / (1 + threshold)
+    return share, PARITY_SHARE * BITS / (2 * max(share, 1e-9))
+
+
+def _parity(elements: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """For each set, whether each of ``BITS`` buckets has an odd number of its elements, as 64-bit words.
+
+    An element that only one of two sets has turns one bit, so they differ by at least as many elements as bits.
+    """
+    n = len(off) - 1
+    at = np.repeat(np.arange(n), np.diff(off)) * BITS + (mix(elements ^ _M2) % np.uint64(BITS)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=n * BITS) & 1).astype(np.uint8).reshape(n, BITS), axis=1).view(np.uint64)
+
+
+def _band_rows(batches: Iterator[pa.RecordBatch], bands: int, rows: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    _, largest = parity_limit(threshold)
     for b in batches:
         sets = b.column("__set")
         off = np.asarray(sets.offsets).astype(np.int64)
@@ -121,12 +144,19 @@ def _band_rows(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iter
             hi = max(lo + 1, int(np.searchsorted(off, off[lo] + ELEMENTS, "right")) - 1)
             part = off[lo : hi + 1]
             who = prob_minhash(values[part[0] : part[-1]], None if weight is None else weight[part[0] : part[-1]], part - part[0], max(bands * rows, BITS))
-            keys, bits = band_keys(who, bands, rows), _bits(who)
             n = np.diff(part).astype(np.int32) if weight is None else np.add.reduceat(weight[part[0] : part[-1]], part[:-1] - part[0])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.T.reshape(-1).view(np.int64)), pa.array(np.tile(ids[lo:hi], bands)), pa.array(np.tile(n, bands)), pa.array(np.tile(bits[:, 0], bands).view(np.int64)), pa.array(np.tile(bits[:, 1], bands).view(np.int64))],
-                ["__band", "__c", "__n", "__b0", "__b1"],
-            )
+            keys = band_keys(who, bands, rows)
+            by_parity = n <= largest if weight is None else np.zeros(hi - lo, bool)
+            by_registers = n >= threshold * largest - 1e-6 if weight is None else ~by_parity
+            for kind, which, sketch in ((0, by_parity, lambda part=part: _parity(values[part[0] : part[-1]], part - part[0])), (1, by_registers, lambda who=who: _bits(who))):
+                if not which.any():
+                    continue
+                key = keys[which] & ~np.uint64(1) | np.uint64(kind)
+                bits = [pa.array(np.tile(x, bands).view(np.int64)) for x in sketch()[which].T]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key.T.reshape(-1).view(np.int64)), pa.array(np.tile(ids[lo:hi][which], bands)), pa.array(np.tile(n[which], bands)), *bits],
+                    ["__band", "__c", "__n", *_SKETCH],
+                )
             lo = hi
 
 
@@ -176,33 +206,48 @@ def representatives(rows: DataFrame) -> DataFrame:
     """One row a class: its shingles, once however many records have them.
 
     Copies are combined before the shuffle. An error tells of a class whose records' second
-    hashes differ: different sets would be taken for equal.
+    hashes differ: different sets would be taken for equal. ``__c`` stays as it was grouped, so
+    joins on it need no other shuffle.
     """
     rest = [c for c in ("__set", "__weight") if c in rows.columns]
-    one = rows.groupBy("__c").agg(*[F.first(c).alias(c) for c in rest], F.min("__check").alias("x"), F.max("__check").alias("y"))
-    return one.select(F.when(F.col("x") == F.col("y"), F.col("__c")).otherwise(F.raise_error(F.lit("two different sets have one class id"))).alias("__c"), *rest)
+    one = rows.where("__c is not null").groupBy("__c").agg(*[F.first(c).alias(c) for c in rest], F.min("__check").alias("x"), F.max("__check").alias("y"))
+    sound = lambda c: F.when(F.col("x") == F.col("y"), F.col(c)).otherwise(F.raise_error(F.lit("two different sets have one class id")))
+    return one.select("__c", *[sound(c).alias(c) for c in rest])
+
+
+def candidates(reps: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``__a`` < ``__b`` of classes that may be alike from ``threshold`` on.
+
+    Band rows are joined on the band key (a sort-merge join whose hot keys adaptive execution splits; nothing
+    is capped). Chance candidates grow as the square of the classes, so nearly all must be dropped inside the
+    join, before any shuffle: by the size ratio and by a sketch. Sketches of smaller sets are parities of
+    their elements, which bound the difference of two sets and so miss none; those of larger sets are one-bit registers, of
+    which enough must agree. Sets of sizes between have band rows of both kinds (the last bit of
+    the band key), so that any two of near sizes meet in one.
+    """
+    bands, rows, agree = plan(threshold)
+    share, _ = parity_limit(threshold)
+    weighted = "__weight" in reps.columns
+    sig = reps.mapInArrow(lambda it: _band_rows(it, bands, rows, threshold), f"__band long, __c long, __n {'double' if weighted else 'int'}, " + ", ".join(f"{c} long" for c in _SKETCH))
+    a, b = sig.alias("a"), sig.alias("b")
+    differ = reduce(operator.add, [F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in _SKETCH])
+    most = F.when(F.col("a.__band").bitwiseAND(F.lit(1)) == 0, (F.col("a.__n") + F.col("b.__n")) * F.lit(share) + 1e-6).otherwise(F.lit(float(BITS - agree)))
+    near = (F.col("a.__c") < F.col("b.__c")) & (F.least("a.__n", "b.__n") >= F.lit(threshold) * F.greatest("a.__n", "b.__n") - 1e-9) & (differ <= most)
+    return a.hint("merge").join(b, (F.col("a.__band") == F.col("b.__band")) & near).select(F.col("a.__c").alias("__a"), F.col("b.__c").alias("__b")).distinct()
 
 
 def class_links(reps: DataFrame, threshold: float) -> DataFrame:
     """Links ``__a`` < ``__b`` with ``similarity`` >= ``threshold`` between classes, given their ``representatives``.
 
-    Bands, registers and the agreement asked for follow from the threshold (``plan``). Band rows are
-    joined on the band key (a sort-merge join whose hot keys adaptive execution splits; nothing
-    is capped); the size ratio and the agreement of 128 one-bit registers drop most chance candidates
-    inside the join, before any shuffle, and what remains is verified on the full sets.
+    Bands, registers and the agreement asked for follow from the threshold (``plan``); ``candidates`` are
+    verified on the full sets.
 
     With a column ``__weight`` (weights of the shingles of ``__set``) the similarity is the
     weighted one, the sum of the lesser weights by that of the greater. Probability Jaccard
     similarity, by which signatures agree, is never less, so no more pairs are missed.
     """
-    bands, rows, agree = plan(threshold)
-    weighted = "__weight" in reps.columns
-    sig = reps.mapInArrow(lambda it: _band_rows(it, bands, rows), f"__band long, __c long, __n {'double' if weighted else 'int'}, __b0 long, __b1 long")
-    a, b = sig.alias("a"), sig.alias("b")
-    differ = F.bit_count(F.col("a.__b0").bitwiseXOR(F.col("b.__b0"))) + F.bit_count(F.col("a.__b1").bitwiseXOR(F.col("b.__b1")))
-    near = (F.col("a.__c") < F.col("b.__c")) & (F.least("a.__n", "b.__n") >= F.lit(threshold) * F.greatest("a.__n", "b.__n") - 1e-9) & (differ <= F.lit(BITS - agree))
-    pairs = a.hint("merge").join(b, (F.col("a.__band") == F.col("b.__band")) & near).select(F.col("a.__c").alias("__a"), F.col("b.__c").alias("__b")).distinct()
-    if weighted:
+    pairs = candidates(reps, threshold)
+    if "__weight" in reps.columns:
         return _weighted_links(pairs, reps, threshold)
     both = pairs.join(reps.select(F.col("__c").alias("__a"), F.col("__set").alias("__sa")), "__a").join(reps.select(F.col("__c").alias("__b"), F.col("__set").alias("__sb")), "__b")
     common = F.size(F.array_intersect("__sa", "__sb"))

@@ -130,3 +130,36 @@ def test_repeated_shingles_weigh_as_often_as_they_occur(spark):
     assert got == {tuple(sorted(p)) for p in want} and len(want) > 20 and want - plain and plain - want and ("often", "often_too") in got
     rows = {r.id: r for r in N.near_duplicates(df, "id", "words", 1, 0.7, repeats=True).collect()}
     assert rows["often"].class_id == rows["often_too"].class_id != rows["one"].class_id and rows["one"].n_links == 0
+
+
+def test_sets_alike_in_common_words_are_no_candidates(spark):
+    rng = random.Random(7)
+    common = [f"c{i}" for i in range(70)]
+    docs = [(i, rng.sample(common, 50) + [f"r{i}_{j}" for j in range(30)]) for i in range(600)]
+    docs += [(1000 + i, ws[4:]) for i, ws in docs[:40]]
+    reps = N.representatives(N.records(spark.createDataFrame(docs, "id int, words array<string>"), "id", "words", 1))
+    assert N.class_links(reps, 0.7).count() == 40
+    assert N.candidates(reps, 0.7).count() <= 45  # chance pairs, a quarter to a third alike, grow as the square of the table
+
+
+def test_parities_differ_by_no_more_than_the_sets():
+    rng = np.random.default_rng(9)
+    for n in (5, 80, 400):
+        for new in (0, 1, n // 5, n):
+            x = rng.integers(1, 1 << 62, n, dtype=np.uint64)
+            y = np.concatenate([x[new:], rng.integers(1, 1 << 62, new, dtype=np.uint64)])
+            a, b = N._parity(np.concatenate([x, y]), np.array([0, n, 2 * n]))
+            assert np.bitwise_count(a ^ b).sum() <= 2 * new
+    assert (N._parity(x[:0], np.array([0, 0])) == 0).all()
+
+
+def test_pairs_across_sizes_equal_brute_force(spark):
+    rng = random.Random(8)
+    words, docs = [f"w{i}" for i in range(9000)], []
+    for size in range(60, 300, 4):  # parities to 163 words, registers from 114
+        base = rng.sample(words, size)
+        docs += [(f"d{len(docs) + i:04d}", base[: int(size * part)] + rng.sample(words, int(size * more))) for i, (part, more) in enumerate([(1, 0), (0.95, 0.1), (0.72, 0), (1, 0.35), (0.68, 0)])]
+    sets = [{*x} for _, x in docs]
+    want = {(docs[i][0], docs[j][0]) for i in range(len(docs)) for j in range(i + 1, len(docs)) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.7}
+    got = {(r.id_a, r.id_b) for r in N.near_pairs(spark.createDataFrame(docs, "id string, words array<string>"), "id", "words", 1, 0.7).collect()}
+    assert got == want and len(want) > 200
